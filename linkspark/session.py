@@ -1,0 +1,39 @@
+"""Session helpers used by tests, the bench and batch entry points."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def build_session(app: str = "linkspark", master: str | None = None, **conf: str) -> SparkSession:
+    """Session with adaptive execution; ``conf`` keys use ``__`` for dots."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.ui.enabled": "false",
+    }
+    settings.update({key.replace("__", "."): value for key, value in conf.items()})
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names.
+
+    A folder of our own is used only where ``spark.checkpoint.dir`` is unset, as in local tests.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = os.path.join(tempfile.gettempdir(), "linkspark-checkpoints")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
