@@ -20,16 +20,17 @@ PRESETS = {
 METRIC_COLUMNS = {"duration": "avg_duration_sec", "speed": "avg_speed_kmh"}
 
 
-def _class_of(value: Column, breaks: Column, n_classes: Column | int) -> Column:
-    """0-based class: number of breaks not above the value, kept inside the classes."""
-    index = F.size(F.filter(breaks, lambda b: b <= value)) - 1
-    last = F.lit(n_classes) if isinstance(n_classes, int) else n_classes
-    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(index, last - 1)))
+def _with_class(df: DataFrame, name: str, column: str, breaks: Column, n_classes: int) -> DataFrame:
+    """Append the 0-based class: number of breaks not above the value, kept inside the classes."""
+    value = F.col(column)
+    index = F.size(F.filter("__breaks", lambda b: b <= value)) - 1
+    bounded = F.greatest(F.lit(0), F.least(index, F.lit(n_classes - 1)))
+    return df.withColumn("__breaks", breaks).withColumn(name, F.when(value.isNotNull(), bounded)).drop("__breaks")
 
 
 def _even_breaks(low: Column, high: Column, n_classes: int) -> Column:
-    steps = F.array(*[F.lit(float(i)) for i in range(n_classes + 1)])
-    return F.transform(steps, lambda i: F.when(i == n_classes, high).otherwise(low + (high - low) * i / n_classes))
+    inner = [low + (high - low) * float(i) / n_classes for i in range(n_classes)]
+    return F.array(*inner, high)
 
 
 def quantile_breaks(df: DataFrame, column: str, n_classes: int = 5) -> Column:
@@ -68,7 +69,7 @@ def classify(
         breaks, classes = F.array(*[F.lit(float(b)) for b in ordered]), len(ordered) - 1
     else:
         raise ValueError(f"unknown method {method}")
-    return df.withColumn("class_index", _class_of(F.col(column), breaks, classes))
+    return _with_class(df, "class_index", column, breaks, classes)
 
 
 def capped_classes(df: DataFrame, column: str, caps: tuple[float, float] = (2, 98), n_classes: int = 5) -> DataFrame:
@@ -78,9 +79,7 @@ def capped_classes(df: DataFrame, column: str, caps: tuple[float, float] = (2, 9
     value = F.col(column)
     capped = F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
     breaks = _even_breaks(low, high, n_classes)
-    return df.withColumn("capped_value", capped).withColumn(
-        "color_index", _class_of(F.col("capped_value"), breaks, n_classes)
-    )
+    return _with_class(df.withColumn("capped_value", capped), "color_index", "capped_value", breaks, n_classes)
 
 
 def _scaled(df: DataFrame, value: Column, low: float, high: float) -> Column:

@@ -20,7 +20,11 @@ def exact_quantiles(df: DataFrame, value: Column | str, probabilities: list[floa
     counts = values.groupBy("v").agg(F.count("*").alias("c"))
     grid = [i / BUCKETS for i in range(1, BUCKETS)]
     edges = values.agg(F.percentile_approx("v", grid, 10000).alias("edges"))
-    bucketed = counts.withColumn("b", F.size(F.filter(edges.scalar(), lambda e: e <= F.col("v"))))
+    bucketed = (
+        counts.withColumn("edges", edges.scalar())
+        .withColumn("b", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
+        .drop("edges")
+    )
     sizes = bucketed.groupBy("b").agg(F.sum("c").alias("n"))
     total = sizes.agg(F.sum("n").alias("n")).scalar()
 

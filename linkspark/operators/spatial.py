@@ -155,12 +155,12 @@ def global_rank(df: DataFrame, priority: str, key: str, parts: int = 256) -> Dat
     grid = [i / parts for i in range(1, parts)]
     edges = df.agg(F.percentile_approx(value, grid, 10000).alias("edges")).scalar()
     digest = F.md5(F.col(key).cast("string"))
-    split = df.withColumns({"__v": value, "__h": digest}).withColumn(
-        "__b", F.size(F.filter(edges, lambda e: e <= F.col("__v")))
+    split = df.withColumns({"__v": value, "__h": digest, "__edges": edges}).withColumn(
+        "__b", F.size(F.filter("__edges", lambda e: e <= F.col("__v")))
     )
-    on_edge = F.col("__v") == F.get(edges, F.col("__b") - 1)
+    on_edge = F.col("__v") == F.get("__edges", F.col("__b") - 1)
     slice_ = F.conv(F.substring("__h", 1, 2), 16, 10).cast("int") + 1
-    split = split.withColumn("__t", F.when(on_edge, slice_).otherwise(0))
+    split = split.withColumn("__t", F.when(on_edge, slice_).otherwise(0)).drop("__edges")
     sizes = split.groupBy("__b", "__t").agg(F.count("*").alias("__n"))
     above = Window.orderBy(F.desc("__b"), "__t").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__b", "__t", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__offset"))
