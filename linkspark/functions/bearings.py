@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkspark.functions.geometry import let
+
 # --- fixed values: octant codes from north, clockwise; WGS84 ellipsoid ---
 OCTANTS = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -74,7 +76,7 @@ def geodesic_azimuths(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
                     sigma + c * t["ss"] * (c2m + c * t["cs"] * (2 * c2m * c2m - 1))
                 )
 
-            return F.transform(F.array(trig), update)[0]
+            return let(trig, update)
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(GEODESIC_STEPS)), q["l"], step)
 
@@ -93,8 +95,8 @@ def geodesic_azimuths(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
                 normalize_bearing(F.degrees(onward) + 180.0).alias("back"),
             )
 
-        return F.transform(F.array(solve(q)), finish)[0]
+        return let(solve(q), finish)
 
     distinct = ~((lon1 == lon2) & (lat1 == lat2))
     usable = distinct & (F.abs(lat1) <= 90) & (F.abs(lat2) <= 90)
-    return F.when(usable, F.transform(F.array(inputs), azimuths)[0])
+    return F.when(usable, let(inputs, azimuths))

@@ -14,6 +14,11 @@ def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``, also inside nested lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def segments(line: Column) -> Column:
     """Consecutive vertex pairs as ``ARRAY<STRUCT<x1, y1, x2, y2>>``."""
     return F.zip_with(
@@ -59,9 +64,17 @@ def _directed_hausdorff(line: Column, other_segments: Column) -> Column:
 
 def hausdorff(a: Column, b: Column) -> Column:
     """Symmetric vertex-to-line Hausdorff distance; infinite for missing or empty lines."""
-    both = F.greatest(_directed_hausdorff(a, segments(b)), _directed_hausdorff(b, segments(a)))
-    usable = (F.size(a) >= 2) & (F.size(b) >= 2) & ~F.isnan(both)
-    return F.when(usable, both).otherwise(F.lit(float("inf")))
+    sides = F.struct(
+        a.alias("a"), b.alias("b"), segments(a).alias("a_segments"), segments(b).alias("b_segments")
+    )
+    both = let(
+        sides,
+        lambda q: F.greatest(
+            _directed_hausdorff(q["a"], q["b_segments"]), _directed_hausdorff(q["b"], q["a_segments"])
+        ),
+    )
+    usable = (F.size(a) >= 2) & (F.size(b) >= 2)
+    return F.when(usable, F.nanvl(both, F.lit(float("inf")))).otherwise(F.lit(float("inf")))
 
 
 def densify(line: Column, spacing: float) -> Column:
@@ -82,15 +95,6 @@ def densify(line: Column, spacing: float) -> Column:
     return F.flatten(F.transform(segments(line), samples))
 
 
-def _covered_length(points: Column, route_segments: Column, tolerance: Column | float) -> Column:
-    """Summed step length of the sample points within ``tolerance`` of a route segment."""
-
-    def near(p: Column) -> Column:
-        return F.exists(route_segments, lambda s: point_segment_distance(p["x"], p["y"], s) <= tolerance)
-
-    return _fold_sum(F.transform(points, lambda p: F.when(near(p), p["step"]).otherwise(F.lit(0.0))))
-
-
 def coverage(route: Column, reference: Column, spacing: float = 1.0) -> Column:
     """Share of the reference line that the route overlaps, 0 to 1.
 
@@ -98,11 +102,32 @@ def coverage(route: Column, reference: Column, spacing: float = 1.0) -> Column:
     (1e-6 m); only when nothing overlaps strictly, samples within ``spacing`` of the route count.
     Against an exact overlay the share differs by at most one step per overlap boundary.
     """
-    points, segs = densify(reference, spacing), segments(route)
+
+    def measured(q: Column) -> Column:
+        return F.transform(
+            q["points"],
+            lambda p: F.struct(
+                p["step"].alias("step"),
+                F.array_min(
+                    F.transform(q["segments"], lambda s: point_segment_distance(p["x"], p["y"], s))
+                ).alias("d"),
+            ),
+        )
+
+    def within(points: Column, tolerance: float) -> Column:
+        return F.aggregate(
+            points, F.lit(0.0), lambda acc, p: acc + F.when(p["d"] <= tolerance, p["step"]).otherwise(0.0)
+        )
+
+    def covered(points: Column) -> Column:
+        return let(
+            within(points, 1e-6),
+            lambda strict: F.when(strict > 0, strict).otherwise(within(points, max(spacing, 1e-6))),
+        )
+
+    inputs = F.struct(densify(reference, spacing).alias("points"), segments(route).alias("segments"))
     total = line_length(reference)
-    strict = _covered_length(points, segs, 1e-6)
-    loose = _covered_length(points, segs, max(spacing, 1e-6))
-    share = F.when(strict > 0, strict).otherwise(loose) / total
+    share = let(let(inputs, measured), covered) / total
     return F.when(total > 0, F.greatest(F.lit(0.0), F.least(share, F.lit(1.0)))).otherwise(F.lit(0.0))
 
 
@@ -169,17 +194,23 @@ def point_in_ring(px: Column, py: Column, ring_segments: Column) -> Column:
     return F.size(crossings) % 2 == 1
 
 
-def literal_ring(points: list[tuple[float, float]]) -> Column:
-    """Closed ring of literal points as a line column."""
+def ring_edges(points: list[tuple[float, float]]) -> Column:
+    """Edges of a closed ring of literal points; constant, so evaluated once."""
     closed = list(points) + ([] if points[0] == points[-1] else [points[0]])
-    return F.array(*[_point(F.lit(float(x)), F.lit(float(y))) for x, y in closed])
+    edges = [
+        F.struct(
+            F.lit(float(x1)).alias("x1"), F.lit(float(y1)).alias("y1"),
+            F.lit(float(x2)).alias("x2"), F.lit(float(y2)).alias("y2"),
+        )
+        for (x1, y1), (x2, y2) in zip(closed, closed[1:])
+    ]
+    return F.array(*edges)
 
 
-def line_intersects_ring(line: Column, ring: Column) -> Column:
-    """True when the line touches, crosses or lies inside the polygon."""
-    edges, segs = segments(ring), segments(line)
-    crossing = F.exists(segs, lambda s: F.exists(edges, lambda e: segments_cross(s, e)))
+def line_intersects_ring(line: Column, edges: Column) -> Column:
+    """True when the line touches, crosses or lies inside the polygon with these edges."""
     first = F.element_at(line, 1)
+    crossing = F.exists(segments(line), lambda s: F.exists(edges, lambda e: segments_cross(s, e)))
     return point_in_ring(first["x"], first["y"], edges) | crossing
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkspark.functions.geometry import let
+
 
 # --- fixed value: one number is continuation characters followed by one final character ---
 CHUNK_PATTERN = r"([_-~]*[?-^])"
@@ -20,11 +22,8 @@ def _delta(chunk: Column) -> Column:
         F.lit(0).cast("bigint"),
         lambda acc, ch: acc * 32 + (F.ascii(ch) - 63).bitwiseAND(31),
     )
-    return F.transform(
-        F.array(raw), lambda v: F.when(v % 2 == 1, -F.call_function("shiftright", v + 1, F.lit(1))).otherwise(
-            F.call_function("shiftright", v, F.lit(1))
-        )
-    )[0]
+    half = lambda v: F.call_function("shiftright", v, F.lit(1))
+    return let(raw, lambda v: F.when(v % 2 == 1, -half(v + 1)).otherwise(half(v)))
 
 
 def decode(encoded: Column, precision: int = 5) -> Column:
@@ -49,10 +48,7 @@ def decode(encoded: Column, precision: int = 5) -> Column:
         pairs = F.zip_with(lats, lons, lambda a, b: F.struct(a.alias("dlat"), b.alias("dlon")))
         return F.aggregate(pairs, start, advance)["line"]
 
-    # the delta array is bound once by the one-element transform
-    line = F.transform(
-        F.array(deltas), lambda d: F.when((F.size(d) >= 4) & (F.size(d) % 2 == 0), to_line(d))
-    )[0]
+    line = let(deltas, lambda d: F.when((F.size(d) >= 4) & (F.size(d) % 2 == 0), to_line(d)))
     complete = encoded.rlike(r"^([_-~]*[?-^])+$")
     return F.when(complete, line)
 
@@ -64,21 +60,26 @@ def encode(line: Column, precision: int = 5) -> Column:
         F.lit(0).cast("bigint").alias("lat"), F.lit(0).cast("bigint").alias("lon"), F.lit("").alias("text")
     )
 
-    def chunks(delta: Column) -> Column:
-        value = F.when(delta < 0, -2 * delta - 1).otherwise(2 * delta)
+    def chunk_text(value: Column) -> Column:
         # ten chunks of five bits cover every coordinate delta; leading zero chunks are dropped
         parts = F.transform(
             F.sequence(F.lit(0), F.lit(45), F.lit(5)), lambda s: F.call_function("shiftright", value, s)
         )
         kept = F.filter(parts, lambda v, i: (v > 0) | (i == 0))
-        return F.array_join(
-            F.transform(
-                kept,
-                lambda v, i: F.chr((v.bitwiseAND(31) + F.when(i < F.size(kept) - 1, 32).otherwise(0) + 63)),
+        return let(
+            kept,
+            lambda k: F.array_join(
+                F.transform(
+                    k,
+                    lambda v, i: F.chr(v.bitwiseAND(31) + F.when(i < F.size(k) - 1, 32).otherwise(0) + 63),
+                ),
+                "",
             ),
-            "",
         )
 
+    def chunks(delta: Column) -> Column:
+        return let(let(delta, lambda d: F.when(d < 0, -2 * d - 1).otherwise(2 * d)), chunk_text)
+
     def step(run: Column, p: Column) -> Column:
         lat = F.round(p["y"] * scale).cast("bigint")
         lon = F.round(p["x"] * scale).cast("bigint")

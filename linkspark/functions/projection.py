@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkspark.functions.geometry import let
+
 # --- fixed values: ellipsoids (semi-major axis, inverse flattening) ---
 WGS84 = (6378137.0, 298.257223563)
 GRS80 = (6378137.0, 298.257222101)
@@ -45,11 +47,6 @@ WEB_MERCATOR = "EPSG:3857"
 GEOGRAPHIC = "EPSG:4326"
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once inside ``body`` instead of repeating its expression."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _helmert(p: Column, crs: TransverseMercator) -> Column:
     """Geographic WGS84 (radians, struct lon/lat) to geographic on the CRS datum."""
     a, inv_f = WGS84
@@ -86,7 +83,7 @@ def _helmert(p: Column, crs: TransverseMercator) -> Column:
         lat = F.aggregate(F.sequence(F.lit(1), F.lit(4)), first, refine)
         return F.struct(F.atan2(c["y"], c["x"]).alias("lon"), lat.alias("lat"))
 
-    return _let(_let(_let(p, to_cartesian), shifted), to_geographic)
+    return let(let(let(p, to_cartesian), shifted), to_geographic)
 
 
 def _krueger(crs: TransverseMercator):
@@ -143,7 +140,7 @@ def _tm_forward(p: Column, crs: TransverseMercator) -> Column:
             (crs.x_0 + scale * east).alias("x"), (crs.y_0 + scale * (north - arc)).alias("y")
         )
 
-    return _let(_let(p, conformal), series)
+    return let(let(p, conformal), series)
 
 
 def _tm_inverse(p: Column, crs: TransverseMercator) -> Column:
@@ -164,12 +161,12 @@ def _tm_inverse(p: Column, crs: TransverseMercator) -> Column:
             lon = math.radians(crs.lon_0) + F.atan2(F.sinh(c["eta"]), F.cos(c["xi"]))
             return F.struct(lon.alias("lon"), lat.alias("lat"))
 
-        return _let(F.asin(F.sin(c["xi"]) / F.cosh(c["eta"])), finish)
+        return let(F.asin(F.sin(c["xi"]) / F.cosh(c["eta"])), finish)
 
     scaled = F.struct(
         ((p["y"] - crs.y_0) / scale + arc).alias("xi"), ((p["x"] - crs.x_0) / scale).alias("eta")
     )
-    return _let(_let(scaled, unseries), geographic)
+    return let(let(scaled, unseries), geographic)
 
 
 def _helmert_inverse(p: Column, crs: TransverseMercator) -> Column:
@@ -211,7 +208,7 @@ def unproject_point(point: Column, crs: str) -> Column:
     geo = _tm_inverse(point, source)
     if source.to_wgs84:
         geo = _helmert_inverse(geo, source)
-    return _let(geo, lambda g: F.struct(F.degrees(g["lon"]).alias("x"), F.degrees(g["lat"]).alias("y")))
+    return let(geo, lambda g: F.struct(F.degrees(g["lon"]).alias("x"), F.degrees(g["lat"]).alias("y")))
 
 
 def project_line(line: Column, crs: str | None) -> Column:

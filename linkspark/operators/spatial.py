@@ -97,7 +97,7 @@ def select_polygon(lines: DataFrame, ring: list[tuple[float, float]]) -> DataFra
     x_lo, x_hi = _extent(F.col("line"), "x")
     y_lo, y_hi = _extent(F.col("line"), "y")
     near = (x_lo <= max(xs)) & (x_hi >= min(xs)) & (y_lo <= max(ys)) & (y_hi >= min(ys))
-    return lines.where(near & geometry.line_intersects_ring(F.col("line"), geometry.literal_ring(ring)))
+    return lines.where(near & geometry.line_intersects_ring(F.col("line"), geometry.ring_edges(ring)))
 
 
 def select_box(lines: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:

@@ -67,24 +67,18 @@ CTES = {
     "link_lengths": """
         SELECT link_id, k, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS length_m
         FROM {link_segments} GROUP BY link_id, k""",
+    "vertex_distance": """
+        SELECT pair, side, link_id, seq, min(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2)) AS d
+        FROM (SELECT *, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1))
+                                       / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t
+              FROM (SELECT p.route_id AS pair, 'route' AS side, p.link_id, p.seq, x, y, x1, y1, x2, y2
+                    FROM {route_vertices} p JOIN {link_segments} s ON p.link_id = s.link_id
+                    UNION ALL
+                    SELECT s.route_id, 'link', p.link_id, p.seq, x, y, x1, y1, x2, y2
+                    FROM {link_vertices} p JOIN {route_segments} s ON p.link_id = s.link_id))
+        GROUP BY pair, side, link_id, seq""",
     "pair_distance": """
-        SELECT route_id, link_id, greatest(max(a), max(b)) AS hausdorff_distance FROM (
-            SELECT p.route_id, p.link_id, p.seq, min(sqrt((p.x - (s.x1 + t * (s.x2 - s.x1))) ** 2 + (p.y - (s.y1 + t * (s.y2 - s.y1))) ** 2)) AS a,
-                   CAST(NULL AS DOUBLE) AS b
-            FROM (SELECT p.*, s.x1, s.y1, s.x2, s.y2,
-                         greatest(0, least(1, ((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1))
-                                  / ((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2))) AS t
-                  FROM {route_vertices} p JOIN {link_segments} s ON p.link_id = s.link_id) p, (SELECT p.x1, p.y1, p.x2, p.y2, p.t) s(x1, y1, x2, y2, t)
-            GROUP BY p.route_id, p.link_id, p.seq
-            UNION ALL
-            SELECT p.route_id, p.link_id, p.seq, CAST(NULL AS DOUBLE) AS a,
-                   min(sqrt((p.x - (s.x1 + t * (s.x2 - s.x1))) ** 2 + (p.y - (s.y1 + t * (s.y2 - s.y1))) ** 2)) AS b
-            FROM (SELECT v.seq, v.x, v.y, s.route_id, s.link_id, s.x1, s.y1, s.x2, s.y2,
-                         greatest(0, least(1, ((v.x - s.x1) * (s.x2 - s.x1) + (v.y - s.y1) * (s.y2 - s.y1))
-                                  / ((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2))) AS t
-                  FROM {link_vertices} v JOIN {route_segments} s ON v.link_id = s.link_id) p, (SELECT p.x1, p.y1, p.x2, p.y2, p.t) s(x1, y1, x2, y2, t)
-            GROUP BY p.route_id, p.link_id, p.seq)
-        GROUP BY route_id, link_id""",
+        SELECT pair AS route_id, link_id, max(d) AS hausdorff_distance FROM {vertex_distance} GROUP BY pair, link_id""",
     "checked": """
         SELECT o.*, CASE o.v WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 WHEN 2 THEN 4.0 ELSE 8.0 END AS hausdorff_distance,
                o.v < 3 AS hausdorff_pass, 1.0 + o.v * 0.05 AS length_ratio, o.v < 3 AS length_pass,
@@ -242,7 +236,8 @@ class Views:
             ),
         )
         keyed = self.routes.drop("line").withColumn("line", points)
-        return keyed.withColumn("polyline", polyline.encode(F.col("line")))
+        # never NULL, which keeps IS NOT NULL from being evaluated on every observation
+        return keyed.withColumn("polyline", F.coalesce(polyline.encode(F.col("line")), F.lit("")))
 
     @cached_property
     def checked(self) -> DataFrame:
