@@ -44,93 +44,6 @@ def segment_length(seg: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def point_segment_distance(px: Column, py: Column, seg: Column) -> Column:
-    """Distance from a point to a segment (to its start when the segment has no length)."""
-    dx, dy = seg["x2"] - seg["x1"], seg["y2"] - seg["y1"]
-    along = (px - seg["x1"]) * dx + (py - seg["y1"]) * dy
-    norm = dx * dx + dy * dy
-    t = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / norm))).otherwise(F.lit(0.0))
-    ex, ey = px - (seg["x1"] + t * dx), py - (seg["y1"] + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
-
-
-def _directed_hausdorff(line: Column, other_segments: Column) -> Column:
-    nearest = F.transform(
-        line,
-        lambda p: F.array_min(F.transform(other_segments, lambda s: point_segment_distance(p["x"], p["y"], s))),
-    )
-    return F.array_max(nearest)
-
-
-def hausdorff(a: Column, b: Column) -> Column:
-    """Symmetric vertex-to-line Hausdorff distance; infinite for missing or empty lines."""
-    sides = F.struct(
-        a.alias("a"), b.alias("b"), segments(a).alias("a_segments"), segments(b).alias("b_segments")
-    )
-    both = let(
-        sides,
-        lambda q: F.greatest(
-            _directed_hausdorff(q["a"], q["b_segments"]), _directed_hausdorff(q["b"], q["a_segments"])
-        ),
-    )
-    usable = (F.size(a) >= 2) & (F.size(b) >= 2)
-    return F.when(usable, F.nanvl(both, F.lit(float("inf")))).otherwise(F.lit(float("inf")))
-
-
-def densify(line: Column, spacing: float) -> Column:
-    """Midpoints of equal steps of at most ``spacing`` along every segment, with the step length."""
-
-    def samples(seg: Column) -> Column:
-        length = segment_length(seg)
-        n = F.greatest(F.lit(1), F.ceil(length / F.lit(float(spacing))).cast("int"))
-        return F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct(
-                (seg["x1"] + (seg["x2"] - seg["x1"]) * (i - 0.5) / n).alias("x"),
-                (seg["y1"] + (seg["y2"] - seg["y1"]) * (i - 0.5) / n).alias("y"),
-                (length / n).alias("step"),
-            ),
-        )
-
-    return F.flatten(F.transform(segments(line), samples))
-
-
-def coverage(route: Column, reference: Column, spacing: float = 1.0) -> Column:
-    """Share of the reference line that the route overlaps, 0 to 1.
-
-    The reference is sampled every ``spacing`` metres. Strict overlap counts samples on the route
-    (1e-6 m); only when nothing overlaps strictly, samples within ``spacing`` of the route count.
-    Against an exact overlay the share differs by at most one step per overlap boundary.
-    """
-
-    def measured(q: Column) -> Column:
-        return F.transform(
-            q["points"],
-            lambda p: F.struct(
-                p["step"].alias("step"),
-                F.array_min(
-                    F.transform(q["segments"], lambda s: point_segment_distance(p["x"], p["y"], s))
-                ).alias("d"),
-            ),
-        )
-
-    def within(points: Column, tolerance: float) -> Column:
-        return F.aggregate(
-            points, F.lit(0.0), lambda acc, p: acc + F.when(p["d"] <= tolerance, p["step"]).otherwise(0.0)
-        )
-
-    def covered(points: Column) -> Column:
-        return let(
-            within(points, 1e-6),
-            lambda strict: F.when(strict > 0, strict).otherwise(within(points, max(spacing, 1e-6))),
-        )
-
-    inputs = F.struct(densify(reference, spacing).alias("points"), segments(route).alias("segments"))
-    total = line_length(reference)
-    share = let(let(inputs, measured), covered) / total
-    return F.when(total > 0, F.greatest(F.lit(0.0), F.least(share, F.lit(1.0)))).otherwise(F.lit(0.0))
-
-
 def length_pass(route_length: Column, ref_length: Column, params) -> Column:
     """Length test; links shorter than the minimum length pass untested."""
     if params.length_check_mode == "ratio":

@@ -1,17 +1,18 @@
-"""Geographic to metric coordinates as Column expressions.
+"""Geographic to metric coordinates and back, over whole Arrow batches of lines.
 
 Transverse Mercator by the Krueger series (n^4), with an optional seven-parameter datum shift.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from linkspark.functions.geometry import let
+from linkspark.functions.lines import LINE_TYPE, from_numpy, to_numpy
 
 # --- fixed values: ellipsoids (semi-major axis, inverse flattening) ---
 WGS84 = (6378137.0, 298.257223563)
@@ -47,48 +48,35 @@ WEB_MERCATOR = "EPSG:3857"
 GEOGRAPHIC = "EPSG:4326"
 
 
-def _helmert(p: Column, crs: TransverseMercator) -> Column:
-    """Geographic WGS84 (radians, struct lon/lat) to geographic on the CRS datum."""
-    a, inv_f = WGS84
-    e2 = (2 - 1 / inv_f) / inv_f
-    dx, dy, dz, rx, ry, rz, ds = (tuple(crs.to_wgs84) + (0.0,) * 7)[:7]
-    rx, ry, rz = (math.radians(r / 3600.0) for r in (rx, ry, rz))
-    m = 1.0 + ds * 1e-6
-    b, b_inv_f = crs.ellipsoid
-    be2 = (2 - 1 / b_inv_f) / b_inv_f
-
-    def to_cartesian(q: Column) -> Column:
-        n = F.lit(a) / F.sqrt(1 - e2 * F.sin(q["lat"]) * F.sin(q["lat"]))
-        return F.struct(
-            (n * F.cos(q["lat"]) * F.cos(q["lon"])).alias("x"),
-            (n * F.cos(q["lat"]) * F.sin(q["lon"])).alias("y"),
-            (n * (1 - e2) * F.sin(q["lat"])).alias("z"),
-        )
-
-    def shifted(c: Column) -> Column:
-        # inverse of the small-angle rotation: transpose, after removing translation and scale
-        x, y, z = (c["x"] - dx) / m, (c["y"] - dy) / m, (c["z"] - dz) / m
-        return F.struct(
-            (x + rz * y - ry * z).alias("x"), (-rz * x + y + rx * z).alias("y"), (ry * x - rx * y + z).alias("z")
-        )
-
-    def to_geographic(c: Column) -> Column:
-        r = F.sqrt(c["x"] * c["x"] + c["y"] * c["y"])
-        first = F.atan2(c["z"], r * (1 - be2))
+def _eccentricity2(ellipsoid: tuple[float, float]) -> float:
+    f = 1 / ellipsoid[1]
+    return f * (2 - f)
 
-        def refine(lat: Column, _: Column) -> Column:
-            n = F.lit(b) / F.sqrt(1 - be2 * F.sin(lat) * F.sin(lat))
-            return F.atan2(c["z"] + be2 * n * F.sin(lat), r)
 
-        lat = F.aggregate(F.sequence(F.lit(1), F.lit(4)), first, refine)
-        return F.struct(F.atan2(c["y"], c["x"]).alias("lon"), lat.alias("lat"))
-
-    return let(let(let(p, to_cartesian), shifted), to_geographic)
-
-
-def _krueger(crs: TransverseMercator):
-    a, inv_f = crs.ellipsoid
-    f = 1 / inv_f
+def _shift(lon, lat, source: tuple[float, float], target: tuple[float, float], shift: tuple[float, ...]):
+    """Geographic radians on ``source`` to ``target``; ``shift`` maps target to source cartesians."""
+    dx, dy, dz, rx, ry, rz, ds = (tuple(shift) + (0.0,) * 7)[:7]
+    rx, ry, rz = np.radians(np.array([rx, ry, rz]) / 3600.0)
+    m = 1.0 + ds * 1e-6
+    e2 = _eccentricity2(source)
+    n = source[0] / np.sqrt(1 - e2 * np.sin(lat) ** 2)
+    x = (n * np.cos(lat) * np.cos(lon) - dx) / m
+    y = (n * np.cos(lat) * np.sin(lon) - dy) / m
+    z = (n * (1 - e2) * np.sin(lat) - dz) / m
+    # inverse of the small-angle rotation is its transpose
+    x, y, z = x + rz * y - ry * z, -rz * x + y + rx * z, ry * x - rx * y + z
+    e2 = _eccentricity2(target)
+    r = np.hypot(x, y)
+    phi = np.arctan2(z, r * (1 - e2))
+    for _ in range(4):
+        n = target[0] / np.sqrt(1 - e2 * np.sin(phi) ** 2)
+        phi = np.arctan2(z + e2 * n * np.sin(phi), r)
+    return np.arctan2(y, x), phi
+
+
+def _series(crs: TransverseMercator):
+    a, inverse = crs.ellipsoid
+    f = 1 / inverse
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (
@@ -109,112 +97,85 @@ def _krueger(crs: TransverseMercator):
         56 * n**3 / 15 - 136 * n**4 / 35,
         4279 * n**4 / 630,
     )
-    root = 2 * math.sqrt(n) / (1 + n)
-    # meridian arc of the origin latitude
-    phi = math.radians(crs.lat_0)
-    t = math.sinh(math.atanh(math.sin(phi)) - root * math.atanh(root * math.sin(phi)))
-    xi = math.atan(t)
-    arc = xi + sum(al * math.sin(2 * (j + 1) * xi) for j, al in enumerate(alpha))
+    root = 2 * np.sqrt(n) / (1 + n)
+    xi = np.arctan(_conformal(np.radians(crs.lat_0), root))
+    arc = xi + sum(al * np.sin(2 * j * xi) for j, al in enumerate(alpha, 1))
     return radius * crs.k_0, alpha, beta, delta, root, arc
 
 
-def _tm_forward(p: Column, crs: TransverseMercator) -> Column:
-    scale, alpha, _, _, root, arc = _krueger(crs)
-    lon_0 = math.radians(crs.lon_0)
-
-    def conformal(q: Column) -> Column:
-        s = F.sin(q["lat"])
-        t = F.sinh(F.atanh(s) - root * F.atanh(root * s))
-        dlon = q["lon"] - lon_0
-        return F.struct(
-            F.atan2(t, F.cos(dlon)).alias("xi"),
-            F.atanh(F.sin(dlon) / F.sqrt(1 + t * t)).alias("eta"),
-        )
-
-    def series(c: Column) -> Column:
-        north, east = c["xi"], c["eta"]
-        for j, al in enumerate(alpha, start=1):
-            north = north + al * F.sin(2 * j * c["xi"]) * F.cosh(2 * j * c["eta"])
-            east = east + al * F.cos(2 * j * c["xi"]) * F.sinh(2 * j * c["eta"])
-        return F.struct(
-            (crs.x_0 + scale * east).alias("x"), (crs.y_0 + scale * (north - arc)).alias("y")
-        )
-
-    return let(let(p, conformal), series)
-
-
-def _tm_inverse(p: Column, crs: TransverseMercator) -> Column:
-    scale, _, beta, delta, _, arc = _krueger(crs)
-
-    def unseries(c: Column) -> Column:
-        north, east = c["xi"], c["eta"]
-        for j, be in enumerate(beta, start=1):
-            north = north - be * F.sin(2 * j * c["xi"]) * F.cosh(2 * j * c["eta"])
-            east = east - be * F.cos(2 * j * c["xi"]) * F.sinh(2 * j * c["eta"])
-        return F.struct(north.alias("xi"), east.alias("eta"))
-
-    def geographic(c: Column) -> Column:
-        def finish(chi: Column) -> Column:
-            lat = chi
-            for j, de in enumerate(delta, start=1):
-                lat = lat + de * F.sin(2 * j * chi)
-            lon = math.radians(crs.lon_0) + F.atan2(F.sinh(c["eta"]), F.cos(c["xi"]))
-            return F.struct(lon.alias("lon"), lat.alias("lat"))
-
-        return let(F.asin(F.sin(c["xi"]) / F.cosh(c["eta"])), finish)
-
-    scaled = F.struct(
-        ((p["y"] - crs.y_0) / scale + arc).alias("xi"), ((p["x"] - crs.x_0) / scale).alias("eta")
-    )
-    return let(let(scaled, unseries), geographic)
+def _conformal(lat, root):
+    """Tangent of the conformal latitude."""
+    s = np.sin(lat)
+    return np.sinh(np.arctanh(s) - root * np.arctanh(root * s))
 
 
-def _helmert_inverse(p: Column, crs: TransverseMercator) -> Column:
-    """Geographic on the CRS datum to WGS84: the same shift with its sign turned round."""
-    turned = TransverseMercator(
-        crs.lat_0, crs.lon_0, crs.k_0, crs.x_0, crs.y_0, WGS84, tuple(-v for v in crs.to_wgs84)
-    )
-    return _helmert(p, turned)
+def _forward(lon, lat, crs: TransverseMercator):
+    scale, alpha, _, _, root, arc = _series(crs)
+    t = _conformal(lat, root)
+    dlon = lon - np.radians(crs.lon_0)
+    xi = np.arctan2(t, np.cos(dlon))
+    eta = np.arctanh(np.sin(dlon) / np.sqrt(1 + t * t))
+    north, east = xi, eta
+    for j, al in enumerate(alpha, 1):
+        north = north + al * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        east = east + al * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    return crs.x_0 + scale * east, crs.y_0 + scale * (north - arc)
+
+
+def _inverse(x, y, crs: TransverseMercator):
+    scale, _, beta, delta, _, arc = _series(crs)
+    xi, eta = (y - crs.y_0) / scale + arc, (x - crs.x_0) / scale
+    north, east = xi, eta
+    for j, be in enumerate(beta, 1):
+        north = north - be * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        east = east - be * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    chi = np.arcsin(np.sin(north) / np.cosh(east))
+    lat = chi + sum(de * np.sin(2 * j * chi) for j, de in enumerate(delta, 1))
+    return np.radians(crs.lon_0) + np.arctan2(np.sinh(east), np.cos(north)), lat
 
 
-def project_point(point: Column, crs: str) -> Column:
-    """WGS84 degrees (x = lon, y = lat) to ``crs``."""
+def project(x, y, crs: str):
+    """WGS84 degrees to ``crs``."""
     if crs == GEOGRAPHIC:
-        return point
+        return x, y
+    lon, lat = np.radians(x), np.radians(y)
     if crs == WEB_MERCATOR:
-        radius = WGS84[0]
-        return F.struct(
-            (F.radians(point["x"]) * radius).alias("x"),
-            (F.log(F.tan(math.pi / 4 + F.radians(point["y"]) / 2)) * radius).alias("y"),
-        )
+        return lon * WGS84[0], np.log(np.tan(np.pi / 4 + lat / 2)) * WGS84[0]
     target = CRS[crs]
-    geo = F.struct(F.radians(point["x"]).alias("lon"), F.radians(point["y"]).alias("lat"))
     if target.to_wgs84:
-        geo = _helmert(geo, target)
-    return _tm_forward(geo, target)
+        lon, lat = _shift(lon, lat, WGS84, target.ellipsoid, target.to_wgs84)
+    return _forward(lon, lat, target)
 
 
-def unproject_point(point: Column, crs: str) -> Column:
-    """``crs`` coordinates to WGS84 degrees."""
+def unproject(x, y, crs: str):
+    """``crs`` to WGS84 degrees."""
     if crs == GEOGRAPHIC:
-        return point
+        return x, y
     if crs == WEB_MERCATOR:
-        radius = WGS84[0]
-        return F.struct(
-            F.degrees(point["x"] / radius).alias("x"),
-            F.degrees(2 * F.atan(F.exp(point["y"] / radius)) - math.pi / 2).alias("y"),
-        )
+        return np.degrees(x / WGS84[0]), np.degrees(2 * np.arctan(np.exp(y / WGS84[0])) - np.pi / 2)
     source = CRS[crs]
-    geo = _tm_inverse(point, source)
+    lon, lat = _inverse(x, y, source)
     if source.to_wgs84:
-        geo = _helmert_inverse(geo, source)
-    return let(geo, lambda g: F.struct(F.degrees(g["lon"]).alias("x"), F.degrees(g["lat"]).alias("y")))
+        lon, lat = _shift(lon, lat, source.ellipsoid, WGS84, tuple(-v for v in source.to_wgs84))
+    return np.degrees(lon), np.degrees(lat)
+
+
+def _mapped(transform, crs: str, line: Column) -> Column:
+    @arrow_udf(LINE_TYPE)
+    def transformed(lines: pa.Array) -> pa.Array:
+        x, y, counts = to_numpy(lines)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x, y = transform(x, y, crs)
+        return from_numpy(x, y, counts, lines.is_valid().to_numpy(zero_copy_only=False))
+
+    return transformed(line)
 
 
 def project_line(line: Column, crs: str | None) -> Column:
-    """Project every vertex; ``crs`` None leaves the line as it is."""
-    return line if crs is None else F.transform(line, lambda p: project_point(p, crs))
+    """Line column from WGS84 degrees to ``crs``; None leaves it as it is."""
+    return line if crs in (None, GEOGRAPHIC) else _mapped(project, crs, line)
 
 
 def unproject_line(line: Column, crs: str | None) -> Column:
-    return line if crs is None else F.transform(line, lambda p: unproject_point(p, crs))
+    """Line column from ``crs`` to WGS84 degrees."""
+    return line if crs in (None, GEOGRAPHIC) else _mapped(unproject, crs, line)

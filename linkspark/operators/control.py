@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.config import CompletenessParams, ValidationParams
-from linkspark.functions import geometry, polyline, text
+from linkspark.functions import geometry, measure, polyline, text
 from linkspark.functions.projection import project_line
 from linkspark.functions.temporal import DAY_PERIODS, day_period
 from linkspark.operators.cleaning import dedup_observations
@@ -57,12 +57,12 @@ def measure_pairs(pairs: DataFrame, params: ValidationParams) -> DataFrame:
     """Geometry tests of distinct (route, reference) lines ``route``, ``reference`` (both metric)."""
     out = {}
     if params.use_hausdorff:
-        out["hausdorff_distance"] = geometry.hausdorff(F.col("route"), F.col("reference"))
+        out["hausdorff_distance"] = measure.hausdorff(F.col("route"), F.col("reference"))
     if params.use_length_check:
         out["__route_m"] = geometry.line_length(F.col("route"))
         out["__ref_m"] = geometry.line_length(F.col("reference"))
     if params.use_coverage_check:
-        share = geometry.coverage(F.col("route"), F.col("reference"), params.coverage_spacing_m)
+        share = measure.coverage(F.col("route"), F.col("reference"), params.coverage_spacing_m)
         out["coverage_percent"] = share * 100
     measured = pairs.withColumns(out) if out else pairs
     tests = {}
@@ -101,8 +101,13 @@ def validate(
     reference = links.select(F.col("link_id").alias("__link"), F.col("line").alias("reference"))
     located = pairs.join(reference, "__link", "left").repartition(*pair)
     decoded = located.withColumn(
-        "route", F.when(F.col("reference").isNotNull(), polyline.decode(F.col("polyline"), params.polyline_precision))
-    ).withColumn("route", project_line(F.col("route"), params.crs_metric))
+        # only routes of known links are decoded
+        "route",
+        project_line(
+            polyline.decode(F.when(F.col("reference").isNotNull(), F.col("polyline")), params.polyline_precision),
+            params.crs_metric,
+        ),
+    )
     usable = F.col("route").isNotNull()
     measured = measure_pairs(decoded, params)
     results = [c for c in measured.columns if c not in (*pair, "__rows", "reference", "route")]

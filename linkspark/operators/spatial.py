@@ -44,7 +44,7 @@ def explode_segments(lines: DataFrame) -> DataFrame:
 def decode_routes(df: DataFrame, column: str = "polyline", precision: int = 5) -> DataFrame:
     """Distinct encoded routes with their line; undecodable ones have a NULL line."""
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn("line", polyline.decode(F.col(column), precision))
+    return distinct.withColumn("line", polyline.decode(F.col(column), precision, pinned=True))
 
 
 def project(lines: DataFrame, crs: str) -> DataFrame:

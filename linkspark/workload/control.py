@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from linkspark.config import CompletenessParams, ValidationParams
 from linkspark.functions import bearings, geometry
-from linkspark.functions.projection import project_point, unproject_point
 from linkspark.operators import control, spatial
+from linkspark.workload.encoding import encode
 from linkspark.workload.registry import query
 
 SCHEDULE = CompletenessParams(date(2024, 1, 2), date(2024, 1, 4), 15)
@@ -283,7 +283,9 @@ def link_lines(v):
     digits=5,
 )
 def route_vertices(v):
-    decoded = spatial.decode_routes(v.geo_routes).join(v.geo_routes.select("route_id", "polyline"), "polyline")
+    texts = v.geo_routes.select("route_id", F.col("polyline").alias("encoded"))
+    observed = v.obs.join(texts, F.col("polyline") == F.col("route_id")).select("encoded")
+    decoded = spatial.decode_routes(observed, "encoded").join(texts, "encoded")
     return spatial.explode_vertices(decoded.select("route_id", "line"))
 
 
@@ -351,7 +353,7 @@ def coverage(v):
 def _raw(v):
     """Observations as they arrive: encoded routes, some broken names, routes and times."""
     encoded = v.routes.select(
-        F.col("route_id"), spatial.polyline.encode(F.col("line"), METRIC.polyline_precision).alias("encoded")
+        F.col("route_id"), encode(F.col("line"), METRIC.polyline_precision).alias("encoded")
     )
     joined = v.obs.join(encoded, F.col("polyline") == F.col("route_id"))
     return joined.selectExpr(
@@ -495,14 +497,8 @@ def request_table(v):
 
 @query("project_vertices")
 def project_vertices(v):
-    vertices = spatial.explode_vertices(v.geo_routes.select("route_id", "line"))
-    point = F.struct("x", "y")
-    there = vertices.withColumn("metric", project_point(point, "EPSG:2039"))
-    back = there.withColumn("again", unproject_point(F.col("metric"), "EPSG:2039"))
-    return back.select(
-        "route_id", "seq", F.col("metric.x").alias("east"), F.col("metric.y").alias("north"),
-        F.greatest(F.abs(F.col("again.x") - F.col("x")), F.abs(F.col("again.y") - F.col("y"))).alias("round_trip"),
-    )
+    metric = spatial.project(v.geo_routes.select("route_id", "line"), "EPSG:2039")
+    return spatial.explode_vertices(metric)
 
 
 def _parts(v):

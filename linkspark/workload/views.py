@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.config import AggregationParams
-from linkspark.functions import polyline, text
+from linkspark.functions import text
 from linkspark.operators import rollup, spatial, temporal
+from linkspark.workload.encoding import encode
 
 # letters of Monday .. Sunday
 DAY_LETTERS = ["ב", "ג", "ד", "ה", "ו", "ש", "א"]
@@ -236,8 +237,7 @@ class Views:
             ),
         )
         keyed = self.routes.drop("line").withColumn("line", points)
-        # never NULL, which keeps IS NOT NULL from being evaluated on every observation
-        return keyed.withColumn("polyline", F.coalesce(polyline.encode(F.col("line")), F.lit("")))
+        return keyed.withColumn("polyline", encode(F.col("line")))
 
     @cached_property
     def checked(self) -> DataFrame:
