@@ -20,101 +20,117 @@ PRESETS = {
 METRIC_COLUMNS = {"duration": "avg_duration_sec", "speed": "avg_speed_kmh"}
 
 
-def _with_class(df: DataFrame, name: str, column: str, breaks: Column, n_classes: int) -> DataFrame:
-    """Append the 0-based class: number of breaks not above the value, kept inside the classes."""
-    value = F.col(column)
-    index = F.size(F.filter("__breaks", lambda b: b <= value)) - 1
-    bounded = F.greatest(F.lit(0), F.least(index, F.lit(n_classes - 1)))
-    return df.withColumn("__breaks", breaks).withColumn(name, F.when(value.isNotNull(), bounded)).drop("__breaks")
+def _class_of(value: Column, breaks: Column, n_classes: int) -> Column:
+    """0-based class: number of breaks not above the value, kept inside the classes."""
+    index = F.size(F.filter(breaks, lambda b: b <= value)) - 1
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(index, F.lit(n_classes - 1))))
 
 
-def _even_breaks(low: Column, high: Column, n_classes: int) -> Column:
-    inner = [low + (high - low) * float(i) / n_classes for i in range(n_classes)]
-    return F.array(*inner, high)
+def quantile_breaks(df: DataFrame, column: str, n_classes: int = 5) -> DataFrame:
+    """One row ``breaks``: equal numbers of values between neighbours."""
+    probabilities = [i / n_classes for i in range(n_classes + 1)]
+    return exact_quantiles(df, column, probabilities, "breaks")
 
 
-def quantile_breaks(df: DataFrame, column: str, n_classes: int = 5) -> Column:
-    """Breaks with equal numbers of values between them, as a scalar subquery."""
-    probabilities = [i / n_classes for i in range(n_classes + 1)]
-    return exact_quantiles(df, column, probabilities, "breaks").scalar()
+def _even(low: Column, high: Column, n_classes: int) -> Column:
+    return F.array(*[low + (high - low) * float(i) / n_classes for i in range(n_classes)], high)
 
 
-def equal_breaks(df: DataFrame, column: str, n_classes: int = 5) -> Column:
-    return df.agg(_even_breaks(F.min(column), F.max(column), n_classes).alias("breaks")).scalar()
+def equal_breaks(df: DataFrame, column: str, n_classes: int = 5) -> DataFrame:
+    return df.agg(_even(F.min(column), F.max(column), n_classes).alias("breaks"))
 
 
-def stddev_breaks(df: DataFrame, column: str, n_classes: int = 5) -> Column:
+def stddev_breaks(df: DataFrame, column: str, n_classes: int = 5) -> DataFrame:
     """Mean plus and minus whole population deviations; the outer breaks reach the data range."""
     half = n_classes // 2
     inner = [F.avg(column) + i * F.stddev_pop(column) for i in range(-half, half + 1)]
     inner[0] = F.least(inner[0], F.min(column))
     inner[-1] = F.greatest(inner[-1], F.max(column))
-    return df.agg(F.array_sort(F.array(*inner)).alias("breaks")).scalar()
+    return df.agg(F.array_sort(F.array(*inner)).alias("breaks"))
+
+
+# In the functions below ``source`` is the table that statistics are taken from, by default ``df``
+# itself. Chained calls pass the same source, so statistics do not nest.
 
 
 def classify(
-    df: DataFrame, column: str, method: str = "quantiles", n_classes: int = 5, manual_breaks: list[float] | None = None
+    df: DataFrame,
+    column: str,
+    method: str = "quantiles",
+    n_classes: int = 5,
+    manual_breaks: list[float] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Append ``class_index``."""
+    data = df if source is None else source
+    classes = n_classes
     if method == "quantiles":
-        breaks, classes = quantile_breaks(df, column, n_classes), n_classes
+        breaks = quantile_breaks(data, column, n_classes).scalar()
     elif method == "equal_interval":
-        breaks, classes = equal_breaks(df, column, n_classes), n_classes
+        breaks = equal_breaks(data, column, n_classes).scalar()
     elif method == "standard_deviation":
-        breaks, classes = stddev_breaks(df, column, n_classes), 2 * (n_classes // 2)
+        breaks, classes = stddev_breaks(data, column, n_classes).scalar(), 2 * (n_classes // 2)
     elif method == "manual":
         if not manual_breaks:
             raise ValueError("manual classification needs breaks")
-        ordered = sorted(manual_breaks)
-        breaks, classes = F.array(*[F.lit(float(b)) for b in ordered]), len(ordered) - 1
+        breaks, classes = F.array(*[F.lit(float(b)) for b in sorted(manual_breaks)]), len(manual_breaks) - 1
     else:
         raise ValueError(f"unknown method {method}")
-    return _with_class(df, "class_index", column, breaks, classes)
+    with_breaks = df.withColumn("__breaks", breaks)
+    return with_breaks.withColumn("class_index", _class_of(F.col(column), F.col("__breaks"), classes)).drop("__breaks")
 
 
-def capped_classes(df: DataFrame, column: str, caps: tuple[float, float] = (2, 98), n_classes: int = 5) -> DataFrame:
-    """Append ``color_index``: equal classes after values are capped to two percentiles."""
-    limits = exact_quantiles(df, column, [caps[0] / 100, caps[1] / 100], "limits")
-    low, high = limits.select(F.col("limits")[0]).scalar(), limits.select(F.col("limits")[1]).scalar()
-    value = F.col(column)
+def capped_classes(
+    df: DataFrame, column: str, caps=(2, 98), n_classes: int = 5, source: DataFrame | None = None
+) -> DataFrame:
+    """Append ``capped_value`` and ``color_index``: equal classes between two percentiles."""
+    limits = exact_quantiles(df if source is None else source, column, [caps[0] / 100, caps[1] / 100], "limits")
+    low, high, value = F.col("__limits")[0], F.col("__limits")[1], F.col(column)
     capped = F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
-    breaks = _even_breaks(low, high, n_classes)
-    return _with_class(df.withColumn("capped_value", capped), "color_index", "capped_value", breaks, n_classes)
+    out = df.withColumn("__limits", limits.scalar()).withColumns(
+        {"capped_value": capped, "__breaks": _even(low, high, n_classes)}
+    )
+    index = _class_of(F.col("capped_value"), F.col("__breaks"), n_classes)
+    return out.withColumn("color_index", index).drop("__limits", "__breaks")
 
 
-def _scaled(df: DataFrame, value: Column, low: float, high: float) -> Column:
-    span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+def _scaled(df: DataFrame, name: str, value: Column, low: float, high: float, source: DataFrame | None) -> DataFrame:
+    span = (df if source is None else source).agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s"))
+    lo, hi = F.col("__span.lo"), F.col("__span.hi")
     # a constant column maps to the lower end
     share = F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(F.when(value.isNotNull(), 0.0))
-    return share * (high - low) + low
+    return df.withColumn("__span", span.scalar()).withColumn(name, share * (high - low) + low).drop("__span")
 
 
-def width_scale(df: DataFrame, column: str = "n_valid", limits=(1, 8), mapping: str = "linear") -> DataFrame:
+def width_scale(
+    df: DataFrame, column: str = "n_valid", limits=(1, 8), mapping: str = "linear", source: DataFrame | None = None
+) -> DataFrame:
     """Append ``line_width`` by min-max scaling of the value, its log(1 + x) or its root."""
     value = {"log": F.log1p(column), "sqrt": F.sqrt(column)}.get(mapping, F.col(column).cast("double"))
-    return df.withColumn("line_width", _scaled(df, value, *limits))
+    return _scaled(df, "line_width", value, *limits, source)
 
 
-def opacity_scale(df: DataFrame, column: str = "n_valid", limits=(0.3, 1.0), kind: str = "sample_size") -> DataFrame:
+def opacity_scale(
+    df: DataFrame, column: str = "n_valid", limits=(0.3, 1.0), kind: str = "sample_size", source: DataFrame | None = None
+) -> DataFrame:
     """Append ``opacity``; sample sizes are scaled on log(1 + n)."""
     value = F.log1p(column) if kind == "sample_size" else F.col(column).cast("double")
-    return df.withColumn("opacity", _scaled(df, value, *limits))
+    return _scaled(df, "opacity", value, *limits, source)
 
 
-def color_ramp(df: DataFrame, column: str) -> DataFrame:
+def color_ramp(df: DataFrame, column: str, source: DataFrame | None = None) -> DataFrame:
     """Append ``color``: green over yellow to red between the 5th and 95th percentile, grey for NULL."""
-    limits = exact_quantiles(df, column, [0.05, 0.95], "limits")
-    low, high = limits.select(F.col("limits")[0]).scalar(), limits.select(F.col("limits")[1]).scalar()
-    value = F.col(column)
-    share = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))).otherwise(0.5)
-    ranked = df.withColumn("normalized", F.when(value.isNotNull(), share))
+    limits = exact_quantiles(df if source is None else source, column, [0.05, 0.95], "limits")
+    low, high, value = F.col("__limits")[0], F.col("__limits")[1], F.col(column)
+    share = F.when(
+        high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / F.nullif(high - low, F.lit(0.0))))
+    ).otherwise(0.5)
+    ranked = df.withColumn("__limits", limits.scalar()).withColumn("normalized", F.when(value.isNotNull(), share))
     n = F.col("normalized")
     red = F.when(n < 0.5, F.floor(n * 2 * 255)).otherwise(255).cast("int")
     green = F.when(n < 0.5, 255).otherwise(F.floor((1 - n) * 2 * 255)).cast("int")
-    return ranked.withColumn(
-        "color", F.when(n.isNotNull(), F.format_string("#%02x%02x00", red, green)).otherwise("#999999")
-    )
+    hexed = F.when(n.isNotNull(), F.format_string("#%02x%02x00", red, green)).otherwise("#999999")
+    return ranked.withColumn("color", hexed).drop("__limits")
 
 
 def traffic_class(df: DataFrame, metric: str = "duration") -> DataFrame:
@@ -133,9 +149,8 @@ def symbology(df: DataFrame, metric: str = "duration", preset: str | None = None
     """All class and scale columns of one metric under a default or named configuration."""
     config = PRESETS[preset] if preset else DEFAULT_SYMBOLOGY[metric]
     column = METRIC_COLUMNS[config.get("metric", metric)]
-    return (
-        df.transform(classify, column, config["classification"], config["n_classes"])
-        .transform(capped_classes, column, config["outlier_caps"], config["n_classes"])
-        .transform(width_scale, "n_valid", config["width"])
-        .transform(opacity_scale, "n_valid", config["opacity"])
-    )
+    n = config["n_classes"]
+    out = classify(df, column, config["classification"], n, source=df)
+    out = capped_classes(out, column, config["outlier_caps"], n, source=df)
+    out = width_scale(out, "n_valid", config["width"], source=df)
+    return opacity_scale(out, "n_valid", config["opacity"], source=df)

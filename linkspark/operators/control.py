@@ -117,15 +117,16 @@ def validate(
         F.when(F.col("reference").isNull(), CODE_NO_LINK).when(~usable, CODE_BAD_POLYLINE).alias("__pair_code"),
         *[F.when(usable, F.col(c)).alias(c) for c in results],
     )
-    joined = lookup_join(obs, facts, pair, "__rows", hot_rows)
-
-    required = ["name", "polyline"] + (["route_alternative", "timestamp"] if with_alternatives else [])
-    absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
+    # group sizes come before the join, whose work their pre-pass would repeat
     if with_alternatives:
-        joined = with_group_stats(joined, ["name", "timestamp"], {"__n": F.count("*")}, hot_rows)
+        sized = with_group_stats(obs, ["name", "timestamp"], {"__n": F.count("*")}, hot_rows)
         context = F.when(F.col("__n") == 1, CODE_SINGLE).otherwise(CODE_MULTI)
     else:
-        context = F.lit(CODE_NO_ALTERNATIVE)
+        sized, context = obs, F.lit(CODE_NO_ALTERNATIVE)
+    joined = lookup_join(sized, facts, pair, "__rows", hot_rows)
+
+    required = ["name", "polyline"] + (["route_alternative", "timestamp"] if with_alternatives else [])
+    absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
     code = (
         F.when(absent, CODE_MISSING_FIELD)
         .when(F.col("__link").isNull(), CODE_BAD_NAME)
@@ -200,9 +201,9 @@ def missing_observations(df: DataFrame, schedule: CompletenessParams) -> DataFra
     A slot is present when a row of the link has its requested time and its date.
     """
     link = _link(df)
-    seen = df.select(
-        F.col(link).alias("link_id"), F.to_date("timestamp").alias("date"), "requested_time"
-    ).distinct()
+    day = F.to_date("timestamp")
+    scheduled = day.between(F.lit(schedule.start_date), F.lit(schedule.end_date))
+    seen = df.where(scheduled).select(F.col(link).alias("link_id"), day.alias("date"), "requested_time").distinct()
     links = df.select(F.col(link).alias("link_id")).where("link_id IS NOT NULL").distinct()
     expected = expected_slots(links, schedule).select(
         "link_id", F.to_date("slot").alias("date"), F.date_format("slot", "HH:mm:ss").alias("requested_time")

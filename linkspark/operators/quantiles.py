@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 256  # a power of two
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probabilities: list[float], name: str = "q") -> DataFrame:
@@ -18,18 +18,23 @@ def exact_quantiles(df: DataFrame, value: Column | str, probabilities: list[floa
     column = F.col(value) if isinstance(value, str) else value
     values = df.select(column.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     counts = values.groupBy("v").agg(F.count("*").alias("c"))
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = values.agg(F.percentile_approx("v", grid, 10000).alias("edges"))
+    edges = value_edges(values, "v")
     bucketed = (
         counts.withColumn("edges", edges.scalar())
-        .withColumn("b", F.size(F.filter("edges", lambda e: e <= F.col("v"))))
+        .withColumn("b", bucket_of("edges", "v"))
         .drop("edges")
     )
     sizes = bucketed.groupBy("b").agg(F.sum("c").alias("n"))
-    total = sizes.agg(F.sum("n").alias("n")).scalar()
 
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", total)
+    # at most 257 rows from here to ``wanted``
+    ordered = Window.orderBy("b")
+    before, everything = (ordered.rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.unboundedFollowing))
+    starts = sizes.select(
+        "b",
+        "n",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+        F.sum("n").over(everything).alias("total"),
+    )
     position = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
     ranks = F.array(*[F.floor(p) for p in position], *[F.ceil(p) for p in position])
     wanted = starts.where(
@@ -60,6 +65,23 @@ def exact_quantiles(df: DataFrame, value: Column | str, probabilities: list[floa
     )
 
 
+def value_edges(df: DataFrame, value: Column | str) -> DataFrame:
+    """One row ``edges``: BUCKETS - 1 ascending values that split a column into ranges of similar size."""
+    grid = [i / BUCKETS for i in range(1, BUCKETS)]
+    return df.agg(F.percentile_approx(value, grid, 10000).alias("edges"))
+
+
+def bucket_of(edges: str, value: str) -> Column:
+    """Number of edges not above the value, by halving steps over the sorted edges."""
+    steps = F.array(*[F.lit(BUCKETS >> i) for i in range(1, BUCKETS.bit_length())])
+
+    def step(position: Column, size: Column) -> Column:
+        higher = position + size
+        return F.when(F.get(edges, higher - 1) <= F.col(value), higher).otherwise(position)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def exact_median(df: DataFrame, value: Column | str) -> Column:
     """Median of a whole column as a scalar subquery."""
     return exact_quantiles(df, value, [0.5]).select(F.col("q")[0].alias("median")).scalar()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import bearings, geometry, polyline
 from linkspark.functions.projection import project_line, unproject_line
 from linkspark.operators.grouping import keep_first
+from linkspark.operators.quantiles import bucket_of, value_edges
 
 # --- fixed values: least feature length (m) drawn per zoom level; resolution (m/pixel) ladder ---
 MIN_FEATURE_M = {
@@ -144,7 +145,7 @@ def priority_batches(
     )
 
 
-def global_rank(df: DataFrame, priority: str, key: str, parts: int = 256) -> DataFrame:
+def global_rank(df: DataFrame, priority: str, key: str) -> DataFrame:
     """1-based position by descending ``priority`` without a global sort; ties in order of the key's md5.
 
     Approximate percentiles split the values into ranges. A value held by very many rows is itself a
@@ -152,12 +153,10 @@ def global_rank(df: DataFrame, priority: str, key: str, parts: int = 256) -> Dat
     its offset, and a window ranks inside a range, so positions are exact.
     """
     value = F.coalesce(F.col(priority).cast("double"), F.lit(float("-inf")))
-    grid = [i / parts for i in range(1, parts)]
-    edges = df.agg(F.percentile_approx(value, grid, 10000).alias("edges")).scalar()
+    edges = value_edges(df, value).scalar()
     digest = F.md5(F.col(key).cast("string"))
-    split = df.withColumns({"__v": value, "__h": digest, "__edges": edges}).withColumn(
-        "__b", F.size(F.filter("__edges", lambda e: e <= F.col("__v")))
-    )
+    split = df.withColumns({"__v": value, "__h": digest, "__edges": edges})
+    split = split.withColumn("__b", bucket_of("__edges", "__v"))
     on_edge = F.col("__v") == F.get("__edges", F.col("__b") - 1)
     slice_ = F.conv(F.substring("__h", 1, 2), 16, 10).cast("int") + 1
     split = split.withColumn("__t", F.when(on_edge, slice_).otherwise(0)).drop("__edges")
