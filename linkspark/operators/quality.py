@@ -75,7 +75,7 @@ def _statistics(df: DataFrame, column: str, issues: dict[str, Column]) -> DataFr
 
 
 def _scored(stats: DataFrame, bad: Column) -> DataFrame:
-    score = F.greatest(F.lit(0.0), 100.0 - bad * 100.0 / F.nullif(F.col("count"), F.lit(0)))
+    score = F.when(F.col("count") > 0, F.greatest(F.lit(0.0), 100.0 - bad * 100.0 / F.col("count")))
     return stats.withColumn("quality_score", score).withColumn(
         "quality_level", F.when(score.isNotNull(), level_of(score, VALUE_LEVELS))
     )
@@ -146,8 +146,8 @@ def geometry_quality(lines: DataFrame, limits: QualityThresholds = LIMITS) -> Da
         "long_links": v > limits.max_length_m,
     }
     stats = _statistics(measured, "positive", issues)
-    total = F.nullif(F.col("total_features"), F.lit(0))
-    score = F.greatest(F.lit(0.0), 100.0 - (F.col("invalid") + F.col("long_links")) * 100.0 / total)
+    bad, total = F.col("invalid") + F.col("long_links"), F.col("total_features")
+    score = F.when(total > 0, F.greatest(F.lit(0.0), 100.0 - bad * 100.0 / total))
     return stats.withColumn("quality_score", score).withColumn(
         "quality_level", F.when(score.isNotNull(), level_of(score, VALUE_LEVELS))
     )
