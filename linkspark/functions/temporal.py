@@ -62,9 +62,9 @@ def local_to_utc(wall: Column, timezone: str) -> Column:
 
 def floor_to_interval(ts: Column, minutes: int) -> Column:
     """Start of the slot of ``minutes`` that ``ts`` lies in, counted from the full hour."""
-    return F.date_trunc("hour", ts).cast("timestamp_ntz") + F.make_interval(
-        mins=(F.floor(F.minute(ts) / minutes) * minutes).cast("int")
-    )
+    wall = ts.cast("timestamp_ntz")
+    past = F.make_interval(mins=F.minute(wall) % minutes, secs=F.extract(F.lit("SECOND"), wall))
+    return wall - past
 
 
 def day_period(hour: Column) -> Column:

@@ -378,7 +378,7 @@ def failure_periods(failed: DataFrame, links: DataFrame, order: str) -> DataFram
 def code_histogram(df: DataFrame) -> DataFrame:
     """Rows and share per validation code, with its description."""
     counted = df.groupBy("valid_code").agg(F.count("*").alias("count"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = counted.agg(F.sum("count").alias("n")).scalar()
     table = [F.lit(part) for item in CODE_TEXT.items() for part in item]
     described = F.coalesce(
         F.try_element_at(F.create_map(*table), F.col("valid_code")),

@@ -10,6 +10,11 @@ from linkspark.operators import cleaning, filters, rollup, temporal
 from linkspark.sources import csv, holidays, sinks
 
 
+ROLLUP_INPUT = [
+    "name", "date", "hour_of_day", "daytype", "is_valid", "duration", "static_duration", "distance", "speed",
+]
+
+
 def prepare(df: DataFrame, params: AggregationParams, calendar: DataFrame | None = None, order=None) -> DataFrame:
     """Cleaned observations with all temporal attributes.
 
@@ -46,8 +51,8 @@ def run(
 ) -> dict[str, str]:
     """Read, clean, roll up and write everything; returns ``{output: folder}``.
 
-    The hourly table is written first and read back, so reports and the weekly profile start from it
-    instead of from the raw rows.
+    The cleaned rows (rollup columns only) and the hourly table are written and read back, so the text
+    files are parsed and deduplicated once and every report starts from the smallest stored table.
     """
     params.check()
     raw = csv.read_observations(spark, input_path)
@@ -55,12 +60,14 @@ def run(
     if custom_holidays:
         calendars.append(holidays.read_custom(spark, custom_holidays))
     calendar = temporal.holiday_calendar(*calendars) if calendars else None
-    prepared = filters.select_observations(prepare(raw, params, calendar), params)
+    cleaned = filters.select_observations(prepare(raw, params, calendar), params)
 
     out = {name: f"{output_dir}/{name}" for name in (
-        "hourly", "hourly_csv", "weekly_csv", "quality_by_link", "invalid_reasons", "run_summary",
+        "observations", "hourly", "hourly_csv", "weekly_csv", "quality_by_link", "invalid_reasons", "run_summary",
         "valid_hours_by_daytype", "run_config", "hourly_preview", "weekly_preview",
     )}
+    sinks.write_parquet(cleaned.select(*[c for c in ROLLUP_INPUT if c in cleaned.columns]), out["observations"])
+    prepared = spark.read.parquet(out["observations"])
     hourly = rollup.hourly_aggregation(prepared, params.min_valid_per_hour)
     sinks.write_parquet(hourly, out["hourly"], ["date"])
     stored = spark.read.parquet(out["hourly"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linkspark.config import AggregationParams
 from linkspark.functions import text
+from linkspark.functions.temporal import floor_to_interval
 from linkspark.operators import rollup, spatial, temporal
 from linkspark.workload.encoding import encode
 
@@ -152,12 +153,7 @@ class Views:
         letters = ", ".join(f"'{c}'" for c in DAY_LETTERS)
         ev = self.table("events").selectExpr(
             "*", "user_id div 5 + 2 AS k", "CAST(event_id % 4 AS INT) AS v", "weekday(ts) AS wd",
-            "date_trunc('hour', ts) AS full_hour",
-        ).withColumn(
-            "slot",
-            F.col("full_hour").cast("timestamp_ntz")
-            + F.make_interval(mins=(F.floor(F.minute("ts") / 15) * 15).cast("int")),
-        )
+        ).withColumn("slot", floor_to_interval(F.col("ts"), 15))
         return ev.selectExpr(
             "event_id AS data_id",
             "concat('s_', k, '-', k + 100) AS name",
