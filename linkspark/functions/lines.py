@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql.functions import arrow_udf
 
 LINE_TYPE = "array<struct<x: double, y: double>>"
 POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -33,3 +35,14 @@ def from_numpy(x: np.ndarray, y: np.ndarray, counts: np.ndarray, valid: np.ndarr
 def starts_of(counts: np.ndarray) -> np.ndarray:
     """First flat position of every row."""
     return np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
+
+
+def coordinate_text(lat: Column, lon: Column) -> Column:
+    """``lat,lon`` with fifteen decimals of the exact binary value (the JVM formatter pads the shortest form)."""
+
+    @arrow_udf("string")
+    def text(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([None if p is None or q is None else f"{p:.15f},{q:.15f}" for p, q in pairs], pa.string())
+
+    return text(lat, lon)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import bearings, geometry, polyline
+from linkspark.functions.lines import coordinate_text
 from linkspark.functions.projection import project_line, unproject_line
 from linkspark.operators.grouping import keep_first
 from linkspark.operators.quantiles import bucket_of, value_edges
@@ -258,7 +259,6 @@ def azimuth_table(lines: DataFrame, crs: str | None = None, key: str | None = No
         {"code_a": bearings.octant_code(c("azi_a")), "code_b": bearings.octant_code(c("azi_b"))}
     )
     kid = c(key).cast("string")
-    coordinate = lambda lat, lon: F.format_string("%.15f,%.15f", c(lat), c(lon))
     code = lambda column: c(column).cast("string")
     return coded.select(
         kid.alias("kid"),
@@ -266,8 +266,8 @@ def azimuth_table(lines: DataFrame, crs: str | None = None, key: str | None = No
         "code_a", bearings.octant_name(c("code_a")).alias("dir_a"), "azi_a",
         "code_b", bearings.octant_name(c("code_b")).alias("dir_b"), "azi_b",
         "start_lat", "start_lon", "end_lat", "end_lon", "start_x", "start_y", "end_x", "end_y",
-        coordinate("start_lat", "start_lon").alias("start_coord"),
-        coordinate("end_lat", "end_lon").alias("end_coord"),
+        coordinate_text(c("start_lat"), c("start_lon")).alias("start_coord"),
+        coordinate_text(c("end_lat"), c("end_lon")).alias("end_coord"),
         F.concat(code("code_b"), F.lit("-"), code("code_a")).alias("travel_mode"),
         "azi_a_raw", "azi_b_raw", "azi_a_sw", "azi_b_sw", "azi_a_pl", "azi_b_pl", "axis_fix",
     )

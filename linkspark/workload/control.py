@@ -321,10 +321,7 @@ def length_test(v):
     return control.measure_pairs(pairs, params).select("route_id", "link_id", "length_ratio", "length_pass")
 
 
-@query(
-    "coverage",
-    "routes link_segments route_segments",
-    """
+COVERAGE_CTE = """
 , steps AS (SELECT link_id, seq, x1, y1, x2, y2, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len,
                    CAST(greatest(1, ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 5.0)) AS INT) AS n FROM link_segments),
   points AS (SELECT link_id, seq, i, x1 + (x2 - x1) * (i - 0.5) / n AS x, y1 + (y2 - y1) * (i - 0.5) / n AS y, len / n AS step
@@ -338,6 +335,14 @@ def length_test(v):
            GROUP BY route_id, link_id, seq, i),
   share AS (SELECT route_id, link_id, coalesce(sum(step) FILTER (WHERE d <= 1e-6), 0) AS strict, coalesce(sum(step) FILTER (WHERE d <= 5), 0) AS loose, sum(step) AS total
             FROM near GROUP BY route_id, link_id)
+"""
+
+
+@query(
+    "coverage",
+    "routes link_segments route_segments",
+    COVERAGE_CTE
+    + """
 SELECT route_id, link_id, round(100 * least(1.0, CASE WHEN strict > 0 THEN strict ELSE loose END / total), 4) AS coverage_percent,
        CASE WHEN strict > 0 THEN strict ELSE loose END / total >= 0.85 AS coverage_pass FROM share""",
     digits=4,
@@ -400,13 +405,29 @@ def validate_geometry_only(v):
     return control.validate(raw, v.lines, METRIC).select("data_id", "valid_code", "is_valid", "hausdorff_distance")
 
 
-@query("validate_all_tests")
+ALL_TESTS_SQL = (
+    COVERAGE_CTE
+    + VALIDATE_SQL.format(
+        time='OR "timestamp" IS NULL',
+        context='CASE WHEN count(*) OVER (PARTITION BY name, "timestamp") = 1 THEN 2 ELSE 3 END',
+    ).split("SELECT data_id, valid_code,")[0]
+    + """
+SELECT data_id, valid_code, coalesce(valid_code < 90 AND hausdorff_distance <= 5 AND part >= 0.85, false) AS is_valid,
+       coalesce(valid_code < 90 AND hausdorff_distance <= 5, false) AS hausdorff_pass,
+       CASE WHEN valid_code < 90 THEN 1.0 ELSE -1.0 END AS length_ratio, valid_code < 90 AS length_pass,
+       CASE WHEN valid_code < 90 THEN round(100 * part, 4) ELSE -1.0 END AS coverage_percent,
+       coalesce(valid_code < 90 AND part >= 0.85, false) AS coverage_pass
+FROM coded c LEFT JOIN (SELECT route_id, least(1.0, CASE WHEN strict > 0 THEN strict ELSE loose END / total) AS part FROM share) s
+     ON s.route_id = c.route_id"""
+)
+
+
+@query("validate_all_tests", "obs links routes link_segments route_segments pair_distance", ALL_TESTS_SQL, digits=4)
 def validate_all_tests(v):
     out = control.validate(_raw(v), v.lines, FULL)
-    return out.select(
-        "data_id", "valid_code", "is_valid", "hausdorff_pass", "length_ratio", "length_pass", "coverage_percent",
-        "coverage_pass",
-    )
+    passed = {c: F.coalesce(c, F.lit(False)) for c in ("hausdorff_pass", "length_pass", "coverage_pass")}
+    values = {c: F.coalesce(c, F.lit(-1.0)) for c in ("length_ratio", "coverage_percent")}
+    return out.withColumns(passed | values).select("data_id", "valid_code", "is_valid", *passed, *values)
 
 
 @query(
@@ -480,21 +501,91 @@ def octants(v):
     return coded.withColumn("direction", bearings.octant_name(F.col("code")))
 
 
-@query("azimuth_ids")
+AZIMUTH_CTE = """
+, -- recursive
+  ends AS (SELECT DISTINCT polyline AS kid, 34.5::DOUBLE + (k % 100) * 0.01::DOUBLE AS lon1,
+                  31.0::DOUBLE + (k // 100 % 100) * 0.01::DOUBLE + v * 0.00002::DOUBLE AS lat1,
+                  34.5::DOUBLE + (k % 100) * 0.01::DOUBLE + (3 + k % 3) * 0.002::DOUBLE AS lon2,
+                  31.0::DOUBLE + (k // 100 % 100) * 0.01::DOUBLE + ((k * (3 + k % 3)) % 3) * 0.0005::DOUBLE + v * 0.00002::DOUBLE AS lat2
+           FROM obs),
+  pairs AS (SELECT kid, 'regular' AS kind, lon1 AS a1, lat1 AS b1, lon2 AS a2, lat2 AS b2 FROM ends
+           UNION ALL SELECT kid, 'swapped', lat1, lon1, lat2, lon2 FROM ends),
+  start AS (SELECT kid, kind, 1 / 298.257223563 AS f, atan((1 - 1 / 298.257223563) * tan(radians(b1))) AS u1,
+                   atan((1 - 1 / 298.257223563) * tan(radians(b2))) AS u2, radians(a2 - a1) AS l FROM pairs),
+  step AS (SELECT *, l AS lam, 0 AS n FROM start
+           UNION ALL
+           SELECT kid, kind, f, u1, u2, l,
+                  l + (1 - c) * f * sa * (atan2(ss, cs) + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))) AS lam, n + 1 AS n
+           FROM (SELECT *, f / 16 * c2a * (4 + f * (4 - 3 * c2a)) AS c,
+                        CASE WHEN c2a <> 0 THEN cs - 2 * sin(u1) * sin(u2) / c2a ELSE 0 END AS c2m
+                 FROM (SELECT *, 1 - sa * sa AS c2a
+                       FROM (SELECT *, CASE WHEN ss <> 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa
+                             FROM (SELECT *, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) AS ss,
+                                          sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs
+                                   FROM step WHERE n < 20))))),
+  solved AS (SELECT kid, kind,
+                    (degrees(atan2(cos(u2) * sin(lam), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam))) + 360) % 360 AS fwd,
+                    (degrees(atan2(cos(u1) * sin(lam), cos(u1) * sin(u2) * cos(lam) - sin(u1) * cos(u2))) + 540) % 360 AS back
+             FROM step WHERE n = 20),
+  wide AS (SELECT e.*, r.fwd AS fwd, r.back AS back, s.fwd AS fwd_sw, s.back AS back_sw,
+                  (degrees(atan2(lon2 - lon1, lat2 - lat1)) + 360) % 360 AS plane
+           FROM ends e JOIN solved r ON e.kid = r.kid AND r.kind = 'regular' JOIN solved s ON e.kid = s.kid AND s.kind = 'swapped'),
+  fixed AS (SELECT *, CASE WHEN abs((fwd_sw - plane + 540) % 360 - 180) + 1e-9 < abs((fwd - plane + 540) % 360 - 180)
+                                AND abs((fwd_sw - plane + 540) % 360 - 180) <= 45 THEN 1 ELSE 0 END AS axis_fix FROM wide),
+  chosen AS (SELECT *, CASE WHEN axis_fix = 1 THEN fwd_sw ELSE fwd END AS azi_a, CASE WHEN axis_fix = 1 THEN back_sw ELSE back END AS azi_b FROM fixed),
+  coded AS (SELECT *, CAST(floor((azi_a + 22.5) % 360 / 45) AS INT) + 1 AS code_a, CAST(floor((azi_b + 22.5) % 360 / 45) AS INT) + 1 AS code_b FROM chosen)
+"""
+
+
+@query(
+    "azimuth_ids",
+    "obs",
+    AZIMUTH_CTE
+    + """SELECT kid, kid || '-' || code_b || code_a AS "Id", code_a, code_b, code_b || '-' || code_a AS travel_mode, axis_fix,
+       round(azi_a, 6) AS azi_a, round(azi_b, 6) AS azi_b, round(fwd, 6) AS azi_a_raw, round(fwd_sw, 6) AS azi_a_sw, round(plane, 6) AS azi_a_pl,
+       ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][code_a] AS dir_a, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][code_b] AS dir_b FROM coded""",
+)
 def azimuth_ids(v):
-    return spatial.azimuth_table(v.geo_routes.withColumnRenamed("link_id", "link"), key="route_id")
+    table = spatial.azimuth_table(v.geo_routes.withColumnRenamed("link_id", "link"), key="route_id")
+    return table.select(
+        "kid", "Id", "code_a", "code_b", "travel_mode", "axis_fix", "azi_a", "azi_b", "azi_a_raw", "azi_a_sw",
+        "azi_a_pl", "dir_a", "dir_b",
+    )
 
 
-@query("azimuth_diag")
+@query(
+    "azimuth_diag",
+    "obs",
+    AZIMUTH_CTE
+    + """SELECT round(avg(d), 6) AS avg_diff, round(max(d), 6) AS max_diff, count(*) FILTER (WHERE d > 90) AS flips, CAST(sum(axis_fix) AS BIGINT) AS axis_fixes
+       FROM (SELECT axis_fix, abs((azi_a - plane + 540) % 360 - 180) AS d FROM coded)""",
+)
 def azimuth_diag(v):
     return spatial.azimuth_diagnostics(spatial.azimuth_table(v.geo_routes, key="route_id"))
 
 
-@query("request_table")
+@query(
+    "request_table",
+    "obs",
+    AZIMUTH_CTE
+    + """SELECT kid || '-' || code_b || code_a AS "Id", 0 AS mode, printf('%.15f,%.15f', lat1, lon1) AS start_coord, printf('%.15f,%.15f', lat2, lon2) AS end_coord FROM coded""",
+)
 def request_table(v):
     return spatial.request_table(spatial.azimuth_table(v.geo_routes, key="route_id"))
 
 
+@query(
+    "project_web",
+    "route_vertices",
+    """SELECT route_id, seq, round(radians(lon) * 6378137.0, 4) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 4) AS y
+       FROM (SELECT route_id, seq, 34.5 + (k % 100) * 0.01 + seq * 0.002 AS lon,
+                    31.0 + (k // 100 % 100) * 0.01 + ((k * seq) % 3) * 0.0005 + v * 0.00002 AS lat FROM route_vertices)""",
+    digits=4,
+)
+def project_web(v):
+    return spatial.explode_vertices(spatial.project(v.geo_routes.select("route_id", "line"), "EPSG:3857"))
+
+
 @query("project_vertices")
 def project_vertices(v):
     metric = spatial.project(v.geo_routes.select("route_id", "line"), "EPSG:2039")

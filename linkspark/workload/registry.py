@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkspark.workload.views import CTES, Views
 
+RECURSION = "-- recursive"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -61,7 +62,8 @@ def with_ctes(names: list[str], body: str) -> str:
         need(name)
     plain = {n: n for n in CTES}
     ctes = ",\n".join(f"{n} AS ({CTES[n].format(**plain).strip()})" for n in wanted)
-    return f"WITH {ctes}\n{body.strip()}" if wanted else body.strip()
+    keyword = "WITH RECURSIVE" if RECURSION in body else "WITH"
+    return f"{keyword} {ctes}\n{body.strip()}" if wanted else body.strip()
 
 
 def work_folder(spark: SparkSession) -> str:
