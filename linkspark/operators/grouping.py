@@ -53,7 +53,7 @@ def lookup_join(
     """Left join to a table that is unique on ``keys`` and knows how many ``df`` rows each key has.
 
     Rows of hot keys are served by a broadcast of those keys; they keep away from the shuffle join by
-    a salt that no cold key has.
+    a salt that no cold key has. Rows with a NULL key match nothing and are spread the same way.
     """
     values = [c for c in lookup.columns if c not in keys and c != rows_column]
     hot = lookup.where(F.col(rows_column) > hot_rows).select(
@@ -62,7 +62,10 @@ def lookup_join(
     )
     cold = lookup.where(F.col(rows_column) <= hot_rows).select(*keys, *values, F.lit(0).alias("__salt"))
     plain = [F.col(k) == F.col(f"__key_{k}") for k in keys]
-    salt = F.when(F.col("__is_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1).otherwise(0)
+    apart = F.col("__is_hot").isNotNull()
+    for k in keys:
+        apart = apart | F.col(k).isNull()
+    salt = F.when(apart, F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1).otherwise(0)
     joined = df.join(F.broadcast(hot), plain, "left").withColumn("__salt", salt)
     joined = joined.join(cold, [*keys, "__salt"], "left")
     picked = [

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import bearings, geometry, polyline
 from linkspark.functions.lines import coordinate_text
 from linkspark.functions.projection import project_line, unproject_line
-from linkspark.operators.grouping import keep_first
+from linkspark.operators.grouping import HOT_ROWS, keep_first, lookup_join
 from linkspark.operators.quantiles import bucket_of, value_edges
 
 # --- fixed values: least feature length (m) drawn per zoom level; resolution (m/pixel) ladder ---
@@ -295,11 +295,18 @@ def request_table(table: DataFrame) -> DataFrame:
     return table.select("Id", F.lit(0).alias("mode"), "start_coord", "end_coord")
 
 
-def observation_geometry(df: DataFrame, links: DataFrame, link: str = "name", precision: int = 5) -> DataFrame:
-    """Line of each row: its decoded route, else the reference line of its link; rows with neither go."""
-    routes = decode_routes(df, "polyline", precision).withColumnRenamed("line", "__route")
+def observation_geometry(
+    df: DataFrame, links: DataFrame, link: str = "name", precision: int = 5, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Line of each row: its decoded route, else the reference line of its link; rows with neither go.
+
+    Distinct routes are decoded once and looked up, also where one route belongs to very many rows.
+    """
+    counted = df.where(F.col("polyline").isNotNull()).groupBy("polyline").agg(F.count("*").alias("__rows"))
+    routes = counted.withColumn("__route", polyline.decode(F.col("polyline"), precision))
     reference = links.select(F.col("link_id").alias("__ref"), F.col("line").alias("__reference"))
-    joined = df.join(routes, "polyline", "left").join(reference, F.col(link) == F.col("__ref"), "left")
+    located = lookup_join(df, routes, ["polyline"], "__rows", hot_rows)
+    joined = located.join(reference, F.col(link) == F.col("__ref"), "left")
     line = F.coalesce("__route", "__reference")
     source = F.when(F.col("__route").isNotNull(), "route").otherwise("reference")
     return (

@@ -43,7 +43,8 @@ def run(
     """
     out = {name: f"{output_dir}/{name}" for name in (
         "validated", "validated_csv", "best_valid_csv", "failed_csv", "no_data_csv", "link_report_csv",
-        "code_histogram_csv", "link_report_layer", "failed_routes_layer", "failed_reference_layer", "no_data_layer",
+        "code_histogram_csv", "link_report_layer", "failed_layer", "failed_routes_layer", "failed_reference_layer",
+        "no_data_layer", "run_config",
     )}
     validated = control.validate(repair_labels(observations), metric_links(links, params, links_crs), params)
     sinks.write_parquet(validated, out["validated"])
@@ -61,12 +62,15 @@ def run(
     sinks.write_csv(flat, out["link_report_csv"], ["From", "To"], bom=True, numbers=sinks.significant)
     sinks.write_csv(control.code_histogram(rows), out["code_histogram_csv"], ["valid_code"])
     sinks.write_geojson_lines(sinks.short_names(report), out["link_report_layer"])
+    located = spatial.observation_geometry(failed, links, precision=params.polyline_precision)
+    sinks.write_geojson_lines(located, out["failed_layer"])
     unique = control.unique_routes(failed, [order])
     routes = unique.join(spatial.decode_routes(unique, precision=params.polyline_precision), "polyline")
     sinks.write_geojson_lines(routes.where(F.col("line").isNotNull()), out["failed_routes_layer"])
     periods = control.failure_periods(failed, links, order)
     sinks.write_geojson_lines(periods.join(shapes, "link_id"), out["failed_reference_layer"])
     sinks.write_geojson_lines(no_data.join(shapes, "link_id"), out["no_data_layer"])
+    sinks.write_run_config(spark, params, out["run_config"], schedule=str(schedule))
     if schedule:
         missing = control.missing_observations(rows, schedule)
         out["missing_csv"] = sinks.write_extract_csv(missing, f"{output_dir}/missing_csv")

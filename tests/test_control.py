@@ -133,6 +133,17 @@ def test_validation_cases(spark):
     assert codes == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 90, 9: 91, 10: 92, 11: 93, 12: 1}
 
 
+def test_observation_geometry_with_hot_and_null_routes(spark):
+    good = encoded(spark, [(0.0, 0.0), (2.0, 0.0)])
+    rows = [(i, "s_1-2", at(1), 1, good if i % 3 else (None if i % 2 else "bad~")) for i in range(60)]
+    rows.append((99, "s_9-9", at(1), 1, None))
+    df = spark.createDataFrame(rows, OBS).repartition(4)
+    for hot_rows in (1_000_000, 5):
+        out = {r.data_id: r for r in spatial.observation_geometry(df, lines(spark), hot_rows=hot_rows).collect()}
+        assert set(out) == set(range(60))
+        assert all(out[i].geometry_source == ("route" if i % 3 else "reference") for i in out)
+
+
 def test_all_three_tests(spark):
     params = ValidationParams(
         use_length_check=True, use_coverage_check=True, crs_metric=None, min_link_length_m=0.5, coverage_spacing_m=0.1

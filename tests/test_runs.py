@@ -73,6 +73,7 @@ def test_control_run(spark, folder):
     assert report["2"].perfect_match_percent is None
     features = [json.loads(r.value) for r in spark.read.text(out["failed_routes_layer"]).collect()]
     assert len(features) == 1 and features[0]["geometry"]["coordinates"][0] == [34.8, 32.01]
+    assert spark.read.text(out["failed_layer"]).count() == 1
     layer = [json.loads(r.value) for r in spark.read.text(out["link_report_layer"]).collect()]
     assert {f["properties"]["link_id"] for f in layer} == {"s_1-2", "s_2-3"}
 
