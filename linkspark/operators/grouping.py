@@ -60,7 +60,9 @@ def lookup_join(
         *[F.col(k).alias(f"__key_{k}") for k in keys], *[F.col(v).alias(f"__hot_{v}") for v in values],
         F.lit(True).alias("__is_hot"),
     )
-    cold = lookup.where(F.col(rows_column) <= hot_rows).select(*keys, *values, F.lit(0).alias("__salt"))
+    # always 0 here, but not a literal: a literal would be folded out of the join keys, and with it the salt
+    cold_salt = (F.col(rows_column) > hot_rows).cast("int").alias("__salt")
+    cold = lookup.where(F.col(rows_column) <= hot_rows).select(*keys, *values, cold_salt)
     plain = [F.col(k) == F.col(f"__key_{k}") for k in keys]
     apart = F.col("__is_hot").isNotNull()
     for k in keys:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linkspark.config import CompletenessParams, ValidationParams
 from linkspark.operators import control, spatial
+from linkspark.operators.grouping import lookup_join
 from linkspark.workload.encoding import encode
 
 METRIC = ValidationParams(crs_metric=None)
@@ -95,6 +96,20 @@ def test_hot_groups_give_the_same_result(spark):
     assert a == {r.data_id for r in control.failed_observations(rows, hot_rows=5).collect()} and set(range(1000)) <= a
 
 
+def test_hot_lookups_are_spread_by_the_salt(spark):
+    df = spark.range(1000).selectExpr("CASE WHEN id < 600 THEN 1 ELSE id END AS k", "id").repartition(4)
+    lookup = df.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
+    joined = lookup_join(df, lookup, ["k"], "n", hot_rows=100)
+    assert all(r.v == r.k * 10 for r in joined.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lookup_join(df, lookup, ["k"], "n", hot_rows=100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line]
+    assert sum("__salt" in line for line in exchanges) == 2
+
+
 def lines(spark):
     rows = [("s_11430-1321", [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]), ("s_1-2", [(0.0, 1.0), (0.0, 3.0)])]
     return spark.createDataFrame(rows, f"link_id string, line {LINE}")
