@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark import schema
-from linkspark.config import AggregationParams
 from linkspark.operators.quantiles import exact_median
 
 HOUR_KEYS = ["link_id", "date", "hour_of_day", "daytype"]
@@ -81,8 +80,8 @@ def weekly_profile(hourly: DataFrame, grouping: str = "daytype") -> DataFrame:
     if grouping == "weekday_index" and "weekday_index" not in rows.columns:
         rows = rows.withColumn("weekday_index", F.weekday("date"))
     keys = ["link_id", grouping, "hour_of_day"]
-    # dates first: a profile cell sees each date once per day type, so n_days needs no distinct pass
-    # when grouped by day type; by weekday, day types of one date are merged before
+    # the hourly key has the date and the day type, so by day type every date is one row of its cell;
+    # by weekday a date may have rows of several day types
     measures = [
         F.avg("n_valid").alias("avg_n_valid"),
         F.sum("n_valid").alias("total_valid_n"),

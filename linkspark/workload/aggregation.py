@@ -50,14 +50,12 @@ def weekly_of(src: str, group: str) -> str:
 # --- rollups ---
 
 
-@query("hourly_agg", "hourly", HOURLY_SQL.format(src="hourly"), dates="date"
-)
+@query("hourly_agg", "hourly", HOURLY_SQL.format(src="hourly"), dates="date")
 def hourly_agg(v):
     return v.hourly
 
 
-@query("hourly_agg_large", "big", HOURLY_SQL.format(src=BIG_HOURLY), dates="date"
-)
+@query("hourly_agg_large", "big", HOURLY_SQL.format(src=BIG_HOURLY), dates="date")
 def hourly_agg_large(v):
     return rollup.hourly_aggregation(v.big)
 
@@ -159,7 +157,8 @@ def hourly_contract(v):
 @query(
     "preview",
     "hourly",
-    HOURLY_SQL.format(src="hourly") + "\nORDER BY link_id NULLS LAST, date, hour_of_day, daytype LIMIT 100", dates="date"
+    HOURLY_SQL.format(src="hourly") + "\nORDER BY link_id NULLS LAST, date, hour_of_day, daytype LIMIT 100",
+    dates="date",
 )
 def preview(v):
     return rollup.preview(v.hourly, ["link_id", "date", "hour_of_day", "daytype"])
@@ -436,7 +435,8 @@ def localize_dst(v):
 @query(
     "derive_time",
     "timed",
-    'SELECT data_id, "timestamp", date, hour_of_day, iso_week, weekday_index FROM timed', dates="date"
+    'SELECT data_id, "timestamp", date, hour_of_day, iso_week, weekday_index FROM timed',
+    dates="date",
 )
 def derive_time(v):
     out = temporal.add_time_columns(v.obs)
@@ -467,8 +467,7 @@ def map_daytype(v):
     return temporal.map_daytypes(rows, {"special": ["other"]}).select("data_id", "daytype")
 
 
-@query("holiday_calendar", "calendar", "SELECT date, name FROM calendar", dates="date"
-)
+@query("holiday_calendar", "calendar", "SELECT date, name FROM calendar", dates="date")
 def holiday_calendar(v):
     return v.calendar
 
@@ -485,8 +484,7 @@ def classify_holidays(v):
     return rows.select("data_id", "is_holiday", "holiday_name", "daytype")
 
 
-@query("enhance", "enh", "SELECT data_id, date, hour_of_day, weekday_index, daytype, is_holiday, holiday_name FROM enh", dates="date"
-)
+@query("enhance", "enh", "SELECT data_id, date, hour_of_day, weekday_index, daytype, is_holiday, holiday_name FROM enh", dates="date")
 def enhance(v):
     return v.enhanced.select(
         "data_id", "date", "hour_of_day", "weekday_index", "daytype", "is_holiday", "holiday_name"
@@ -592,7 +590,8 @@ def f_report_date(v):
 @query(
     "f_map_time",
     "results",
-    "SELECT link_id, date, hour, daytype FROM results WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' AND hour BETWEEN 6 AND 9", dates="date"
+    "SELECT link_id, date, hour, daytype FROM results WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' AND hour BETWEEN 6 AND 9",
+    dates="date",
 )
 def f_map_time(v):
     out = filters.by_map_time(v.results, ("2024-01-05", "2024-01-12"), (6, 9))
@@ -602,7 +601,8 @@ def f_map_time(v):
 @query(
     "f_attr",
     "results",
-    "SELECT link_id, date, hour, daytype FROM results WHERE avg_speed_kmh > 40 AND avg_duration_sec < 500 AND n_valid BETWEEN 1 AND 3", dates="date"
+    "SELECT link_id, date, hour, daytype FROM results WHERE avg_speed_kmh > 40 AND avg_duration_sec < 500 AND n_valid BETWEEN 1 AND 3",
+    dates="date",
 )
 def f_attr(v):
     rules = {
@@ -617,14 +617,14 @@ def f_attr(v):
 @query(
     "f_text",
     "results",
-    "SELECT link_id, date, hour, daytype FROM results WHERE link_id LIKE '%\\_1%' ESCAPE '\\' OR link_id LIKE '%-120%'", dates="date"
+    "SELECT link_id, date, hour, daytype FROM results WHERE link_id LIKE '%\\_1%' ESCAPE '\\' OR link_id LIKE '%-120%'",
+    dates="date",
 )
 def f_text(v):
     return filters.by_text(v.results, "link_id", "S_1", "-120\n").select("link_id", "date", "hour", "daytype")
 
 
-@query("f_sparse", "results", "SELECT link_id, date, hour, daytype, n_valid FROM results WHERE n_valid >= 2", dates="date"
-)
+@query("f_sparse", "results", "SELECT link_id, date, hour, daytype, n_valid FROM results WHERE n_valid >= 2", dates="date")
 def f_sparse(v):
     return filters.drop_sparse(v.results, 2).select("link_id", "date", "hour", "daytype", "n_valid")
 
