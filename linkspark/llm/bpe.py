@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from linkspark.llm.tables import per_text
 
 # The word pattern, the white space and the byte alphabet of the vocabulary format.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r 0-9a-z]+")
 END = "</w>"
