@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkspark.llm import bpe
-from linkspark.llm.tables import table
+from linkspark.llm import bpe, language
+from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,10 @@ def query(fn):
 @query
 def op5_bpe_prefix_tokens(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
+
+
+@query
+def op6_compression_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs), ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
