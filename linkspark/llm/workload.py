@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, language
+from linkspark.llm import bpe, language, secrets
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op6_compression_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs), ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op2_linked_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"), ["doc_id"])
