@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, language, secrets
+from linkspark.llm import bpe, language, licenses, secrets
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,11 @@ def op6_compression_language(spark, sf_dir):
 @query
 def op2_linked_secrets(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op8_license_dice(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+ORACLES["op8_license_dice"] = licenses.oracle()
