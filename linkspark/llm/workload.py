@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, language, licenses, secrets
+from linkspark.llm import bpe, language, licenses, mixing, secrets
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op8_license_dice(spark, sf_dir):
 
 
 ORACLES["op8_license_dice"] = licenses.oracle()
+
+
+@query
+def op10_entropy_balance(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
