@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, language, licenses, mixing, secrets
+from linkspark.llm import bpe, credentials, language, licenses, mixing, outliers, passages
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ def op6_compression_language(spark, sf_dir):
 
 @query
 def op2_linked_secrets(spark, sf_dir):
-    return secrets.report(table(spark, sf_dir, "documents"), ["doc_id"])
+    return credentials.report(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @query
@@ -53,3 +53,19 @@ ORACLES["op8_license_dice"] = licenses.oracle()
 @query
 def op10_entropy_balance(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op3_robust_outliers(spark, sf_dir):
+    found = outliers.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+@query
+def op9_attention_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = passages.train(docs, table(spark, sf_dir, "labels"))
+    found = passages.scored(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
