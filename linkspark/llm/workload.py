@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, credentials, language, licenses, mixing, outliers, passages
+from linkspark.llm import bpe, credentials, language, licenses, mixing, neighbours, outliers, passages
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op9_attention_quality(spark, sf_dir):
     model = passages.train(docs, table(spark, sf_dir, "labels"))
     found = passages.scored(docs, model, ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_collision_counting(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
