@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, credentials, language, licenses, mixing, neighbours, outliers, passages
+from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op9_attention_quality(spark, sf_dir):
 @query
 def op7_collision_counting(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.similar(table(spark, sf_dir, "documents"))
