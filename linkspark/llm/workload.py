@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages
+from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages, suffix
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op7_collision_counting(spark, sf_dir):
 @query
 def op1_ngram_jaccard(spark, sf_dir):
     return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffix.removed(table(spark, sf_dir, "documents"))
