@@ -187,3 +187,17 @@ def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
     done = F.aggregate(F.array_sort(spans), empty, cut)
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"], F.length(text)))).otherwise(text)
+
+
+def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every secret of the text replaced by ``mark``; null texts stay null.
+
+    Only the linked spans, of few documents, are joined to the texts; strong ones are found again in place.
+    """
+    keep = [c for c in docs.columns if c != text]
+    found = linked(stored(parts(docs, keep, text)))
+    spots = parts(docs.withColumn("_text", F.col(text)), [*keep, "_text"], "_text").drop("_row", "_weak", "_blanks")
+    row = F.xxhash64(*[F.col(c) for c in keep], "_text").alias("_row")
+    joined = spots.select("*", row).join(found, "_row", "left")
+    spans = F.concat("_strong", F.coalesce("_linked", F.expr(f"cast(array() as {SPAN})")))
+    return joined.withColumn(text, masked(F.col("_text"), spans, mark)).select(*docs.columns)

@@ -124,10 +124,14 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text") -> DataFr
     """The rows of ``docs``, each as often as it has copies."""
     key = F.xxhash64(*[F.col(c) for c in docs.columns])
     keyed = docs.withColumn("_key", key)
-    copies = mix(keyed, ["_key"], source, text).groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    copies = mix(keyed, ["_key"], source, text).groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    # equal rows share their copies
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    shared = F.floor(F.col("_copies") / F.col("_rows")) + (turn <= F.col("_copies") % F.col("_rows")).cast("long")
     return (
-        keyed.dropDuplicates(["_key"])
-        .join(copies, "_key")
+        keyed.join(copies.where("_copies > 0"), "_key")
+        .withColumn("_copies", shared)
+        .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
         .select(*docs.columns)
     )

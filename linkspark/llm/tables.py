@@ -59,7 +59,7 @@ def per_text(
     docs: DataFrame, keep: list[str], schema: str, fn: Callable[[list], Iterable[tuple]], text: str = "text"
 ) -> DataFrame:
     """Columns ``keep`` and the columns of ``schema``, which ``fn`` returns as a tuple for each text (or None)."""
-    kept = docs.select(*keep, text)
+    kept = docs.select(*keep, F.col(text).alias("_text"))
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)]] + [schema])
 
     def run(batches):
