@@ -20,8 +20,9 @@ from linkspark.llm.tables import stored, text_slices
 SIGNS = b"#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: Share of a group's rows that the estimate rests on, and steps at most.
-CORE, STEPS = 0.75, 8
+#: Share of a group's rows that the estimate rests on, steps at most, and the change of the determinant's logarithm
+#: below which a group is settled.
+CORE, STEPS, SETTLED = 0.75, 8, 0.01
 #: Rows that a language and source needs for an estimate of its own.
 LEAST_ROWS = 200
 #: Words of usual prose that are added to every text, so that shares of short texts stay near it.
@@ -123,7 +124,7 @@ def distance() -> Column:
 def fit(rows: DataFrame) -> DataFrame:
     """``group``, ``mean`` and ``precision`` by minimum covariance determinant over rows with ``group`` and ``SHARES``."""
     p = len(SHARES)
-    near = lambda part: F.percentile_approx(part, CORE, 1000)
+    near = lambda part: F.percentile_approx(part, CORE, 10_000)
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(SHARES)]]
     sums += [F.sum(F.col(SHARES[i]) * F.col(SHARES[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
     schema = "group string, mean array<double>, precision array<double>, spread double"
@@ -131,15 +132,20 @@ def fit(rows: DataFrame) -> DataFrame:
     flat = lambda c, k: (F.lit(1.0) / (F.pow((F.col(c)[2] - F.col(c)[0]) / 1.349, 2) + FLOOR[k] ** 2))
     diagonal = [flat(SHARES[i], i) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
     state = stored(middle.select("group", F.array(*[F.col(c)[1] for c in SHARES]).alias("mean"), F.array(*diagonal).alias("precision"), F.lit(1e9).alias("spread")))
+    settled = None
     for _ in range(STEPS):
+        # groups whose determinant stays are not measured again
         placed = rows.join(state.drop("spread"), "group").withColumn("_d", distance())
         limits = placed.groupBy("group").agg(near("_d").alias("_limit"))
         moments = placed.join(limits, "group").where("_d <= _limit").groupBy("group").agg(*sums)
         after = stored(moments.mapInPandas(_estimates, schema).join(state.select("group", F.col("spread").alias("_before")), "group"))
-        moved = after.agg(F.max(F.abs(F.col("spread") - F.col("_before")))).first()[0]
-        state = after.drop("_before")
-        if moved is None or moved < 1e-3:
+        still = F.abs(F.col("spread") - F.col("_before")) < SETTLED
+        done = after.where(still).drop("_before")
+        settled = done if settled is None else settled.union(done)
+        state = after.where(~still).drop("_before")
+        if not state.take(1):
             break
+    state = state if settled is None else settled.union(state)
     # consistency: the median of the squared distances is that of a normal vector; rows within its usual range are
     # weighed once more
     placed = rows.join(state, "group").withColumn("_d", distance())
