@@ -15,6 +15,8 @@ from pyspark.sql.functions import arrow_udf
 from linkspark.functions.lines import starts_of, to_numpy
 
 SLICE = 2_000_000
+#: Sample points of a reference line held at once.
+COVERAGE_SAMPLES = 200_000
 STRICT_M = 1e-6
 
 
@@ -82,16 +84,23 @@ def coverage_batch(route: pa.Array, reference: pa.Array, spacing: float) -> np.n
     (x1, y1, x2, y2), per_line = _segments(rx, ry, rn)
     length = np.hypot(x2 - x1, y2 - y1)
     steps = np.maximum(np.ceil(length / spacing), 1).astype(np.int64)
-    segment = np.repeat(np.arange(len(length)), steps)
-    part = (np.arange(len(segment)) - np.repeat(starts_of(steps), steps) + 0.5) / steps[segment]
-    px = x1[segment] + (x2 - x1)[segment] * part
-    py = y1[segment] + (y2 - y1)[segment] * part
-    step = length[segment] / steps[segment]
-    row = np.repeat(np.arange(len(rn)), per_line)[segment]
-    distance = nearest(px, py, row, *_segments(lx, ly, ln))
-    total = np.bincount(row, step, len(rn))
-    strict = np.bincount(row, np.where(distance <= STRICT_M, step, 0.0), len(rn))
-    loose = np.bincount(row, np.where(distance <= max(spacing, STRICT_M), step, 0.0), len(rn))
+    owner = np.repeat(np.arange(len(rn)), per_line)
+    ends = np.cumsum(steps)
+    route_segments = _segments(lx, ly, ln)
+    total, strict, loose = (np.zeros(len(rn)) for _ in range(3))
+    # a slice may begin or end inside a segment, so neither many lines nor one long line fills the memory
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, COVERAGE_SAMPLES):
+        sample = np.arange(begin, min(begin + COVERAGE_SAMPLES, int(ends[-1])))
+        segment = np.searchsorted(ends, sample, side="right")
+        part = (sample - (ends - steps)[segment] + 0.5) / steps[segment]
+        px = x1[segment] + (x2 - x1)[segment] * part
+        py = y1[segment] + (y2 - y1)[segment] * part
+        step = length[segment] / steps[segment]
+        row = owner[segment]
+        distance = nearest(px, py, row, *route_segments)
+        total += np.bincount(row, step, len(rn))
+        strict += np.bincount(row, np.where(distance <= STRICT_M, step, 0.0), len(rn))
+        loose += np.bincount(row, np.where(distance <= max(spacing, STRICT_M), step, 0.0), len(rn))
     covered = np.where(strict > 0, strict, loose)
     share = np.divide(covered, total, out=np.zeros(len(rn)), where=total > 0)
     return np.clip(share, 0.0, 1.0)

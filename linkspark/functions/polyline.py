@@ -15,6 +15,7 @@ from linkspark.functions.lines import LINE_TYPE, from_numpy
 
 # --- fixed values: text alphabet starts at '?', five bits per character, bit six says that more follow ---
 FIRST, LAST, CONTINUES, BITS = 63, 126, 32, 5
+# 12 groups of five bits are 60 bits; a coordinate of 180 degrees takes 6 groups at five decimals
 LONGEST_NUMBER = 12
 
 

@@ -38,6 +38,31 @@ def parse_timestamp_any(text: Column, formats: list[str] | None = None) -> Colum
     return F.coalesce(*[parse_timestamp(text, fmt) for fmt in formats or TIMESTAMP_FORMATS])
 
 
+def parse_timestamp_free(text: Column, timezone: str | None = None) -> Column:
+    """Wall-clock timestamp of ISO text with ``T``, fractions or an offset; an offset is converted to ``timezone``.
+
+    Without a zone the offset's own wall clock is kept.
+    """
+    iso = F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.trim(text))
+    offset = iso.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)$")
+    wall = F.regexp_replace(iso, r"(Z|[+-]\d{2}(:?\d{2})?)$", "")
+    plain = F.when(offset, wall).otherwise(iso).try_cast("timestamp_ntz")
+    if timezone is None:
+        return plain
+    # the instant's clock in UTC is its own clock less the offset
+    away = F.regexp_extract(iso, r"(Z|[+-]\d{2}(:?\d{2})?)$", 1)
+    sign = F.when(away.startswith("-"), -1).otherwise(1)
+    digits = F.rpad(F.regexp_replace(away, r"[^0-9]", ""), 4, "0")
+    minutes = sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"))
+    utc = plain - F.make_interval(mins=F.coalesce(minutes, F.lit(0)))
+    return F.when(offset, F.convert_timezone(F.lit("UTC"), F.lit(timezone), utc)).otherwise(plain)
+
+
+def localize(wall: Column, timezone: str) -> Column:
+    """Wall clock as the zone's clock shows it: a time inside the spring gap moves one hour forward."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(timezone), local_to_utc(wall, timezone))
+
+
 def parse_timestamp_iso_first(text: Column) -> Column:
     """ISO layouts first, day-first layouts for what is left."""
     return parse_timestamp_any(text, ISO_FORMATS + DAY_FIRST_FORMATS)

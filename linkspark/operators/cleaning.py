@@ -26,8 +26,22 @@ def require_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def type_columns(df: DataFrame, decimal: str = ".") -> DataFrame:
-    """Text columns to their types; blanks and unparsable values become NULL."""
+def whole_number(text: Column) -> Column:
+    """Exact BIGINT of a text like ``12`` or ``12.0``; never by way of a double, which is exact to 2**53 only."""
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,6)").try_cast("bigint"))
+
+
+def has_text_ids(df: DataFrame) -> bool:
+    """Some ``data_id`` is no whole number; the column then stays text."""
+    if dict(df.dtypes).get("data_id") != "string":
+        return False
+    text = blank_to_null(F.col("data_id"), schema.NULL_TOKENS)
+    odd = text.isNotNull() & (whole_number(text).isNull() | (text.try_cast("decimal(38,6)") != whole_number(text)))
+    return bool(df.where(odd).select(F.lit(1)).take(1))
+
+
+def type_columns(df: DataFrame, decimal: str = ".", text_ids: bool = False) -> DataFrame:
+    """Text columns to their types; blanks and unparsable values become NULL. ``text_ids`` keeps ``data_id`` text."""
 
     def typed(name: str) -> Column:
         column = F.col(f"`{name}`")
@@ -35,8 +49,10 @@ def type_columns(df: DataFrame, decimal: str = ".") -> DataFrame:
             return column
         text = blank_to_null(column, schema.NULL_TOKENS)
         number = F.regexp_replace(text, ",", ".") if decimal == "," else text
+        if name == "data_id" and text_ids:
+            return text.alias(name)
         if name in schema.LONG_COLUMNS:
-            return number.try_cast("double").try_cast("bigint").alias(name)
+            return whole_number(number).alias(name)
         if name in schema.INT_COLUMNS:
             return number.try_cast("double").try_cast("int").alias(name)
         if name in schema.DOUBLE_COLUMNS:

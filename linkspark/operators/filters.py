@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkspark.config import AggregationParams, QualityThresholds
 
+#: Longer lists become joins; the result is the same.
 LITERAL_LIST_LIMIT = 1000
 
 
@@ -51,7 +52,7 @@ def by_links(df: DataFrame, whitelist=None, blacklist=None, column: str = "name"
             continue
         if len(names) > LITERAL_LIST_LIMIT:
             listed = df.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], f"`{column}` string")
-            df = df.join(listed, column, how)
+            df = df.join(listed, column, how).select(*df.columns)
         else:
             hit = F.col(column).isin(names)
             df = df.where(hit if how == "left_semi" else ~F.coalesce(hit, F.lit(False)))

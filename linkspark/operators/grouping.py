@@ -1,7 +1,8 @@
 """Skew-safe building blocks: keep-first, per-group facts on every row, lookups with hot keys.
 
-A *hot* key is one with more than ``hot_rows`` rows. At most ``rows / hot_rows`` keys can be hot, which
-bounds what is broadcast; every other key is small enough for one task.
+A *hot* key is one with more than ``hot_rows`` rows. At most ``rows / hot_rows`` keys can be hot; only these
+keys, with their counts and aggregates, are broadcast, never what a lookup carries. Every other key is small enough
+for one task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
-SALTS = 256
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -28,8 +28,8 @@ def with_group_stats(
 ) -> DataFrame:
     """Append per-group aggregates to every row (rows with a NULL key get them as a group of their own).
 
-    Hot groups take their aggregates from a broadcast of the few hot keys and are spread over salts;
-    all other groups use one window over ``keys``.
+    Hot groups take their aggregates from a broadcast of the few hot keys, and each of their rows is a window of
+    its own; all other groups use one window over ``keys``.
     """
     facts = [agg.alias(f"__hot_{name}") for name, agg in stats.items()]
     hot_keys = [F.col(k).alias(f"__key_{k}") for k in keys]
@@ -37,7 +37,7 @@ def with_group_stats(
     hot = hot.select(*hot_keys, *[f"__hot_{name}" for name in stats], "__n")
     on = _null_safe(keys)
     tagged = df.join(F.broadcast(hot), on, "left")
-    salt = F.when(F.col("__n").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1).otherwise(0)
+    salt = F.when(F.col("__n").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(0)
     tagged = tagged.withColumn("__salt", salt)
     window = Window.partitionBy(*keys, "__salt")
     facts = [
@@ -52,28 +52,22 @@ def lookup_join(
 ) -> DataFrame:
     """Left join to a table that is unique on ``keys`` and knows how many ``df`` rows each key has.
 
-    Rows of hot keys are served by a broadcast of those keys; they keep away from the shuffle join by
-    a salt that no cold key has. Rows with a NULL key match nothing and are spread the same way.
+    Rows of a hot key are dealt over as many salts as it has portions of ``hot_rows``, and its lookup row is
+    repeated for each of them. Rows with a NULL key match nothing; each gets a salt of its own.
     """
     values = [c for c in lookup.columns if c not in keys and c != rows_column]
-    hot = lookup.where(F.col(rows_column) > hot_rows).select(
-        *[F.col(k).alias(f"__key_{k}") for k in keys], *[F.col(v).alias(f"__hot_{v}") for v in values],
-        F.lit(True).alias("__is_hot"),
-    )
-    # always 0 here, but not a literal: a literal would be folded out of the join keys, and with it the salt
-    cold_salt = (F.col(rows_column) > hot_rows).cast("int").alias("__salt")
-    cold = lookup.where(F.col(rows_column) <= hot_rows).select(*keys, *values, cold_salt)
+    portions = F.greatest(F.lit(1), F.ceil(F.col(rows_column) / hot_rows)).cast("long")
+    hot = lookup.where(F.col(rows_column) > hot_rows).select(*[F.col(k).alias(f"__key_{k}") for k in keys], portions.alias("__salts"))
+    dealt = lookup.select(*keys, *values, F.explode(F.sequence(F.lit(0).cast("long"), portions - 1)).alias("__salt"))
     plain = [F.col(k) == F.col(f"__key_{k}") for k in keys]
-    apart = F.col("__is_hot").isNotNull()
+    unmatched = F.lit(False)
     for k in keys:
-        apart = apart | F.col(k).isNull()
-    salt = F.when(apart, F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1).otherwise(0)
-    joined = df.join(F.broadcast(hot), plain, "left").withColumn("__salt", salt)
-    joined = joined.join(cold, [*keys, "__salt"], "left")
-    picked = [
-        F.when(F.col("__is_hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values
-    ]
-    return joined.select(*[F.col(c) for c in df.columns], *picked)
+        unmatched = unmatched | F.col(k).isNull()
+    number = F.monotonically_increasing_id()
+    salt = F.when(unmatched, -1 - number).otherwise(F.pmod(number, F.coalesce("__salts", F.lit(1).cast("long"))))
+    tagged = df.join(F.broadcast(hot), plain, "left").withColumn("__salt", salt)
+    joined = tagged.select(*df.columns, "__salt").join(dealt, [*keys, "__salt"], "left")
+    return joined.select(*[F.col(c) for c in df.columns], *values)
 
 
 def _null_safe(keys: list[str]) -> Column:

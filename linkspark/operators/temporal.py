@@ -33,12 +33,18 @@ def choose_timestamp_format(df: DataFrame, column: str, preferred: str) -> str |
     return chosen
 
 
-def parse_timestamps(df: DataFrame, fmt: str | None, column: str = "timestamp") -> DataFrame:
-    """Text to wall-clock timestamp with one layout, or row by row over all layouts."""
+def parse_timestamps(df: DataFrame, fmt: str | None, column: str = "timestamp", timezone: str | None = None) -> DataFrame:
+    """Text to wall-clock timestamp with one layout, or row by row over all layouts and ISO text.
+
+    Text with an offset is converted to ``timezone``.
+    """
     if dict(df.dtypes)[column] != "string":
         return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
     text = F.col(column)
-    parsed = temporal.parse_timestamp(text, fmt) if fmt else temporal.parse_timestamp_any(text)
+    if fmt:
+        parsed = temporal.parse_timestamp(text, fmt)
+    else:
+        parsed = F.coalesce(temporal.parse_timestamp_any(text), temporal.parse_timestamp_free(text, timezone))
     return df.withColumn(column, parsed)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.config import AggregationParams
+from linkspark.functions.temporal import localize
 from linkspark.operators import cleaning, filters, rollup, temporal
 from linkspark.sources import csv, holidays, sinks
 
@@ -18,15 +19,31 @@ ROLLUP_INPUT = [
 def prepare(df: DataFrame, params: AggregationParams, calendar: DataFrame | None = None, order=None) -> DataFrame:
     """Cleaned observations with all temporal attributes.
 
-    The timestamp layout is chosen once over the input when it is text; everything else is lazy.
+    The timestamp layout is chosen once over the input when it is text, and times are placed in the zone of the run;
+    everything else is lazy.
     """
     if dict(df.dtypes).get("timestamp") == "string":
-        fmt = temporal.choose_timestamp_format(df, "timestamp", params.timestamp_format)
-        df = temporal.parse_timestamps(df, fmt)
+        df = parsed(df, params)
     order = order or [c for c in ("_row", "data_id") if c in df.columns][:1]
     return df.transform(cleaning.clean, params, order).transform(temporal.enhance, params, calendar)
 
 
+def parsed(df: DataFrame, params: AggregationParams) -> DataFrame:
+    """Text timestamps as local times of ``params.timezone``."""
+    fmt = temporal.choose_timestamp_format(df, "timestamp", params.timestamp_format)
+    out = temporal.parse_timestamps(df, fmt, timezone=params.timezone)
+    return out.withColumn("timestamp", localize(F.col("timestamp"), params.timezone))
+
+
+def ingest_counts(raw: DataFrame, params: AggregationParams) -> DataFrame:
+    """One row: rows read, and rows whose timestamp is there but could not be parsed."""
+    if dict(raw.dtypes).get("timestamp") != "string":
+        return raw.agg(F.count(F.lit(1)).alias("rows_read"), F.lit(0).cast("bigint").alias("unparsed_timestamps"))
+    both = parsed(raw.withColumn("_text", F.col("timestamp")), params)
+    lost = F.count_if(F.col("_text").isNotNull() & F.col("timestamp").isNull())
+    return both.agg(F.count(F.lit(1)).alias("rows_read"), lost.alias("unparsed_timestamps"))
+
+
 def rollups(df: DataFrame, params: AggregationParams) -> tuple[DataFrame, DataFrame]:
     """Hourly and weekly tables of prepared observations."""
     selected = filters.select_observations(df, params)
@@ -51,11 +68,14 @@ def run(
 ) -> dict[str, str]:
     """Read, clean, roll up and write everything; returns ``{output: folder}``.
 
-    The cleaned rows (rollup columns only) and the hourly table are written and read back, so the text
-    files are parsed and deduplicated once and every report starts from the smallest stored table.
+    The typed rows, the cleaned rows (rollup columns only) and the hourly table are written and read back: the text
+    files are read once to find their format and once to be parsed, rows are deduplicated once, and every report starts from
+    the smallest stored table.
     """
     params.check()
-    raw = csv.read_observations(spark, input_path)
+    typed = csv.read_observations(spark, input_path)
+    typed_path = sinks.write_parquet(typed, f"{output_dir}/typed")
+    raw = spark.read.parquet(typed_path)
     calendars = [national_holidays] if national_holidays is not None else []
     if custom_holidays:
         calendars.append(holidays.read_custom(spark, custom_holidays))
@@ -64,7 +84,7 @@ def run(
 
     out = {name: f"{output_dir}/{name}" for name in (
         "observations", "hourly", "hourly_csv", "weekly_csv", "quality_by_link", "invalid_reasons", "run_summary",
-        "valid_hours_by_daytype", "run_config", "hourly_preview", "weekly_preview",
+        "valid_hours_by_daytype", "run_config", "raw_preview", "hourly_preview", "weekly_preview", "hourly_check", "ingest",
     )}
     sinks.write_parquet(cleaned.select(*[c for c in ROLLUP_INPUT if c in cleaned.columns]), out["observations"])
     prepared = spark.read.parquet(out["observations"])
@@ -77,6 +97,10 @@ def run(
     sinks.write_csv(rollup.quality_by_link(prepared, stored), out["quality_by_link"], ["link_id"])
     sinks.write_csv(cleaning.invalid_reason_table(raw, params), out["invalid_reasons"])
     rollup.run_summary(prepared, stored, weekly).write.mode("overwrite").json(out["run_summary"])
+    sinks.write_csv(rollup.hourly_contract(stored), out["hourly_check"], ["rule"])
+    absent = rollup.check_hourly_columns(stored.columns)
+    ingest_counts(raw, params).withColumn("hourly_columns", F.lit(", ".join(absent) or "complete")).write.mode("overwrite").json(out["ingest"])
+    sinks.write_csv(rollup.preview(raw.drop("_row"), ["data_id"]), out["raw_preview"])
     sinks.write_csv(rollup.valid_hours_by_daytype(stored), out["valid_hours_by_daytype"], ["daytype"])
     sinks.write_csv(rollup.preview(stored, ["link_id", "date", "hour_of_day"]), out["hourly_preview"])
     group = params.weekly_grouping

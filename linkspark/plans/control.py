@@ -38,18 +38,19 @@ def run(
 ) -> dict[str, str]:
     """Validate and write all outputs; returns ``{output: folder}``.
 
-    Validated rows are written first and read back, so every extract starts from measured rows. Map
+    Validated rows, and the failed ones among them, are written first and read back, so every extract starts from measured rows. Map
     layers keep geographic coordinates where the network has them.
     """
     out = {name: f"{output_dir}/{name}" for name in (
-        "validated", "validated_csv", "best_valid_csv", "failed_csv", "no_data_csv", "link_report_csv",
+        "validated", "failed", "validated_csv", "best_valid_csv", "failed_csv", "no_data_csv", "link_report_csv",
         "code_histogram_csv", "link_report_layer", "failed_layer", "failed_routes_layer", "failed_reference_layer",
         "no_data_layer", "run_config",
     )}
     validated = control.validate(repair_labels(observations), metric_links(links, params, links_crs), params)
     sinks.write_parquet(validated, out["validated"])
     rows = spark.read.parquet(out["validated"])
-    failed = control.failed_geometry(rows)
+    sinks.write_parquet(control.failed_geometry(rows), out["failed"])
+    failed = spark.read.parquet(out["failed"])
     no_data = control.no_data_links(rows, links)
     report = control.link_report(rows, links, [order], schedule)
     shapes = links.select("link_id", "line")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from linkspark.operators import cleaning
 
-SAMPLE_LINES = 200
 DELIMITERS = [",", ";", "\t", "|"]
 
 # --- fixed values: bytes that a single-byte charset does not define, as latin-1 characters ---
@@ -23,61 +22,83 @@ GREEK_CHARSETS = {"iso-8859-7", "iso8859-7", "windows-1253", "cp1253", "greek"}
 BOM = "﻿"
 
 
-def _sample(spark: SparkSession, path) -> DataFrame:
-    """First lines of a file with their raw bytes; a sample is all that detection looks at."""
-    return spark.read.text(path).limit(SAMPLE_LINES)
-
-
 def charset_evidence(lines: DataFrame) -> DataFrame:
     """One row of counts that decide the charset of text lines read as raw bytes."""
+    return lines.agg(*_charset_counts())
+
+
+def _charset_counts() -> list[Column]:
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     undefined = [
         F.sum(F.regexp_count(latin, F.lit(p))).alias(f"undefined_{name}") for name, p in UNDEFINED_BYTES.items()
     ]
-    return lines.agg(
+    return [
         F.count("*").alias("lines"),
         F.count_if(~F.is_valid_utf8("value")).alias("bad_utf8"),
         F.count_if(F.col("value").startswith(BOM)).alias("bom"),
         F.sum(F.regexp_count(latin, F.lit(HEBREW_BYTES))).alias("hebrew"),
         F.sum(F.regexp_count(latin, F.lit(GREEK_BYTES))).alias("greek"),
         *undefined,
-    )
+    ]
+
+
+def _charset() -> Column:
+    """UTF-8 when all bytes are valid, else the first single-byte charset that defines all of them."""
+    out = F.when(F.col("bad_utf8") == 0, "UTF-8")
+    for name in UNDEFINED_BYTES:
+        out = out.when(F.col(f"undefined_{name}") == 0, name)
+    return out.otherwise("ISO-8859-1")
 
 
 def detect_charset(spark: SparkSession, path, guess: str | None = None) -> str:
-    """UTF-8 when the bytes are valid, else the first single-byte charset that defines all of them.
+    """Charset of a file, from all its lines.
 
     A Greek ``guess`` of another detector is overruled when the bytes hold at least as many Hebrew as
     Greek letters.
     """
-    row = charset_evidence(_sample(spark, path)).first()
+    row = charset_evidence(spark.read.text(path)).withColumn("charset", _charset()).first()
     if guess and guess.lower().replace("_", "-") in GREEK_CHARSETS:
         return "windows-1255" if row["hebrew"] and row["hebrew"] >= row["greek"] else guess
-    if not row["bad_utf8"]:
-        return "UTF-8"
-    for name in UNDEFINED_BYTES:
-        if not row[f"undefined_{name}"]:
-            return name
-    return "ISO-8859-1"
+    return row["charset"]
 
 
 def dialect_evidence(lines: DataFrame) -> DataFrame:
     """One row: occurrences of every delimiter and of decimal points and commas."""
+    return lines.agg(*_dialect_counts())
+
+
+def _dialect_counts() -> list[Column]:
     count = lambda d: F.sum(F.length("value") - F.length(F.translate("value", d, "")))
-    return lines.agg(
+    return [
         *[count(d).alias(f"d{i}") for i, d in enumerate(DELIMITERS)],
         F.sum(F.regexp_count("value", F.lit(r"\d+\.\d+"))).alias("points"),
         F.sum(F.regexp_count("value", F.lit(r"\d+,\d+"))).alias("commas"),
-    )
+    ]
+
+
+def _dialect() -> dict[str, Column]:
+    """Most frequent delimiter, the first of equals; decimal comma only when it is not the delimiter too."""
+    counts = [F.coalesce(F.col(f"d{i}"), F.lit(0)) for i in range(len(DELIMITERS))]
+    most = F.greatest(*counts)
+    delimiter = F.when(most == 0, ",")
+    for i, d in enumerate(DELIMITERS):
+        delimiter = delimiter.when(counts[i] == most, d)
+    comma = (F.coalesce("commas", F.lit(0)) > F.coalesce("points", F.lit(0))) & (delimiter != ",")
+    return {"delimiter": delimiter, "decimal": F.when(comma, ",").otherwise(".")}
 
 
 def detect_dialect(spark: SparkSession, path) -> dict[str, str]:
-    """Most frequent delimiter; decimal comma only when it is not the delimiter too."""
-    row = dialect_evidence(_sample(spark, path)).first()
-    counts = [row[f"d{i}"] or 0 for i in range(len(DELIMITERS))]
-    delimiter = DELIMITERS[counts.index(max(counts))] if max(counts) else ","
-    comma = (row["commas"] or 0) > (row["points"] or 0) and delimiter != ","
-    return {"delimiter": delimiter, "decimal": "," if comma else "."}
+    """Delimiter and decimal sign of a file, from all its lines."""
+    row = dialect_evidence(spark.read.text(path)).select(*[c.alias(k) for k, c in _dialect().items()]).first()
+    return row.asDict()
+
+
+def file_formats(spark: SparkSession, path) -> DataFrame:
+    """``charset``, ``delimiter``, ``decimal`` and ``files``: the files of each format, decided from all lines of a file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    counted = lines.groupBy("file").agg(*_charset_counts(), *_dialect_counts())
+    named = counted.select("file", _charset().alias("charset"), *[c.alias(k) for k, c in _dialect().items()])
+    return named.groupBy("charset", "delimiter", "decimal").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
 def source_order() -> Column:
@@ -90,26 +111,45 @@ def source_order() -> Column:
 
 
 def scan(
-    spark: SparkSession, paths: str | list[str], delimiter: str = ",", decimal: str = ".", encoding: str = "UTF-8"
+    spark: SparkSession,
+    paths: str | list[str],
+    delimiter: str = ",",
+    decimal: str = ".",
+    encoding: str = "UTF-8",
+    text_ids: bool | None = None,
 ) -> DataFrame:
     """Typed observations under normalised names, plus ``_row`` (file position).
 
-    All columns are read as text and cast leniently. windows-1255 input needs
+    All columns are read as text and cast leniently. ``data_id`` is BIGINT when every id is a whole number and else
+    stays text; without ``text_ids`` one look at that column decides. windows-1255 input needs
     ``spark.sql.legacy.javaCharsets=true``.
     """
+    order = _raw(spark, paths, delimiter, encoding)
+    return cleaning.type_columns(order, decimal, cleaning.has_text_ids(order) if text_ids is None else text_ids)
+
+
+def _raw(spark: SparkSession, paths: str | list[str], delimiter: str, encoding: str) -> DataFrame:
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
     raw = reader.option("enforceSchema", False).csv(paths)
     placed = raw.select("*", source_order().alias("_row"))
     renamed = cleaning.require_columns(cleaning.normalize_columns(placed.drop("_row")))
-    order = placed.withColumnsRenamed(dict(zip(raw.columns, renamed.columns)))
-    return cleaning.type_columns(order, decimal)
+    return placed.withColumnsRenamed(dict(zip(raw.columns, renamed.columns)))
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """:func:`scan` with detected charset and dialect."""
-    encoding = detect_charset(spark, path)
-    dialect = detect_dialect(spark, path)
-    return scan(spark, path, dialect["delimiter"], dialect["decimal"], encoding)
+    """:func:`scan` with charset and dialect found for every file; files of different formats are scanned apart."""
+    # one row for each combination of charset, delimiter and decimal sign
+    formats = file_formats(spark, path).orderBy("charset", "delimiter", "decimal").collect()
+    if len(formats) <= 1:
+        f = formats[0] if formats else {"charset": "UTF-8", "delimiter": ",", "decimal": "."}
+        return scan(spark, path, f["delimiter"], f["decimal"], f["charset"])
+    raws = [_raw(spark, list(f["files"]), f["delimiter"], f["charset"]) for f in formats]
+    text_ids = any([cleaning.has_text_ids(r) for r in raws])
+    typed = [cleaning.type_columns(r, f["decimal"], text_ids) for r, f in zip(raws, formats, strict=True)]
+    out = typed[0]
+    for part in typed[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def date_range(df: DataFrame, column: str = "timestamp", now_year: int | None = None, span: int = 10) -> DataFrame:

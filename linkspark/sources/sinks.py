@@ -20,9 +20,14 @@ def fixed(value: Column, digits: int = 6) -> Column:
 
 
 def significant(value: Column, digits: int = 6) -> Column:
-    """Number text rounded to significant digits, without trailing zeros."""
-    rounded = F.format_string(f"%.{digits - 1}e", value).cast("double").cast("string")
-    return F.when(value.isNotNull(), F.regexp_replace(rounded, r"\.0$", ""))
+    """Number text like C's ``%g``: significant digits without trailing zeros, with an exponent outside 1e-4 to 1e6."""
+    text = F.format_string(f"%.{digits - 1}e", value)
+    power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.coalesce(*[F.when(power == e, bare(F.format_string(f"%.{digits - 1 - e}f", value))) for e in range(-4, digits)])
+    scientific = F.concat(bare(F.split_part(text, F.lit("e"), F.lit(1))), F.lit("e"), F.split_part(text, F.lit("e"), F.lit(2)))
+    usual = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(usual, F.coalesce(F.when(value == 0, F.lit("0")), plain, scientific)).otherwise(value.cast("string"))
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None, bom: bool = False, numbers=None) -> str:

@@ -69,4 +69,6 @@ def with_ctes(names: list[str], body: str) -> str:
 def work_folder(spark: SparkSession) -> str:
     """Fresh folder for a query that writes and reads back: shared storage where the session names one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/linkspark-{uuid4().hex}" if base else tempfile.mkdtemp(prefix="linkspark-")
