@@ -6,30 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm import bpe, credentials, jaccard, language, mixing
-from linkspark.llm.tables import stored, table
+from linkspark.llm.tables import plain_names, stored, table
 from linkspark.llm.workload import tokenizer_path
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; texts without letters and with narrow margins go."""
-    return language.identify(docs, language.train(docs), docs.columns).where("accepted").select(*docs.columns)
+    plain = plain_names(docs, COLUMNS)
+    found = language.identify(plain, language.train(docs), plain.columns).where("accepted")
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id. Rows without id stay."""
-    heads = jaccard.similar(docs).where("doc_id = component_id").select("doc_id").distinct()
+    heads = jaccard.similar(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    return credentials.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain = plain_names(docs, COLUMNS)
+    changed = credentials.redacted(plain).withColumn("n_chars", F.length("text").cast("long"))
+    return changed.select(*plain.columns).toDF(*docs.columns)
 
 
 def balanced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.mixed(docs)
+    return mixing.mixed(plain_names(docs, COLUMNS)).toDF(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ most of the list belongs to. All candidates are verified with their whole sets.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm import words
 from linkspark.llm.graphs import components
+from linkspark.llm.suffix import fixed_filter, in_filter
 from linkspark.llm.tables import stored, text_slices
 
 WIDTH, PERCENT = 3, 90
@@ -40,10 +42,13 @@ RATIO = 0.75
 FILTER_BITS = 1 << 22
 
 
-def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """Sorted hashes of the distinct shingles of each text; a text with fewer words has its whole sequence as one."""
-    out = []
-    for _, _, data, offsets in text_slices(texts):
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and, for each text of a slice, the sorted hashes of its distinct shingles.
+
+    A text with fewer words has its whole sequence as one shingle.
+    """
+    for first, _, data, offsets in text_slices(texts):
+        out = []
         data = words.lower_ascii(data)
         at = words.split_words(data, offsets)
         hashes = words.span_hashes(words.running(data), at.starts, at.ends)
@@ -54,7 +59,25 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
                 out.append(np.unique(windows[a : b - width + 1]))
             else:
                 out.append(words.window_hashes(hashes[a:b], n) if n else np.zeros(0, np.uint64))
-    return out
+        yield first, out
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in a power of two of cells, about half as many as shingles.
+
+    Every cell whose parity differs between two sets holds a shingle that only one of them has.
+    """
+    bits = 1 << max(6, int(len(s) // 2).bit_length() - 1)
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of shingles that only one of the sets has, at least; the longer sketch is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.unpackbits(x ^ y).sum())
 
 
 def missing(n: int, percent: int = PERCENT) -> int:
@@ -75,20 +98,18 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         table = np.zeros(CELLS, np.int64)
         for batch in batches:
-            sets = shingle_sets(batch.column(1), width)
-            if not sets:
-                continue
-            every = np.concatenate(sets)
-            table += np.bincount((every & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            n = np.array([len(s) for s in sets])
-            ends = np.concatenate([[0], np.cumsum(n)])
-            keys = []
-            for salt in (11, 22):
-                total = np.zeros(len(every) + 1, np.uint64)
-                np.cumsum(words.mix(every + np.uint64(salt)), dtype=np.uint64, out=total[1:])
-                keys.append(words.mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64)).view(np.int64))
-            empty = [None] * len(sets)
-            yield rows(batch.column(0).to_pylist(), n, *keys, empty, empty)
+            for first, sets in shingle_sets(batch.column(1), width):
+                every = np.concatenate(sets)
+                np.add.at(table, (every & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                n = np.array([len(s) for s in sets])
+                ends = np.concatenate([[0], np.cumsum(n)])
+                keys = []
+                for salt in (11, 22):
+                    total = np.zeros(len(every) + 1, np.uint64)
+                    np.cumsum(words.mix(every + np.uint64(salt)), dtype=np.uint64, out=total[1:])
+                    keys.append(words.mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64)).view(np.int64))
+                empty = [None] * len(sets)
+                yield rows(batch.column(0).slice(first, len(sets)).to_pylist(), n, *keys, empty, empty)
         filled = [i for i in range(64) if table[i * per : (i + 1) * per].any()]
         if filled:
             none = [None] * len(filled)
@@ -114,7 +135,7 @@ def frequencies(summary: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id``, ``n``, expected scans and the rarest shingles of every set that may have similar ones.
+    """``doc_id``, ``n``, expected scans, parities and the rarest shingles of every set that may have similar ones.
 
     The number that stands for a shingle sorts by frequency on a logarithmic scale, then by hash.
     """
@@ -126,7 +147,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> Da
         level, excess = shared.value
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for doc, s in zip(ids, shingle_sets(batch.column(1), width), strict=True):
+            for doc, s in ((ids[first + i], s) for first, sets in shingle_sets(batch.column(1), width) for i, s in enumerate(sets)):
                 n = len(s)
                 d = missing(n, percent)
                 if d < 1 or doc is None:
@@ -134,15 +155,16 @@ def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> Da
                 cell = (s & np.uint64(CELLS - 1)).astype(np.int64)
                 order = (level[cell] << np.uint64(57)) | (s >> np.uint64(7))
                 most = min(n, d + SUBSET)
-                first = np.sort(np.partition(order, most - 1)[:most])
+                rarest = np.sort(np.partition(order, most - 1)[:most])
                 scans = float(excess[cell][np.argpartition(order, d)[: d + 1]].sum())
-                out.append((doc, n, scans, first.view(np.int64)))
+                out.append((doc, n, scans, parity(s), rarest.view(np.int64)))
             if out:
-                a, b, c, e = zip(*out, strict=True)
-                arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(list(e), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "scans", "prefix"])
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+                arrays = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "scans", "parity", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, scans double, prefix array<long>")
+    schema = "doc_id long, n long, scans double, parity binary, prefix array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def boundary(sets: DataFrame, percent: int) -> int:
@@ -165,10 +187,15 @@ def size_class(n: int) -> int:
     return int(math.log(n) / -math.log(RATIO) + 1e-9)
 
 
-def postings(sets: DataFrame, most_light: int, percent: int) -> DataFrame:
-    """``key``, ``node`` and ``n``: a subset or single shingle, together with a class of sizes."""
+def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """``key``, ``node`` and ``n``: a subset or single shingle, together with a class of sizes.
+
+    With ``wanted``, a filter, only keys that pass it.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
+        wanted = sent.value
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for node, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -182,9 +209,10 @@ def postings(sets: DataFrame, most_light: int, percent: int) -> DataFrame:
                     found.append(words.mix(p[: d + 1] + np.uint64(0x5851F42D4C957F2D)))
                 found = np.concatenate(found)
                 for c in range(size_class(n), size_class(largest) + 1):
-                    keys.append(words.mix(found + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64))))
-                    nodes.append(np.full(len(found), node))
-                    sizes.append(np.full(len(found), n))
+                    key = words.mix(found + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64)))
+                    keys.append(key if wanted is None else key[in_filter(wanted, key)])
+                    nodes.append(np.full(len(keys[-1]), node))
+                    sizes.append(np.full(len(keys[-1]), n))
             if keys:
                 arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "n"])
@@ -192,6 +220,22 @@ def postings(sets: DataFrame, most_light: int, percent: int) -> DataFrame:
     return sets.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n long")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` whose parities leave open that they are similar; these bounds rule out most pairs."""
+    small = sets.select("node", "n", "parity")
+    one = pairs.join(small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
+    both = one.join(small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, pa_, nb, pb = (batch.column(i).to_pylist() for i in range(6))
+            # common = (na + nb - different) / 2, all = (na + nb + different) / 2
+            keep = [100 * (x + y - d) >= percent * (x + y + d) for x, y, d in zip(na, nb, map(least_difference, pa_, pb), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``u``, ``v`` among the pairs ``a``, ``b``: the exact similarity of the whole sets.
 
@@ -212,10 +256,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             spots = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = (needed[spots >> 5] >> (spots & 31)) & 1 == 1
             some = batch.filter(pa.array(keep))
-            for i in range(0, some.num_rows, 500):
-                part = some.slice(i, 500)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(2), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            for first, sets in shingle_sets(some.column(2), width):
+                arrays = [some.column(0).slice(first, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "set"])
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), spot(F.col("doc_id").cast("long")).alias("s"), "text")
     sets = stored(known.mapInArrow(run, "node long, set array<long>"))
@@ -241,13 +284,15 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     heads = rows.join(classes.where("node is not null"), ["k1", "k2", "n"]).where("doc_id = node").select("node", "n").distinct()
     found = prefixes(docs, table, width, percent).withColumnRenamed("doc_id", "node")
     sets = stored(found.join(heads, ["node", "n"]).dropDuplicates(["node", "n", "prefix"]))
-    entries = postings(sets, boundary(sets, percent), percent)
-    pivots = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot < _last").drop("_last")
-    lists = stored(entries.join(pivots, "key"))
+    most_light = boundary(sets, percent)
+    heads = postings(sets, most_light, percent).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
+    pivots = stored(heads.where("pivot < _last").drop("_last"))
+    lists = stored(postings(sets, most_light, percent, fixed_filter(pivots, "key")).join(pivots, "key"))
 
     met = lists.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"))
     first = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("node").alias("b"))
-    links = stored(verified(first, docs, width, percent))
+    first = stored(first)
+    links = stored(verified(possible(first, sets, percent), docs, width, percent))
     joined = components(links)
 
     placed = stored(lists.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")))
@@ -259,8 +304,9 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     rest = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.comp") != F.col("b.comp")) & close & once)
     rest = rest.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    every = components(links.union(verified(rest, docs, width, percent)))
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.join(done, ["a", "b"], "left_anti")
+    every = components(links.union(verified(possible(rest, sets, percent), docs, width, percent)))
 
     named = rows.join(classes, ["k1", "k2", "n"], "left").join(every, "node", "left")
     return named.select(

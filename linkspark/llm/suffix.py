@@ -328,11 +328,16 @@ def removed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row of ``docs`` (``doc_id``, ``text``).
 
     A null text is empty. A row without id loses nothing and counts for no other. Rows with one id do not count for
-    each other. The output has what is kept as a digest; :func:`kept_texts` has the bytes.
+    each other. What is kept is a digest here; :func:`kept_bytes` has the bytes.
     """
     return _finished(docs, lambda data: hashlib.sha256(data).hexdigest(), "kept_sha256 string", "sha", hashlib.sha256(b"").hexdigest())
 
 
+def kept_bytes(docs: DataFrame) -> DataFrame:
+    """As :func:`removed`, with ``kept``, the bytes that are left, or null where nothing was removed."""
+    return _finished(docs, lambda data: data, "kept binary", None, b"")
+
+
 def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Summaries of all rows with ``copy`` (a smaller document has the whole text), and the marks of other rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -358,10 +363,10 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, stored(lists)
 
 
-def _finished(docs: DataFrame, digest, kind: str, whole: str, nothing: str) -> DataFrame:
+def _finished(docs: DataFrame, digest, kind: str, whole: str | None, nothing: str | bytes) -> DataFrame:
     rows, lists = marked(docs)
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter(lists, "t1"))
-    name = kind.split()[0]
+    name, text_kind = kind.split()[0], kind.endswith("string")
 
     def texts(batches):
         bits = sent.value
@@ -377,7 +382,7 @@ def _finished(docs: DataFrame, digest, kind: str, whole: str, nothing: str) -> D
             ids, t1, content, marks = (batch.column(i) for i in range(4))
             out = [cut(b, [m["low"] for m in ms], [m["mask"] for m in ms]) for b, ms in zip(content.to_pylist(), marks.to_pylist(), strict=True)]
             n, runs, left = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([ids, t1, pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array([digest(x) for x in left])], names=["doc_id", "t1", "n_removed", "n_spans", name])
+            yield pa.RecordBatch.from_arrays([ids, t1, pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array([digest(x) for x in left], pa.string() if text_kind else pa.binary())], names=["doc_id", "t1", "n_removed", "n_spans", name])
 
     some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(texts, "doc_id long, t1 long, bytes binary")
     done = some.join(lists, ["doc_id", "t1"]).select("doc_id", "t1", "bytes", "marks").mapInArrow(finish, f"doc_id long, t1 long, n_removed long, n_spans long, {kind}").dropDuplicates(["doc_id", "t1"])
@@ -387,5 +392,5 @@ def _finished(docs: DataFrame, digest, kind: str, whole: str, nothing: str) -> D
         "doc_id", "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(F.col("copy"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce(name, whole)).alias(name),
+        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce(name, whole) if whole else F.col(name)).alias(name),
     )

@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Text that a worker handles at once; a longer document is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,19 +62,25 @@ def per_text(
 ) -> DataFrame:
     """Columns ``keep`` and the columns of ``schema``, which ``fn`` returns as a tuple for each text (or None)."""
     kept = docs.select(*keep, F.col(text).alias("_text"))
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)]] + [schema])
+    added = to_arrow_schema(StructType.fromDDL(schema))
+    out = StructType([*kept.schema[: len(keep)], *StructType.fromDDL(schema)])
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*fn(batch.column(len(keep)).to_pylist()), strict=True))
-            arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(list(c)) for c in rows]
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                rows = zip(*fn(batch.column(len(keep)).to_pylist()), strict=True)
+                arrays = [batch.column(i) for i in range(len(keep))]
+                arrays += [pa.array(list(c), f.type) for c, f in zip(rows, added, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added.names])
 
-    names = [*keep, *[x.strip().split()[0] for x in schema.split(",")]]
     return kept.mapInArrow(run, out)
 
 
+def plain_names(docs: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """``docs`` with all but the ``wanted`` columns renamed by position, so that they clash with no name of an operator."""
+    return docs.toDF(*[c if c in wanted else f"_c{i}" for i, c in enumerate(docs.columns)])
+
+
 def held_out(doc_id="doc_id"):
     """Rows set aside for testing: the checksum of the id's text leaves no remainder by five."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
