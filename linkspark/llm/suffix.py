@@ -2,10 +2,11 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Most text repeats
 nowhere, so it never reaches a suffix array: every such string has one anchor, the ``GRAM`` bytes with the least hash
-in it, and equal strings have equal anchors. Anchors that two documents have are shared; around each lies
-a context, the strings that have it as their anchor. Equal contexts are one class, owned by its smallest document,
-and every other document loses them whole. What remains is to compare the different contexts of a shared
-anchor: they are dealt over shards, each shard sorts the suffixes of its contexts (Larsson-Sadakane refinement,
+in it, and equal strings have equal anchors. Some anchors, by their hash, divide a text into blocks of strings;
+of equal blocks all but the one in the smallest document are lost whole. Anchors that two different blocks have are
+shared; around each lies a context, the strings that have it as their anchor. Equal contexts are one class, owned by
+its smallest document, and every other document loses them whole. What remains is to compare the different contexts of
+a shared anchor: they are dealt over shards, each shard sorts the suffixes of its contexts (Larsson-Sadakane refinement,
 which sorts only groups that are still tied), finds common prefixes with Kasai's scan, and so the smallest document of each
 string. Contexts of one anchor that are too many for a shard lie in several; their strings are then merged by binary
 search in sorted ranges. Copies of whole texts are found by their hash.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from linkspark.llm import words
 from linkspark.llm.tables import stored, text_slices
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 28
+#: Anchors of a block, on average.
+BLOCK = 16
 #: Depth to which suffixes are sorted: the first power of two from ``LENGTH`` on.
 DEPTH = 64
 #: Contexts of a shard, about, and strings of a merged range.
@@ -77,6 +80,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, total: np.ndarray) -> tuple[n
     return text[at], start[at], np.diff(np.append(at, len(place))), grams[place[at]]
 
 
+def blocks_of(text: np.ndarray, start: np.ndarray, strings: np.ndarray, h: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First anchor and hash of each block of anchors that follow each other, and the block of each anchor."""
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    new = (h >> np.uint64(40)) % np.uint64(BLOCK) == 0
+    new[0] = True
+    new[1:] |= text[1:] != text[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(text)) - 1
+    return first, words.span_hashes(total, start[first], start[last] + strings[last] + LENGTH - 1), np.cumsum(new) - 1
+
+
 def rows_of(batch: pa.RecordBatch):
     """``(first row, bytes, offsets, running sum)`` of slices of texts, without those that have no id."""
     for first, _, data, offsets in text_slices(batch.column(1)):
@@ -123,21 +138,44 @@ def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
 
 
-def anchor_owners(docs: DataFrame) -> DataFrame:
-    """``h`` and ``doc_id`` of every anchor."""
+def anchor_blocks(docs: DataFrame) -> DataFrame:
+    """``h`` of every anchor and ``s`` of the block it lies in."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets, total in rows_of(batch):
+                text, start, strings, h = anchors(data, offsets, total)
+                _, s, block = blocks_of(text, start, strings, h, total)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)[block])], names=["h", "s"])
+
+    return docs.mapInArrow(run, "h long, s long")
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Block ``s``, document, text hash, first byte ``low`` and number of ``strings`` of every block."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, data, offsets, total in rows_of(batch):
-                text, _, _, h = anchors(data, offsets, total)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[first + text].astype(np.int64))], names=["h", "doc_id"])
+                text, start, strings, h = anchors(data, offsets, total)
+                at, s, _ = blocks_of(text, start, strings, h, total)
+                size = np.add.reduceat(strings, at) if len(at) else strings
+                arrays = [
+                    pa.array(s.view(np.int64)), pa.array(ids[first + text[at]].astype(np.int64)),
+                    pa.array(text_keys(total, offsets).view(np.int64)[text[at]]), pa.array(start[at] - offsets[text[at]]), pa.array(size),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["s", "doc_id", "t1", "low", "strings"])
 
-    return docs.mapInArrow(run, "h long, doc_id long")
+    return docs.mapInArrow(run, "s long, doc_id long, t1 long, low long, strings long")
+
+
+def owner_keys(c: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return words.mix(c.view(np.uint64) + words.mix(doc_id.view(np.uint64)))
 
 
 def shared_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Anchor ``h``, class ``c``, document, text hash, first byte ``low``, number of ``strings`` and bytes of contexts whose anchor passes the filter."""
+    """Anchor ``h``, class ``c``, document, text hash, first byte ``low`` and ``strings`` of contexts whose anchor passes the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter(shared, "h"))
 
     def run(batches):
@@ -145,20 +183,49 @@ def shared_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, data, offsets, total in rows_of(batch):
-                text, start, strings, h = anchors(data, offsets, total)
-                keep = in_filter(bits, h)
-                text, start, strings, h = text[keep], start[keep], strings[keep], h[keep]
-                end = start + strings + LENGTH - 1
-                c = words.mix(words.span_hashes(total, start, end) + h)
-                content = data.tobytes()
+                text, start, strings, h = (x[keep] for keep, x in _passing(bits, anchors(data, offsets, total)))
+                c = words.mix(words.span_hashes(total, start, start + strings + LENGTH - 1) + h)
                 arrays = [
                     pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[first + text].astype(np.int64)),
                     pa.array(text_keys(total, offsets).view(np.int64)[text]), pa.array(start - offsets[text]), pa.array(strings),
-                    pa.array([content[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["h", "c", "doc_id", "t1", "low", "strings", "bytes"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["h", "c", "doc_id", "t1", "low", "strings"])
+
+    return docs.mapInArrow(run, "h long, c long, doc_id long, t1 long, low long, strings long")
 
-    return docs.mapInArrow(run, "h long, c long, doc_id long, t1 long, low long, strings long, bytes binary")
+
+def _passing(bits: np.ndarray, found: tuple[np.ndarray, ...]):
+    keep = in_filter(bits, found[-1])
+    return [(keep, x) for x in found]
+
+
+def context_bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``h``, ``c``, ``owner``, ``strings`` and bytes of each of the ``classes`` (``h``, ``c``, ``owner``)."""
+
+    def keys(batches):
+        for batch in batches:
+            c, owner = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(owner_keys(c, owner).view(np.int64))], names=["k"])
+
+    sent = docs.sparkSession.sparkContext.broadcast(fixed_filter(classes.select("c", "owner").mapInArrow(keys, "k long"), "k"))
+
+    def run(batches):
+        bits = sent.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, data, offsets, total in rows_of(batch):
+                text, start, strings, h = anchors(data, offsets, total)
+                c = words.mix(words.span_hashes(total, start, start + strings + LENGTH - 1) + h)
+                owner = ids[first + text].astype(np.int64)
+                keep = in_filter(bits, owner_keys(c, owner))
+                start, strings, h, c, owner = start[keep], strings[keep], h[keep], c[keep], owner[keep]
+                content, end = data.tobytes(), start + strings + LENGTH - 1
+                parts = pa.array([content[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
+                arrays = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(owner), pa.array(strings), parts]
+                yield pa.RecordBatch.from_arrays(arrays, names=["h", "c", "owner", "strings", "bytes"])
+
+    found = docs.mapInArrow(run, "h long, c long, owner long, strings long, bytes binary")
+    return found.join(classes, ["h", "c", "owner"]).dropDuplicates(["h", "c", "owner"])
 
 
 def suffix_array(data: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -311,17 +378,23 @@ def compared(contexts: DataFrame) -> DataFrame:
     return whole.union(merged.groupBy("h", "c").agg(F.bit_or("mask").alias("mask")))
 
 
-def cut(data: bytes, lows: list[int], masks: list[int]) -> tuple[int, int, bytes]:
-    """Bytes removed, runs removed, and what is kept."""
+def cut(data: bytes, lows: list[int], masks: list[int], runs: list[int]) -> tuple[int, int, bytes]:
+    """Bytes removed, runs removed, and what is kept.
+
+    A mark has strings from ``low`` on: those of a mask's bits, or so many as a run has.
+    """
     change = np.zeros(len(data) + 1, np.int64)
-    low, mask = np.array(lows, np.int64), np.array(masks, np.int64)
+    low, mask, run = (np.array(x, np.int64) for x in (lows, masks, runs))
+    whole = run > 0
+    np.add.at(change, low[whole], 1)
+    np.add.at(change, low[whole] + run[whole] + LENGTH - 1, -1)
     for bit in range(LENGTH - GRAM + 1):
         at = low[(mask >> bit) & 1 == 1] + bit
         np.add.at(change, at, 1)
         np.add.at(change, at + LENGTH, -1)
     gone = np.cumsum(change)[:-1] > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
+    spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+    return int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -345,21 +418,23 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     summary = stored(summaries(docs))
     heads = summary.groupBy("t1", "t2", "n_bytes").agg(F.min("doc_id").alias("head"))
     rows = stored(summary.join(heads, ["t1", "t2", "n_bytes"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)))
-    shared = stored(anchor_owners(known).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
+    every = stored(blocks(known))
+    first = every.groupBy("s").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("s", "owner")
+    lost = every.join(first, "s").where("doc_id > owner").select("doc_id", "t1", "low", F.lit(0).cast("long").alias("mask"), F.col("strings").alias("run"))
+    shared = stored(anchor_blocks(known).groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("h"))
     found = stored(shared_contexts(known, shared))
     classes = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")))
     several = classes.groupBy("h").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("h")
-    apart = classes.join(several, "h").select("h", "c", "owner")
-    contexts = stored(
-        found.join(apart, ["h", "c"]).where("doc_id = owner").select("h", "c", "owner", "strings", "bytes").dropDuplicates(["h", "c"])
-    )
+    apart = stored(classes.join(several, "h").select("h", "c", "owner"))
+    contexts = stored(context_bytes(known, apart))
     masks = compared(contexts)
     own = classes.join(masks, ["h", "c"], "left").where((F.col("owner") < F.col("last")) | F.col("mask").isNotNull())
     whole = F.expr("shiftleft(1L, cast(strings as int)) - 1")
     marks = found.select("h", "c", "doc_id", "t1", "low", "strings").join(own.select("h", "c", "owner", "mask"), ["h", "c"])
     marks = marks.withColumn("mask", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("long")))).where("mask != 0")
+    marks = marks.select("doc_id", "t1", "low", "mask", F.lit(0).cast("long").alias("run")).union(lost)
     copies = rows.where("copy").select("doc_id", "t1").distinct()
-    lists = marks.join(copies, ["doc_id", "t1"], "left_anti").groupBy("doc_id", "t1").agg(F.collect_set(F.struct("low", "mask")).alias("marks"))
+    lists = marks.join(copies, ["doc_id", "t1"], "left_anti").groupBy("doc_id", "t1").agg(F.collect_set(F.struct("low", "mask", "run")).alias("marks"))
     return rows, stored(lists)
 
 
@@ -380,7 +455,7 @@ def _finished(docs: DataFrame, digest, kind: str, whole: str | None, nothing: st
     def finish(batches):
         for batch in batches:
             ids, t1, content, marks = (batch.column(i) for i in range(4))
-            out = [cut(b, [m["low"] for m in ms], [m["mask"] for m in ms]) for b, ms in zip(content.to_pylist(), marks.to_pylist(), strict=True)]
+            out = [cut(b, [m["low"] for m in ms], [m["mask"] for m in ms], [m["run"] for m in ms]) for b, ms in zip(content.to_pylist(), marks.to_pylist(), strict=True)]
             n, runs, left = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids, t1, pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array([digest(x) for x in left], pa.string() if text_kind else pa.binary())], names=["doc_id", "t1", "n_removed", "n_spans", name])
 
