@@ -32,7 +32,7 @@ def test_every_match_has_a_key_word():
 
 def test_odd_texts(spark):
     notice = "Released under the MIT License."
-    rows = [(1, None), (2, ""), (3, notice), (3, notice), (4, ("word " * 40_000) + "\n" + notice), (None, notice), (5, "license"), (6, "the MIT License")]
+    rows = [(1, None), (2, ""), (3, notice), (3, notice), (4, " ".join(f"w{i}" for i in range(40_000)) + "\n" + notice), (None, notice), (5, "license"), (6, "the MIT License")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("x"))
     got = [(r.doc_id, r.n_matches, r.license) for r in licenses.scan(docs, ["doc_id"]).collect()]
     assert sorted(got, key=str) == sorted(
