@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import words
-from linkspark.llm.tables import stored, text_slices
+from linkspark.llm.tables import small_batches, stored, text_slices
 
 # Signs that count, base rules.
 SIGNS = b"#*$%&|<>"
@@ -66,6 +66,7 @@ def count_slice(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``COUNTS`` of every whole text; a null text has none of anything."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, text)
 
     def run(batches):

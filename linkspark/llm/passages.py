@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import words
-from linkspark.llm.tables import held_out, text_slices
+from linkspark.llm.tables import held_out, small_batches, text_slices
 
 #: Words of a passage, and buckets of word hashes.
 PASSAGE, BUCKETS = 64, 128
@@ -160,6 +160,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> list:
                     found.append(part.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "x"])
 
+    small_batches(docs.sparkSession)
     # at most TRAINING_DOCS rows, so the broadcast is bounded
     some = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "_label", "text")
     rows = some.mapInArrow(run, "doc_id long, label double, x binary").collect()
@@ -178,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``score`` of every whole text. Null and empty texts are scored as one passage without words."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, text)
 
     def run(batches):

@@ -15,12 +15,22 @@ from pyspark.sql.types import StructType
 
 #: Text that a worker handles at once; a longer document is handled alone.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers, in place of Spark's 64 MB; a longer row is a batch alone.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _SPARK_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts travel in small batches, unless the session has a size of its own: each batch is held several times over."""
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is not None and now.rstrip("b") == str(_SPARK_BATCH):
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that all executors reach: under ``spark.checkpoint.dir``, or local in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage and read it back: work is done once and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,6 +72,7 @@ def per_text(
     docs: DataFrame, keep: list[str], schema: str, fn: Callable[[list], Iterable[tuple]], text: str = "text"
 ) -> DataFrame:
     """Columns ``keep`` and the columns of ``schema``, which ``fn`` returns as a tuple for each text (or None)."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text).alias("_text"))
     added = to_arrow_schema(StructType.fromDDL(schema))
     out = StructType([*kept.schema[: len(keep)], *StructType.fromDDL(schema)])
