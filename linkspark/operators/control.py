@@ -195,6 +195,15 @@ def expected_slots(links: DataFrame, schedule: CompletenessParams) -> DataFrame:
     return links.select("link_id", slots.alias("slot"))
 
 
+def day_slots(day: Column, schedule: CompletenessParams) -> Column:
+    """Times of the scheduled slots of a day; slots are counted on from the first day, so they may shift from day to day."""
+    every = schedule.interval_minutes
+    first = F.pmod(-F.datediff(day, F.lit(schedule.start_date)) * 1440, F.lit(every))
+    minutes = F.sequence(first, F.greatest(first, F.lit(1439)), F.lit(every))
+    times = F.transform(minutes, lambda m: F.format_string("%02d:%02d:00", F.floor(m / 60), m % 60))
+    return F.when(first <= 1439, times).otherwise(F.array().cast("array<string>"))
+
+
 def missing_observations(df: DataFrame, schedule: CompletenessParams) -> DataFrame:
     """Scheduled slots without an observation, for links that have some data.
 
@@ -203,16 +212,16 @@ def missing_observations(df: DataFrame, schedule: CompletenessParams) -> DataFra
     link = _link(df)
     day = F.to_date("timestamp")
     scheduled = day.between(F.lit(schedule.start_date), F.lit(schedule.end_date))
-    seen = df.where(scheduled).select(F.col(link).alias("link_id"), day.alias("date"), "requested_time").distinct()
+    # one row for a link and day, with the times seen; only what is absent becomes rows
+    seen = df.where(scheduled).groupBy(F.col(link).alias("link_id"), day.alias("date")).agg(F.collect_set("requested_time").alias("_seen"))
     links = df.select(F.col(link).alias("link_id")).where("link_id IS NOT NULL").distinct()
-    expected = expected_slots(links, schedule).select(
-        "link_id", F.to_date("slot").alias("date"), F.date_format("slot", "HH:mm:ss").alias("requested_time")
-    )
-    absent = expected.join(seen, ["link_id", "date", "requested_time"], "left_anti")
-    return absent.select(
+    days = F.explode(F.sequence(F.lit(schedule.start_date), F.lit(schedule.end_date), F.expr("INTERVAL 1 DAY")))
+    both = links.select("link_id", days.alias("date")).join(seen, ["link_id", "date"], "left")
+    absent = F.array_except(day_slots(F.col("date"), schedule), F.coalesce("_seen", F.array().cast("array<string>")))
+    return both.select(
         "link_id",
         "date",
-        "requested_time",
+        F.explode(absent).alias("requested_time"),
         F.lit(False).alias("is_valid"),
         F.lit(CODE_MISSING_OBSERVATION).alias("valid_code"),
     )

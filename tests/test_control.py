@@ -230,3 +230,15 @@ def test_extracts_are_consistent(spark):
     histogram = control.code_histogram(df).collect()
     assert sum(r.percentage for r in histogram) == pytest.approx(100.0)
     assert spatial.id_field(["x", "link_id", "id"]) == "link_id"
+
+
+def test_day_slots_shift_when_the_interval_does_not_divide_a_day(spark):
+    for every in (15, 7, 60, 1000, 2000):
+        schedule = CompletenessParams(date(2025, 3, 1), date(2025, 3, 9), every)
+        want, at = [], datetime(2025, 3, 1)
+        while at < datetime(2025, 3, 10):
+            want.append((at.date(), at.strftime("%H:%M:%S")))
+            at += timedelta(minutes=every)
+        days = spark.sql("SELECT explode(sequence(date'2025-03-01', date'2025-03-09')) AS day")
+        got = days.select("day", F.explode(control.day_slots(F.col("day"), schedule)).alias("t")).collect()
+        assert sorted((r.day, r.t) for r in got) == want
