@@ -78,3 +78,14 @@ def test_typing(spark):
     rows = cleaning.type_columns(raw, ",").collect()
     assert (rows[0].data_id, rows[0].duration, rows[0].speed) == (12, 1.5, None)
     assert (rows[1].data_id, rows[1].duration, rows[1].speed) == (None, 2.0, 3.0)
+
+
+def test_ids_stay_exact(spark):
+    rows = [("9007199254740992",), ("9007199254740993",), ("12.0",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "data_id string")
+    assert not cleaning.has_text_ids(df)
+    assert [r.data_id for r in cleaning.type_columns(df).collect()] == [9007199254740992, 9007199254740993, 12, None, None]
+    odd = df.union(spark.createDataFrame([("a-1",)], "data_id string"))
+    assert cleaning.has_text_ids(odd)
+    kept = cleaning.type_columns(odd, text_ids=True)
+    assert kept.where("data_id = 'a-1'").count() == 1 and kept.where("data_id IS NULL").count() == 2

@@ -242,3 +242,12 @@ def test_day_slots_shift_when_the_interval_does_not_divide_a_day(spark):
         days = spark.sql("SELECT explode(sequence(date'2025-03-01', date'2025-03-09')) AS day")
         got = days.select("day", F.explode(control.day_slots(F.col("day"), schedule)).alias("t")).collect()
         assert sorted((r.day, r.t) for r in got) == want
+
+
+def test_lookup_of_a_key_with_very_many_portions(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN 7 WHEN id < 2500 THEN NULL ELSE id END AS k", "id")
+    lookup = df.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("v"))
+    joined = lookup_join(df, lookup, ["k"], "n", hot_rows=2)
+    assert joined.columns == ["k", "id", "v"] and joined.count() == 3000
+    assert joined.where("k = 7 AND v = 1999").count() == 2000
+    assert joined.where("k IS NULL AND v IS NULL").count() == 500

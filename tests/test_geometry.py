@@ -175,3 +175,17 @@ def test_wkt(spark):
     df = spark.createDataFrame([("LINESTRING (1 2, 3.5 -4)",), ("POINT (1 2)",), (None,)], "w string")
     out = df.select(geometry.from_wkt(F.col("w")).alias("l")).collect()
     assert [(p.x, p.y) for p in out[0].l] == [(1.0, 2.0), (3.5, -4.0)] and out[1].l is None and out[2].l is None
+
+
+def test_coverage_of_long_lines_needs_bounded_memory():
+    import tracemalloc
+
+    lines = [[(0.0, i * 10.0), (2500.0, i * 10.0), (5000.0, i * 10.0)] for i in range(1500)] + [[(0.0, 0.0), (1_000_000.0, 0.0)]]
+    half = [[(0.0, y), (x / 2, y)] for ((_, y), *_, (x, _)) in lines]
+    reference, route = batch(lines), batch(half)
+    tracemalloc.start()
+    share = measure.coverage_batch(route, reference, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(share, 0.5, atol=1e-3)
+    assert peak < 300e6

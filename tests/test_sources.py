@@ -97,3 +97,10 @@ def test_rollup_runs(spark, folder):
     sinks.write_csv(weekly, f"{folder}/weekly")
     row = rollups.read_rollup(spark, f"{folder}/weekly", "csv").first()
     assert (row.hour, row.avg_duration_sec, row.avg_speed_kmh, row.n_days) == (8, 10.5, 30.0, 3)
+
+
+def test_numbers_of_extracts(spark):
+    values = [0.000123456789, 12345678.9, 1.0, 0.5, 100000.0, 999999.5, 1e-5, -2.5, 0.0, 123456.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r.t for r in df.select(sinks.significant(F.col("x")).alias("t")).collect()]
+    assert got == [None if v is None else f"{v:.6g}" for v in values]
