@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import words
@@ -38,6 +38,8 @@ MOST_MISSING = 32
 SCAN = 1.0
 #: Sizes of one list lie within this ratio.
 RATIO = 0.75
+#: Cells of the parities that go with every entry of a list.
+SKETCH = 512
 #: Bits of the filter that tells which documents' sets a verification needs.
 FILTER_BITS = 1 << 22
 
@@ -72,6 +74,12 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The same in ``SKETCH`` cells for sets of every size, as 64-bit numbers."""
+    odd = np.bincount(((s >> np.uint64(30)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A number of shingles that only one of the sets has, at least; the longer sketch is folded."""
     x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
@@ -150,20 +158,20 @@ def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> Da
             for doc, s in ((ids[first + i], s) for first, sets in shingle_sets(batch.column(1), width) for i, s in enumerate(sets)):
                 n = len(s)
                 d = missing(n, percent)
-                if d < 1 or doc is None:
+                if n * 100 // percent == n and d < 1 or doc is None:
                     continue
                 cell = (s & np.uint64(CELLS - 1)).astype(np.int64)
                 order = (level[cell] << np.uint64(57)) | (s >> np.uint64(7))
                 most = min(n, d + SUBSET)
                 rarest = np.sort(np.partition(order, most - 1)[:most])
                 scans = float(excess[cell][np.argpartition(order, d)[: d + 1]].sum())
-                out.append((doc, n, scans, parity(s), rarest.view(np.int64)))
+                out.append((doc, n, scans, parity(s), sketch(s).tobytes(), rarest.view(np.int64)))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
                 arrays = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "scans", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "scans", "parity", "sketch", "prefix"])
 
-    schema = "doc_id long, n long, scans double, parity binary, prefix array<long>"
+    schema = "doc_id long, n long, scans double, parity binary, sketch binary, prefix array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -190,34 +198,56 @@ def size_class(n: int) -> int:
 def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
     """``key``, ``node`` and ``n``: a subset or single shingle, together with a class of sizes.
 
-    With ``wanted``, a filter, only keys that pass it.
+    ``pos`` is the place of the (first) shingle in the set, the columns ``SKETCHES`` are its parities. With ``wanted``, a
+    filter, only keys that pass it.
     """
     sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         wanted = sent.value
         for batch in batches:
-            keys, nodes, sizes = [], [], []
-            for node, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            keys, nodes, sizes, places, marks = [], [], [], [], []
+            for node, n, prefix, bits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 p, d = np.array(prefix, np.int64).view(np.uint64), missing(n, percent)
                 largest = n * 100 // percent
-                found = []
+                found, at = [], []
                 if n <= most_light:
                     i, j = np.triu_indices(len(p), 1)
                     found.append(words.mix(words.mix(p[i]) + p[j]))
+                    at.append(i)
                 if largest > most_light:
                     found.append(words.mix(p[: d + 1] + np.uint64(0x5851F42D4C957F2D)))
-                found = np.concatenate(found)
+                    at.append(np.arange(len(found[-1])))
+                found, at = np.concatenate(found), np.concatenate(at)
                 for c in range(size_class(n), size_class(largest) + 1):
                     key = words.mix(found + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64)))
-                    keys.append(key if wanted is None else key[in_filter(wanted, key)])
-                    nodes.append(np.full(len(keys[-1]), node))
-                    sizes.append(np.full(len(keys[-1]), n))
+                    keep = slice(None) if wanted is None else in_filter(wanted, key)
+                    keys.append(key[keep])
+                    places.append(at[keep].astype(np.int64))
+                    nodes.append(node)
+                    sizes.append(n)
+                    marks.append(np.frombuffer(bits, np.int64))
             if keys:
-                arrays = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "n"])
+                times = [len(k) for k in keys]
+                repeated = np.repeat(np.stack(marks), times, axis=0)
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(nodes, times), np.repeat(sizes, times), np.concatenate(places)]
+                arrays = [pa.array(c) for c in [*columns, *[np.ascontiguousarray(c) for c in repeated.T]]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "n", "pos", *SKETCHES])
+
+    schema = ", ".join(f"{c} long" for c in ("key", "node", "n", "pos", *SKETCHES))
+    return sets.select("node", "n", "prefix", "sketch").mapInArrow(run, schema)
+
 
-    return sets.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n long")
+def may_be_similar(percent: int) -> Column:
+    """Of entries ``a`` and ``b`` of a list: sizes, places and parities all leave open that their sets are similar.
+
+    At the first shingle that two sets share, what they can share is what follows it in the shorter rest.
+    """
+    na, nb = F.col("a.n"), F.col("b.n")
+    close = (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    rest = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
+    differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCHES[1:]), F.bit_count(F.col(f"a.{SKETCHES[0]}").bitwiseXOR(F.col(f"b.{SKETCHES[0]}"))))
+    return close & ((100 + percent) * rest >= percent * (na + nb)) & (100 * (na + nb - differ) >= percent * (na + nb + differ))
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -269,6 +299,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return linked.where(100 * F.col("c") >= percent * (F.col("sum") - F.col("c"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+SKETCHES = [f"p{i}" for i in range(SKETCH // 64)]
+
+
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -276,6 +309,8 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     Null, empty and wordless texts have no shingles and are alone. Rows with one id are one document. A row without
     id has the component of the texts with its set, if any has an id, else null.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summary = stored(summaries(docs, width))
     rows = summary.where(F.col("part").isNull())
@@ -295,14 +330,13 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     links = stored(verified(possible(first, sets, percent), docs, width, percent))
     joined = components(links)
 
-    placed = stored(lists.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")))
+    placed = stored(lists.join(joined, "node", "left").drop("pivot").withColumn("comp", F.coalesce("component", "node")).drop("component"))
     shares = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
     main = shares.agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     mixed = stored(placed.join(main, "key"))
     a, b = mixed.where("comp != main").alias("a"), mixed.alias("b")
-    close = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    rest = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.comp") != F.col("b.comp")) & close & once)
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & may_be_similar(percent))
     rest = rest.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.join(done, ["a", "b"], "left_anti")

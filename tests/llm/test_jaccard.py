@@ -79,3 +79,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (7, 7), (102, 100)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 104)}
+
+
+def test_small_sets_meet_larger_ones(spark):
+    nine = " ".join(f"a{i}" for i in range(11))
+    rows = [(1, nine), (2, nine + " b"), (3, nine + " b c"), (4, " ".join(f"c{i}" for i in range(10))), (5, " ".join(f"c{i}" for i in range(11)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert got[2] == (10, 1)
