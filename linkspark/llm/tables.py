@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Spark's own switch for releasing shuffle files at the end of a query.
+_RELEASE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts travel in small batches, unless the session has a size of its own: each batch is held several times over."""
     now = spark.conf.get(_BATCH_SETTING, None)
@@ -42,11 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: work is done once and survives lost executors."""
+    """Write ``df`` to shared storage and read it back: work is done once and survives lost executors.
+
+    The shuffle files of the write are released when it ends; nothing needs them once the table is there.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_folder(spark)}/table"
-    df.write.parquet(path)
+    kept = spark.conf.get(_RELEASE_SETTING, None)
+    spark.conf.set(_RELEASE_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if kept is None:
+            spark.conf.unset(_RELEASE_SETTING)
+        else:
+            spark.conf.set(_RELEASE_SETTING, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
