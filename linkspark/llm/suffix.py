@@ -93,7 +93,7 @@ def blocks_of(text: np.ndarray, start: np.ndarray, strings: np.ndarray, h: np.nd
 
 
 def rows_of(batch: pa.RecordBatch):
-    """``(first row, bytes, offsets, running sum)`` of slices of texts, without those that have no id."""
+    """``(first row, bytes, offsets, running sum)`` of slices of the texts in the second column."""
     for first, _, data, offsets in text_slices(batch.column(1)):
         yield first, data, offsets, words.running(data)
 
