@@ -11,6 +11,8 @@ from linkspark.llm.workload import tokenizer_path
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share this percentage of their shingles of so many words; the query of operator 1 has its own figures.
+COPY_WIDTH, COPY_PERCENT = 5, 80
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id. Rows without id stay."""
-    heads = jaccard.similar(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    found = jaccard.similar(docs.select("doc_id", "text"), width=COPY_WIDTH, percent=COPY_PERCENT)
+    heads = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
