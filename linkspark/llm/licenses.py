@@ -14,6 +14,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.license_texts import WHOLE
+
 #: Least Dice coefficient of a match.
 LEAST = 0.8
 
@@ -46,8 +48,48 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-Rights-Reserved", "Copyright. All rights reserved."),
 ]
+#: Headers of GNU licences: licence, its long name, the work, the version.
+GNU = [
+    ("GPL-3.0", "General Public License", "program", "3"),
+    ("GPL-2.0", "General Public License", "program", "2"),
+    ("AGPL-3.0", "Affero General Public License", "program", "3"),
+    ("LGPL-3.0", "Lesser General Public License", "library", "3"),
+    ("LGPL-2.1", "Lesser General Public License", "library", "2.1"),
+]
+HEADER = (
+    "This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {long} as published by "
+    "the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+)
+NO_WARRANTY = (
+    " This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {long} for more details. You should have received a copy of "
+    "the GNU {long} along with this {work}. If not, see <https://www.gnu.org/licenses/>."
+)
+TEMPLATES += [(name, t.format(work=w, long=g, version=v)) for name, g, w, v in GNU for t in (HEADER, HEADER + NO_WARRANTY)]
+APACHE_TERMS = (
+    " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+    'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+    "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+TEMPLATES += [("Apache-2.0", TEMPLATES[1][1] + APACHE_TERMS)]
+#: Identifiers of the SPDX list besides those above; a GNU version has three.
+SPDX = (
+    "0BSD AFL-3.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 "
+    "CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 ISC MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL PostgreSQL "
+    "Python-2.0 Unlicense WTFPL Zlib"
+).split()
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
+TEMPLATES += [
+    (name, f"SPDX-License-Identifier: {name}{end}")
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+    for end in ("", "-only", "-or-later")
+    if (name, end) != ("GPL-3.0", "-or-later")
+]
+TEMPLATES += WHOLE
+#: Bigrams from which a template is long: its key words are looked for in long units only.
+LONG = 90
 #: Words too common in prose to be a key word while a template has others.
-COMMON = set("a all and any are as be by can for found has in is it may not of or that the this to use with you".split())
+COMMON = set("a all and any are as be by can for found has in is it may not of or that the this to use with you if on an no but so other your under from such which have its at who what when we s will make these each those either must used any than there do does only".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -83,14 +125,19 @@ def bounds(n: int) -> tuple[int, int]:
 def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES) -> Column:
     """Array of ``(score, license)``, the best template of every unit that matches one; a null text has none."""
     sets = [(name, sorted(bigrams_of(words_of(t)))) for name, t in templates]
-    keys = sorted({w for _, b in sets for w in key_words(set(b))})
+    key_of = lambda some: r"\b(" + "|".join(sorted({w for b in some for w in key_words(set(b))})) + r")\b"
+    long = [b for _, b in sets if len(b) >= LONG]
+    # a unit with so many bigrams has more words than that, each of a character and a space at least
+    room = 2 * min((bounds(len(b))[0] for b in long), default=0)
+    has_key = lambda u: u.rlike(key_of([b for _, b in sets if len(b) < LONG]))
+    may_match = (lambda u: has_key(u) | ((F.length(u) > room) & u.rlike(key_of(long)))) if long else has_key
     longest = max(bounds(len(b))[1] for _, b in sets)
     shortest = min(bounds(len(b))[0] for _, b in sets)
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     plain = F.regexp_replace(lower, r"[^a-z0-9\n]+", " ")
     joined = lambda x: F.trim(F.translate(x, "\n", " "))
     units = F.concat(F.split(plain, "\n"), F.split(plain, r"\n *\n"), F.array(plain))
-    units = F.array_distinct(F.transform(F.filter(units, lambda u: u.rlike(r"\b(" + "|".join(keys) + r")\b")), joined))
+    units = F.array_distinct(F.transform(F.filter(units, may_match), joined))
     word_lists = F.transform(units, lambda u: F.split(u, " +"))
     # a word may repeat, so the number of words bounds the number of bigrams from above only
     word_lists = F.filter(word_lists, lambda w: F.size(w) > shortest)
@@ -98,7 +145,7 @@ def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES) -> Colum
     bigrams = F.filter(F.transform(word_lists, pairs), lambda b: F.size(b).between(shortest, longest))
     known = F.array(*[
         F.struct(
-            F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"),
+            F.lit(name).alias("license"), F.split(F.lit("\n".join(b)), "\n").alias("bigrams"),
             F.lit(bounds(len(b))[0]).alias("low"), F.lit(bounds(len(b))[1]).alias("high"),
         )
         for name, b in sets
