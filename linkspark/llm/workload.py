@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages, suffix
+from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages, periodic, suffix
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op1_ngram_jaccard(spark, sf_dir):
 @query
 def op4_suffix_array_dedup(spark, sf_dir):
     return suffix.removed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_difference_cover_runs(spark, sf_dir):
+    return periodic.digests(periodic.find(table(spark, sf_dir, "documents"), ["doc_id"], change=periodic.planted))
