@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages, periodic, suffix
+from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages, periodic, strassen, suffix
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,13 @@ def op4_suffix_array_dedup(spark, sf_dir):
 @query
 def op12_difference_cover_runs(spark, sf_dir):
     return periodic.digests(periodic.find(table(spark, sf_dir, "documents"), ["doc_id"], change=periodic.planted))
+
+
+@query
+def op13_strassen_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return strassen.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_strassen_negatives"] = strassen.oracle()
