@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import bpe, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages, periodic, strassen, suffix
+from linkspark.llm import bpe, chat, credentials, jaccard, language, licenses, mixing, neighbours, outliers, passages, periodic, strassen, suffix
 from linkspark.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,11 @@ def op13_strassen_negatives(spark, sf_dir):
 
 
 ORACLES["op13_strassen_negatives"] = strassen.oracle()
+
+
+@query
+def op11_budgeted_windows(spark, sf_dir):
+    return chat.read_back(chat.windows(chat.with_control_strings(table(spark, sf_dir, "conversations"))))
+
+
+ORACLES["op11_budgeted_windows"] = chat.oracle()
