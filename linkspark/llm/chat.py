@@ -118,7 +118,8 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, back:
     systems = _systems(plain)
     known = blocks.join(systems, blocks["conv_id"].eqNullSafe(systems["_conv"]), "left").drop("_conv")
     spans = known.withColumn("walk", F.expr(_walk(budget, history))).withColumn("spans", F.expr(_spans(history, back)))
-    single = spans.select("conv_id", "block", F.posexplode("spans").alias("part", "span"))
+    # not ``posexplode``: the filter that Spark infers for it would repeat the fold for every use of its result
+    single = spans.select("conv_id", "block", F.posexplode_outer("spans").alias("part", "span")).where("part IS NOT NULL")
 
     def piece(learned: bool):
         def of(x: Column) -> Column:
