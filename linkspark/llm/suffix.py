@@ -9,7 +9,8 @@ its smallest document, and every other document loses them whole. What remains i
 a shared anchor: they are dealt over shards, each shard sorts the suffixes of its contexts (Larsson-Sadakane refinement,
 which sorts only groups that are still tied), finds common prefixes with Kasai's scan, and so the smallest document of each
 string. Contexts of one anchor that are too many for a shard lie in several; their strings are then merged by binary
-search in sorted ranges. Copies of whole texts are found by their hash.
+search in sorted ranges. Whole texts and blocks are compared by cryptographic digests of 128 bits, contexts by two 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from linkspark.llm import words
 from linkspark.llm.tables import stored, text_slices
 
-LENGTH, GRAM = 50, 28
+LENGTH, GRAM = 50, 20
 #: Anchors of a block, on average.
 BLOCK = 16
 #: Depth to which suffixes are sorted: the first power of two from ``LENGTH`` on.
@@ -40,10 +41,24 @@ FILTER_BITS = 1 << 26
 CHUNK = 4 << 20
 
 
-def gram_hashes(total: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the ``GRAM`` bytes at every place of ``n`` bytes, from their running sum."""
-    count = max(0, n - GRAM + 1)
-    return words.mix((total[GRAM : GRAM + count] - total[:count]) * words.powers(count, "down"))
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the ``GRAM`` bytes at every place; they only choose anchors, what is removed is compared by other ones."""
+    count = max(0, len(data) - GRAM + 1)
+    if not count:
+        return np.zeros(0, np.uint64)
+    eights = np.empty(len(data) - 7, np.uint64)
+    for i in range(8):
+        part = np.frombuffer(data, np.uint64, (len(data) - i) // 8, i)
+        eights[i::8] = part
+    eights *= _FACTORS[0]
+    eights ^= eights >> np.uint64(32)
+    out = eights[:count] * _FACTORS[1]
+    for k, at in enumerate([*range(8, GRAM - 8, 8), GRAM - 8], 2):
+        out += eights[at : at + count] * _FACTORS[k]
+    return words.mix(out)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,11 +71,11 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Text, place of the context's first byte, number of its strings, and hash of the anchor, of every anchor."""
     sizes = np.diff(offsets)
     strings = np.maximum(0, sizes - LENGTH + 1)
-    grams = gram_hashes(total, len(data))
+    grams = gram_hashes(data)
     width = LENGTH - GRAM + 1
     found = []
     low = np.uint64((1 << 24) - 1)
@@ -80,26 +95,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray, total: np.ndarray) -> tuple[n
     return text[at], start[at], np.diff(np.append(at, len(place))), grams[place[at]]
 
 
-def blocks_of(text: np.ndarray, start: np.ndarray, strings: np.ndarray, h: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First anchor and hash of each block of anchors that follow each other, and the block of each anchor."""
+def digest_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers of the cryptographic digest of each span."""
+    content = data.tobytes()
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.blake2b(content[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
+
+
+def blocks_of(text: np.ndarray, start: np.ndarray, strings: np.ndarray, h: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First anchor and digest of each block of anchors that follow each other, and the block of each anchor."""
     if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     new = (h >> np.uint64(40)) % np.uint64(BLOCK) == 0
     new[0] = True
     new[1:] |= text[1:] != text[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(text)) - 1
-    return first, words.span_hashes(total, start[first], start[last] + strings[last] + LENGTH - 1), np.cumsum(new) - 1
+    return first, digest_pairs(data, start[first], start[last] + strings[last] + LENGTH - 1), np.cumsum(new) - 1
 
 
 def rows_of(batch: pa.RecordBatch):
-    """``(first row, bytes, offsets, running sum)`` of slices of the texts in the second column."""
+    """``(first row, bytes, offsets)`` of slices of the texts in the second column."""
     for first, _, data, offsets in text_slices(batch.column(1)):
-        yield first, data, offsets, words.running(data)
+        yield first, data, offsets
+
+
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(digest_pairs(data, offsets[:-1], offsets[1:])[:, 0])
 
 
-def text_keys(total: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return words.span_hashes(total, offsets[:-1], offsets[1:])
+def context_hashes(data: np.ndarray, start: np.ndarray, strings: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each context; together with its anchor's hash it names a class."""
+    return words.mix(words.short_hashes(data, start, strings + LENGTH - 1, 2 * LENGTH - GRAM) + h)
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -107,11 +134,11 @@ def summaries(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, data, offsets, total in rows_of(batch):
+            for first, data, offsets in rows_of(batch):
                 n = len(offsets) - 1
-                other = words.span_hashes(words.running(data ^ np.uint8(0x5A)), offsets[:-1], offsets[1:])
+                keys = digest_pairs(data, offsets[:-1], offsets[1:])
                 sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                columns = [batch.column(0).slice(first, n), pa.array(np.diff(offsets)), pa.array(text_keys(total, offsets).view(np.int64)), pa.array(other.view(np.int64)), pa.array(sha)]
+                columns = [batch.column(0).slice(first, n), pa.array(np.diff(offsets)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sha)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "t1", "t2", "sha"])
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, t1 long, t2 long, sha string")
@@ -143,31 +170,31 @@ def anchor_blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets, total in rows_of(batch):
-                text, start, strings, h = anchors(data, offsets, total)
-                _, s, block = blocks_of(text, start, strings, h, total)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)[block])], names=["h", "s"])
+            for _, data, offsets in rows_of(batch):
+                text, start, strings, h = anchors(data, offsets)
+                _, s, block = blocks_of(text, start, strings, h, data)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s[block, 0])], names=["h", "s"])
 
     return docs.mapInArrow(run, "h long, s long")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Block ``s``, document, text hash, first byte ``low`` and number of ``strings`` of every block."""
+    """Block (``s``, ``s2``), document, text hash, first byte ``low`` and number of ``strings`` of every block."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, offsets, total in rows_of(batch):
-                text, start, strings, h = anchors(data, offsets, total)
-                at, s, _ = blocks_of(text, start, strings, h, total)
+            for first, data, offsets in rows_of(batch):
+                text, start, strings, h = anchors(data, offsets)
+                at, s, _ = blocks_of(text, start, strings, h, data)
                 size = np.add.reduceat(strings, at) if len(at) else strings
                 arrays = [
-                    pa.array(s.view(np.int64)), pa.array(ids[first + text[at]].astype(np.int64)),
-                    pa.array(text_keys(total, offsets).view(np.int64)[text[at]]), pa.array(start[at] - offsets[text[at]]), pa.array(size),
+                    pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(ids[first + text[at]].astype(np.int64)),
+                    pa.array(text_keys(data, offsets)[text[at]]), pa.array(start[at] - offsets[text[at]]), pa.array(size),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["s", "doc_id", "t1", "low", "strings"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["s", "s2", "doc_id", "t1", "low", "strings"])
 
-    return docs.mapInArrow(run, "s long, doc_id long, t1 long, low long, strings long")
+    return docs.mapInArrow(run, "s long, s2 long, doc_id long, t1 long, low long, strings long")
 
 
 def owner_keys(c: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -182,12 +209,12 @@ def shared_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
         bits = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, offsets, total in rows_of(batch):
-                text, start, strings, h = (x[keep] for keep, x in _passing(bits, anchors(data, offsets, total)))
-                c = words.mix(words.span_hashes(total, start, start + strings + LENGTH - 1) + h)
+            for first, data, offsets in rows_of(batch):
+                text, start, strings, h = (x[keep] for keep, x in _passing(bits, anchors(data, offsets)))
+                c = context_hashes(data, start, strings, h)
                 arrays = [
                     pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[first + text].astype(np.int64)),
-                    pa.array(text_keys(total, offsets).view(np.int64)[text]), pa.array(start - offsets[text]), pa.array(strings),
+                    pa.array(text_keys(data, offsets)[text]), pa.array(start - offsets[text]), pa.array(strings),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["h", "c", "doc_id", "t1", "low", "strings"])
 
@@ -213,9 +240,9 @@ def context_bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         bits = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, offsets, total in rows_of(batch):
-                text, start, strings, h = anchors(data, offsets, total)
-                c = words.mix(words.span_hashes(total, start, start + strings + LENGTH - 1) + h)
+            for first, data, offsets in rows_of(batch):
+                text, start, strings, h = anchors(data, offsets)
+                c = context_hashes(data, start, strings, h)
                 owner = ids[first + text].astype(np.int64)
                 keep = in_filter(bits, owner_keys(c, owner))
                 start, strings, h, c, owner = start[keep], strings[keep], h[keep], c[keep], owner[keep]
@@ -344,9 +371,7 @@ def compared(contexts: DataFrame) -> DataFrame:
         context, number, at, best = string_owners(contents, frame["strings"].to_numpy(), owners)
         if frame["sub"].iloc[0]:
             data = np.frombuffer(b"".join(contents), np.uint8)
-            total = words.running(data)
-            k1 = words.span_hashes(total, at, at + LENGTH).view(np.int64)
-            k2 = words.span_hashes(words.running(data ^ np.uint8(0x5A)), at, at + LENGTH).view(np.int64)
+            k1, k2 = (words.short_hashes(data, at, np.full(len(at), LENGTH), LENGTH, seed).view(np.int64) for seed in (1, 2))
             out = pd.DataFrame({"h": frame["h"].to_numpy()[context], "c": frame["c"].to_numpy()[context], "mask": np.int64(1) << number, "owner": owners[context], "best": best, "k1": k1, "k2": k2})
             return out
         hit = best < owners[context]
@@ -419,8 +444,8 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = summary.groupBy("t1", "t2", "n_bytes").agg(F.min("doc_id").alias("head"))
     rows = stored(summary.join(heads, ["t1", "t2", "n_bytes"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)))
     every = stored(blocks(known))
-    first = every.groupBy("s").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("s", "owner")
-    lost = every.join(first, "s").where("doc_id > owner").select("doc_id", "t1", "low", F.lit(0).cast("long").alias("mask"), F.col("strings").alias("run"))
+    first = every.groupBy("s", "s2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("s", "s2", "owner")
+    lost = every.join(first, ["s", "s2"]).where("doc_id > owner").select("doc_id", "t1", "low", F.lit(0).cast("long").alias("mask"), F.col("strings").alias("run"))
     shared = stored(anchor_blocks(known).groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("h"))
     found = stored(shared_contexts(known, shared))
     classes = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")))
@@ -446,11 +471,11 @@ def _finished(docs: DataFrame, digest, kind: str, whole: str | None, nothing: st
     def texts(batches):
         bits = sent.value
         for batch in batches:
-            for first, data, offsets, total in rows_of(batch):
-                keys = text_keys(total, offsets)
+            for first, data, offsets in rows_of(batch):
+                keys = text_keys(data, offsets)
                 keep = np.flatnonzero(in_filter(bits, keys))
                 content = [data[offsets[i] : offsets[i + 1]].tobytes() for i in keep.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + keep)), pa.array(keys.view(np.int64)[keep]), pa.array(content, pa.binary())], names=["doc_id", "t1", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + keep)), pa.array(keys[keep]), pa.array(content, pa.binary())], names=["doc_id", "t1", "bytes"])
 
     def finish(batches):
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Text that a worker handles at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of an Arrow batch between Spark and its Python workers, in place of Spark's 64 MB; a longer row is a batch alone.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING, _SPARK_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20

@@ -1,6 +1,8 @@
 """Words, lines and their hashes for many texts at once, in NumPy over the bytes of a slice of texts.
 
-Hashes are polynomials modulo 2**64 over random byte values, cut out of one running sum, and then mixed.
+Hashes of spans are pairs of polynomials modulo the prime 2**31 - 1, over bases and byte values drawn once at random, cut out
+of running sums. Two given spans of ``n`` bytes have equal pairs with a chance of ``(n / 2**31)**2`` at most over the
+draw, whatever their texts; modulo a power of two there are texts that collide for every base.
 """
 
 from __future__ import annotations
@@ -14,25 +16,28 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_RANDOM = np.random.default_rng(12345).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_PRIME = np.uint64((1 << 31) - 1)
+_draw = np.random.default_rng(12345)
+_BASES = _draw.integers(1 << 20, int(_PRIME), 2).tolist()
+_VALUES = _draw.integers(1, int(_PRIME), (2, 256), dtype=np.uint64)
+#: Powers of the bases, then of their inverses.
+_powers: list[np.ndarray] = [np.ones(1, np.uint32)] * 4
 
 
-@cache
-def _inverse() -> int:
-    return pow(_BASE, -1, 1 << 64)
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The same modulo the prime, below 2**33 for any 64-bit number, below 2**32 for products."""
+    return (x & _PRIME) + (x >> np.uint64(31))
 
 
-def powers(n: int, which: str) -> np.ndarray:
-    """Powers of the base (``up``) or of its inverse (``down``) modulo 2**64."""
+def powers(n: int, which: int) -> np.ndarray:
+    """The first ``n`` powers of base ``which``, for 2 and 3 of the inverses, modulo the prime."""
     have = _powers[which]
     if len(have) < n:
-        step = np.full(max(n, 2 * len(have), 1 << 16), _BASE if which == "up" else _inverse(), np.uint64)
-        step[0] = 1
-        have = _powers[which] = np.cumprod(step, dtype=np.uint64)
-        if len(have) > 1 << 24:  # a very long text: not kept
-            _powers[which] = np.ones(1, np.uint64)
+        base = _BASES[which % 2] if which < 2 else pow(_BASES[which % 2], -1, int(_PRIME))
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, (have * np.uint64(pow(base, len(have), int(_PRIME))) % _PRIME).astype(np.uint32)])
+        if len(have) <= 1 << 24:  # those for a very long text are not kept
+            _powers[which] = have
     return have[:n]
 
 
@@ -46,16 +51,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def running(data: np.ndarray) -> np.ndarray:
-    """Running sum from which :func:`span_hashes` cuts hashes."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_RANDOM[data] * powers(len(data), "up"), dtype=np.uint64, out=out[1:])
+    """Two running sums from which :func:`span_hashes` cuts hashes."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    for k in range(2):
+        np.cumsum(_folded(_VALUES[k][data] * powers(len(data), k)), dtype=np.uint64, out=out[k, 1:])
     return out
 
 
 def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span, with its length."""
-    inverse = powers(len(total), "down")
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    pair = []
+    for k in range(2):
+        span = _folded(_folded(total[k][ends] - total[k][starts]))
+        pair.append(span % _PRIME * powers(total.shape[1], 2 + k)[starts] % _PRIME)
+    return mix(mix(pair[0] << np.uint64(31) | pair[1]) + (ends - starts).astype(np.uint64))
+
+
+_STRIDE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def short_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int, seed: int = 0) -> np.ndarray:
+    """Hash of each span of ``most`` bytes at most: eight bytes at a time, each mixed in after the last."""
+    padded = np.concatenate([data, np.zeros(most + 8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    out = mix(sizes.astype(np.uint64) + np.uint64(seed * int(_STRIDE) % (1 << 64)))
+    for at in range(0, most, 8):
+        left = sizes - at
+        live = np.flatnonzero(left > 0)
+        if not len(live):
+            break
+        part = np.ascontiguousarray(eights[starts[live] + at]).view(np.uint64).ravel()
+        blank = np.uint64(8) * (8 - np.minimum(left[live], 8)).astype(np.uint64)
+        out[live] = mix(out[live] * _STRIDE ^ part << blank) + out[live]
+    return out
 
 
 @dataclass

@@ -9,7 +9,7 @@ from linkspark.llm import mixing
 from linkspark.llm.tables import stored
 from tokenizers import Tokenizer
 
-from test_jaccard import brute
+from test_near_copies import kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def test_stages(spark):
     one = stored(named(spark, docs, SF))
     assert one.columns == docs.columns and 0.95 * docs.count() < one.count() <= docs.count()
     two = stored(deduplicated(spark, one, SF))
-    want = {i for i, c in brute([tuple(r) for r in one.select("doc_id", "text").collect()]).items() if i == c[1]}
+    want = kept([tuple(r) for r in one.select("doc_id", "text").collect()])
     assert {r.doc_id for r in two.select("doc_id").collect()} == want and two.count() == len(want)
     three = stored(clean(spark, two, SF))
     before, after = (dict(t.select("doc_id", "text").collect()) for t in (two, three))
