@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.operators.quantiles import exact_quantiles
+from linkspark.operators.quantiles import exact_quantiles, quantile_row
 
 # --- fixed values: default symbology of the two metrics and the named presets ---
 DEFAULT_SYMBOLOGY = {
@@ -40,13 +40,17 @@ def equal_breaks(df: DataFrame, column: str, n_classes: int = 5) -> DataFrame:
     return df.agg(_even(F.min(column), F.max(column), n_classes).alias("breaks"))
 
 
-def stddev_breaks(df: DataFrame, column: str, n_classes: int = 5) -> DataFrame:
-    """Mean plus and minus whole population deviations; the outer breaks reach the data range."""
+def _stddev(column: str, n_classes: int) -> Column:
     half = n_classes // 2
     inner = [F.avg(column) + i * F.stddev_pop(column) for i in range(-half, half + 1)]
     inner[0] = F.least(inner[0], F.min(column))
     inner[-1] = F.greatest(inner[-1], F.max(column))
-    return df.agg(F.array_sort(F.array(*inner)).alias("breaks"))
+    return F.array_sort(F.array(*inner))
+
+
+def stddev_breaks(df: DataFrame, column: str, n_classes: int = 5) -> DataFrame:
+    """Mean plus and minus whole population deviations; the outer breaks reach the data range."""
+    return df.agg(_stddev(column, n_classes).alias("breaks"))
 
 
 # In the functions below ``source`` is the table that statistics are taken from, by default ``df``
@@ -60,16 +64,19 @@ def classify(
     n_classes: int = 5,
     manual_breaks: list[float] | None = None,
     source: DataFrame | None = None,
+    breaks: Column | None = None,
 ) -> DataFrame:
-    """Append ``class_index``."""
+    """Append ``class_index``. ``breaks`` are those of a method that needs statistics, where they are known already."""
     data = df if source is None else source
-    classes = n_classes
-    if method == "quantiles":
+    classes = 2 * (n_classes // 2) if method == "standard_deviation" else n_classes
+    if breaks is not None:
+        pass
+    elif method == "quantiles":
         breaks = quantile_breaks(data, column, n_classes).scalar()
     elif method == "equal_interval":
         breaks = equal_breaks(data, column, n_classes).scalar()
     elif method == "standard_deviation":
-        breaks, classes = stddev_breaks(data, column, n_classes).scalar(), 2 * (n_classes // 2)
+        breaks = stddev_breaks(data, column, n_classes).scalar()
     elif method == "manual":
         if not manual_breaks:
             raise ValueError("manual classification needs breaks")
@@ -81,13 +88,14 @@ def classify(
 
 
 def capped_classes(
-    df: DataFrame, column: str, caps=(2, 98), n_classes: int = 5, source: DataFrame | None = None
+    df: DataFrame, column: str, caps=(2, 98), n_classes: int = 5, source: DataFrame | None = None, limits: Column | None = None
 ) -> DataFrame:
-    """Append ``capped_value`` and ``color_index``: equal classes between two percentiles."""
-    limits = exact_quantiles(df if source is None else source, column, [caps[0] / 100, caps[1] / 100], "limits")
+    """Append ``capped_value`` and ``color_index``: equal classes between two percentiles, ``limits`` where they are known."""
+    if limits is None:
+        limits = exact_quantiles(df if source is None else source, column, [caps[0] / 100, caps[1] / 100], "limits").scalar()
     low, high, value = F.col("__limits")[0], F.col("__limits")[1], F.col(column)
     capped = F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
-    out = df.withColumn("__limits", limits.scalar()).withColumns(
+    out = df.withColumn("__limits", limits).withColumns(
         {"capped_value": capped, "__breaks": _even(low, high, n_classes)}
     )
     index = _class_of(F.col("capped_value"), F.col("__breaks"), n_classes)
@@ -149,8 +157,16 @@ def symbology(df: DataFrame, metric: str = "duration", preset: str | None = None
     """All class and scale columns of one metric under a default or named configuration."""
     config = PRESETS[preset] if preset else DEFAULT_SYMBOLOGY[metric]
     column = METRIC_COLUMNS[config.get("metric", metric)]
-    n = config["n_classes"]
-    out = classify(df, column, config["classification"], n, source=df)
-    out = capped_classes(out, column, config["outlier_caps"], n, source=df)
+    n, method, caps = config["n_classes"], config["classification"], config["outlier_caps"]
+    # breaks and caps of one column come from one selection
+    wanted = {"limits": (column, [caps[0] / 100, caps[1] / 100])}
+    if method == "quantiles":
+        wanted["breaks"] = (column, [i / n for i in range(n + 1)])
+    row = quantile_row(df, wanted, [_stddev(column, n).alias("breaks")] if method == "standard_deviation" else None)
+    known = row.select(F.struct("*").alias("s")).scalar()
+    out = df.withColumn("__known", known)
+    breaks = F.col("__known.breaks") if "breaks" in row.columns else None
+    out = classify(out, column, method, n, source=df, breaks=breaks)
+    out = capped_classes(out, column, caps, n, limits=F.col("__known.limits")).drop("__known")
     out = width_scale(out, "n_valid", config["width"], source=df)
     return opacity_scale(out, "n_valid", config["opacity"], source=df)

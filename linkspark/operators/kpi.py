@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators.quality import level_of
-from linkspark.operators.quantiles import exact_median
+from linkspark.operators.quantiles import quantile_row
 
 # --- fixed values: label limits, reasonable ranges and the figures that changes are shown for ---
 COVERAGE_LEVELS = [(90, "excellent"), (75, "good"), (50, "moderate")]
@@ -27,7 +27,7 @@ def kpis(selection: DataFrame, network_links: DataFrame, days: DataFrame | None
     """
     speed, seconds, n = F.col("avg_speed_kmh"), F.col("avg_duration_sec"), F.col("n_valid")
     minutes = seconds / 60
-    row = selection.agg(
+    figures = [
         F.count("*").alias("n_links_rendered"),
         F.avg(speed).alias("mean_speed"),
         F.stddev_samp(speed).alias("speed_std"),
@@ -46,15 +46,15 @@ def kpis(selection: DataFrame, network_links: DataFrame, days: DataFrame | None
         (F.count_if((seconds > 0) & (seconds <= MAX_DURATION)) / F.nullif(F.count(seconds), F.lit(0))).alias(
             "__duration_ok"
         ),
-    )
+    ]
+    # the medians of all columns come from the same passes as the other figures
+    medians = {"median_speed": speed, "median_duration": minutes, "median_observations_per_link": n, "median_link_length_m": "length_m"}
+    row = quantile_row(selection, {name: (value, [0.5]) for name, value in medians.items()}, figures)
+    row = row.withColumns({name: F.col(name)[0] for name in medians})
     total = network_links.agg(F.count("*").alias("n")).scalar()
     row = row.withColumns(
         {
             "coverage_percent": F.coalesce(F.col("n_links_rendered") * 100.0 / F.nullif(total, F.lit(0)), F.lit(0.0)),
-            "median_speed": exact_median(selection, speed),
-            "median_duration": exact_median(selection, minutes),
-            "median_observations_per_link": exact_median(selection, n),
-            "median_link_length_m": exact_median(selection, "length_m"),
             "n_days": _day_count(days),
         }
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkspark.config import QualityThresholds
 from linkspark.functions import geometry
 from linkspark.operators.network import match_counts
-from linkspark.operators.quantiles import exact_quantiles
+from linkspark.operators.quantiles import quantile_row
 
 LIMITS = QualityThresholds()
 
@@ -56,10 +56,10 @@ def data_summary(links: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def _statistics(df: DataFrame, column: str, issues: dict[str, Column]) -> DataFrame:
-    """One row: count, nulls, moments, range, quartiles and the issue counts of a column."""
+def _statistics(df: DataFrame, column: str, issues: dict[str, Column], also: list[Column] | None = None) -> DataFrame:
+    """One row: count, nulls, moments, range, quartiles and the issue counts of a column, and aggregates ``also``."""
     value = F.col(column)
-    basic = df.agg(
+    figures = [
         F.count(value).alias("count"),
         F.count_if(value.isNull()).alias("null_count"),
         F.avg(value).alias("mean"),
@@ -67,11 +67,10 @@ def _statistics(df: DataFrame, column: str, issues: dict[str, Column]) -> DataFr
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         *[F.count_if(test).alias(name) for name, test in issues.items()],
-    )
-    quartiles = exact_quantiles(df, column, [0.25, 0.5, 0.75]).scalar()
-    return basic.withColumn("__q", quartiles).withColumns(
-        {"q25": F.col("__q")[0], "median": F.col("__q")[1], "q75": F.col("__q")[2]}
-    ).drop("__q")
+        *(also or []),
+    ]
+    row = quantile_row(df, {"__q": (column, [0.25, 0.5, 0.75])}, figures)
+    return row.withColumns({"q25": F.col("__q")[0], "median": F.col("__q")[1], "q75": F.col("__q")[2]}).drop("__q")
 
 
 def _scored(stats: DataFrame, bad: Column) -> DataFrame:
@@ -117,9 +116,7 @@ def observation_quality(results: DataFrame, limits: QualityThresholds = LIMITS)
         "unreliable": v < limits.min_observations_reliable,
         "reliable": v >= limits.min_observations_reliable,
     }
-    stats = _statistics(results, "n_valid", issues).withColumn(
-        "total_observations", results.agg(F.sum("n_valid").alias("n")).scalar()
-    )
+    stats = _statistics(results, "n_valid", issues, [F.sum("n_valid").alias("total_observations")])
     score = F.col("reliable") * 100.0 / F.nullif(F.col("count"), F.lit(0))
     return stats.withColumn("quality_score", score).withColumn(
         "quality_level", F.when(score.isNotNull(), level_of(score, OBSERVATION_LEVELS))

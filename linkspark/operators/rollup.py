@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark import schema
-from linkspark.operators.quantiles import exact_median
+from linkspark.operators.quantiles import quantile_row
 
 HOUR_KEYS = ["link_id", "date", "hour_of_day", "daytype"]
 
@@ -187,24 +187,28 @@ def run_summary(df: DataFrame, hourly: DataFrame, weekly: DataFrame) -> DataFram
         F.sum("valid").alias("valid_rows"),
         F.count("link_id").alias("distinct_links"),
     )
-    spread = hourly.agg(
+    figures = [
         F.count("*").alias("rows"),
         F.min("n_valid").alias("lo"),
         F.avg("n_valid").alias("mean"),
         F.max("n_valid").alias("hi"),
+    ]
+    spread = quantile_row(hourly, {"median": ("n_valid", [0.5])}, figures)
+    row = raw.withColumns(
+        {"spread": spread.select(F.struct("*").alias("s")).scalar(), "weekly_rows": weekly.agg(F.count("*").alias("n")).scalar()}
     )
-    return raw.select(
+    return row.select(
         "raw_rows",
-        spread.select("rows").scalar().alias("hourly_rows"),
-        weekly.agg(F.count("*").alias("n")).scalar().alias("weekly_rows"),
+        F.col("spread.rows").alias("hourly_rows"),
+        "weekly_rows",
         "valid_rows",
         (F.col("raw_rows") - F.col("valid_rows")).alias("invalid_rows"),
         F.round(F.col("valid_rows") * 100.0 / F.col("raw_rows"), 1).alias("valid_percent"),
         "distinct_links",
-        spread.select("lo").scalar().alias("n_valid_min"),
-        F.round(spread.select("mean").scalar(), 1).alias("n_valid_mean"),
-        F.round(exact_median(hourly, "n_valid"), 1).alias("n_valid_median"),
-        spread.select("hi").scalar().alias("n_valid_max"),
+        F.col("spread.lo").alias("n_valid_min"),
+        F.round("spread.mean", 1).alias("n_valid_mean"),
+        F.round(F.col("spread.median")[0], 1).alias("n_valid_median"),
+        F.col("spread.hi").alias("n_valid_max"),
     )
 
 

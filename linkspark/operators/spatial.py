@@ -9,7 +9,7 @@ from linkspark.functions import bearings, geometry, polyline
 from linkspark.functions.lines import coordinate_text
 from linkspark.functions.projection import project_line, unproject_line
 from linkspark.operators.grouping import HOT_ROWS, keep_first, lookup_join
-from linkspark.operators.quantiles import bucket_of, value_edges
+from linkspark.operators.quantiles import global_rank
 
 # --- fixed values: least feature length (m) drawn per zoom level; resolution (m/pixel) ladder ---
 MIN_FEATURE_M = {
@@ -146,31 +146,6 @@ def priority_batches(
     )
 
 
-def global_rank(df: DataFrame, priority: str, key: str) -> DataFrame:
-    """1-based position by descending ``priority`` without a global sort; ties in order of the key's md5.
-
-    Approximate percentiles split the values into ranges. A value held by very many rows is itself a
-    range edge, and its rows are split further by the md5. Range sizes (a bounded table) give every range
-    its offset, and a window ranks inside a range, so positions are exact.
-    """
-    value = F.coalesce(F.col(priority).cast("double"), F.lit(float("-inf")))
-    edges = value_edges(df, value).scalar()
-    digest = F.md5(F.col(key).cast("string"))
-    split = df.withColumns({"__v": value, "__h": digest, "__edges": edges})
-    split = split.withColumn("__b", bucket_of("__edges", "__v"))
-    on_edge = F.col("__v") == F.get("__edges", F.col("__b") - 1)
-    slice_ = F.conv(F.substring("__h", 1, 2), 16, 10).cast("int") + 1
-    split = split.withColumn("__t", F.when(on_edge, slice_).otherwise(0)).drop("__edges")
-    sizes = split.groupBy("__b", "__t").agg(F.count("*").alias("__n"))
-    above = Window.orderBy(F.desc("__b"), "__t").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__b", "__t", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__b", "__t").orderBy(F.desc("__v"), "__h", key)
-    ranked = split.join(F.broadcast(offsets), ["__b", "__t"]).withColumn(
-        "position", F.col("__offset") + F.row_number().over(inside)
-    )
-    return ranked.drop("__b", "__t", "__v", "__h", "__offset")
-
-
 def merge_parts(parts: DataFrame, key: str = "link_id") -> DataFrame:
     """Multi-part geometries ``key, part, line`` to one line each.
 
