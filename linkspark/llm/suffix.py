@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from linkspark.llm import words
 from linkspark.llm.tables import stored, text_slices
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 28
 #: Anchors of a block, on average.
 BLOCK = 16
 #: Depth to which suffixes are sorted: the first power of two from ``LENGTH`` on.
@@ -403,21 +403,17 @@ def compared(contexts: DataFrame) -> DataFrame:
     return whole.union(merged.groupBy("h", "c").agg(F.bit_or("mask").alias("mask")))
 
 
-def cut(data: bytes, lows: list[int], masks: list[int], runs: list[int]) -> tuple[int, int, bytes]:
+def cut(data: bytes, low: np.ndarray, mask: np.ndarray, run: np.ndarray) -> tuple[int, int, bytes]:
     """Bytes removed, runs removed, and what is kept.
 
     A mark has strings from ``low`` on: those of a mask's bits, or so many as a run has.
     """
-    change = np.zeros(len(data) + 1, np.int64)
-    low, mask, run = (np.array(x, np.int64) for x in (lows, masks, runs))
     whole = run > 0
-    np.add.at(change, low[whole], 1)
-    np.add.at(change, low[whole] + run[whole] + LENGTH - 1, -1)
-    for bit in range(LENGTH - GRAM + 1):
-        at = low[(mask >> bit) & 1 == 1] + bit
-        np.add.at(change, at, 1)
-        np.add.at(change, at + LENGTH, -1)
-    gone = np.cumsum(change)[:-1] > 0
+    mark, bit = np.nonzero((mask[:, None] >> np.arange(LENGTH - GRAM + 1)) & 1)
+    begins = np.concatenate([low[whole], low[mark] + bit])
+    ends = np.concatenate([low[whole] + run[whole] - 1, low[mark] + bit]) + LENGTH
+    n = len(data) + 1
+    gone = np.cumsum(np.bincount(begins, minlength=n) - np.bincount(ends, minlength=n))[:-1] > 0
     spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
     return int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
@@ -480,7 +476,10 @@ def _finished(docs: DataFrame, digest, kind: str, whole: str | None, nothing: st
     def finish(batches):
         for batch in batches:
             ids, t1, content, marks = (batch.column(i) for i in range(4))
-            out = [cut(b, [m["low"] for m in ms], [m["mask"] for m in ms], [m["run"] for m in ms]) for b, ms in zip(content.to_pylist(), marks.to_pylist(), strict=True)]
+            low, mask, run = (marks.flatten().field(i).to_numpy() for i in range(3))
+            at = marks.offsets.to_numpy() - marks.offsets[0].as_py()
+            spans = [slice(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            out = [cut(b, low[x], mask[x], run[x]) for b, x in zip(content.to_pylist(), spans, strict=True)]
             n, runs, left = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids, t1, pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array([digest(x) for x in left], pa.string() if text_kind else pa.binary())], names=["doc_id", "t1", "n_removed", "n_spans", name])
 
