@@ -38,6 +38,8 @@ MOST_MISSING = 32
 SCAN = 1.0
 #: Sizes of one list lie within this ratio.
 RATIO = 0.75
+#: Entries of lists that a worker holds at once.
+ENTRIES = 1 << 16
 #: Cells of the parities that go with every entry of a list.
 SKETCH = 512
 #: Bits of the filter that tells which documents' sets a verification needs.
@@ -203,10 +205,17 @@ def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray
     """
     sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
+    def entries(held: list[tuple]) -> pa.RecordBatch:
+        keys, nodes, sizes, places, marks = zip(*held, strict=True)
+        times = [len(k) for k in keys]
+        columns = [np.concatenate(keys).view(np.int64), np.repeat(nodes, times), np.repeat(sizes, times), np.concatenate(places)]
+        columns += [np.repeat(c, times) for c in np.stack(marks).T]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "pos", *SKETCHES])
+
     def run(batches):
         wanted = sent.value
+        held, rows = [], 0
         for batch in batches:
-            keys, nodes, sizes, places, marks = [], [], [], [], []
             for node, n, prefix, bits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 p, d = np.array(prefix, np.int64).view(np.uint64), missing(n, percent)
                 largest = n * 100 // percent
@@ -222,17 +231,14 @@ def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray
                 for c in range(size_class(n), size_class(largest) + 1):
                     key = words.mix(found + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64)))
                     keep = slice(None) if wanted is None else in_filter(wanted, key)
-                    keys.append(key[keep])
-                    places.append(at[keep].astype(np.int64))
-                    nodes.append(node)
-                    sizes.append(n)
-                    marks.append(np.frombuffer(bits, np.int64))
-            if keys:
-                times = [len(k) for k in keys]
-                repeated = np.repeat(np.stack(marks), times, axis=0)
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(nodes, times), np.repeat(sizes, times), np.concatenate(places)]
-                arrays = [pa.array(c) for c in [*columns, *[np.ascontiguousarray(c) for c in repeated.T]]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "n", "pos", *SKETCHES])
+                    held.append((key[keep], node, n, at[keep].astype(np.int64), np.frombuffer(bits, np.int64)))
+                    rows += len(held[-1][0])
+                # a set may have hundreds of entries: batches are cut by these, not by sets
+                if rows >= ENTRIES:
+                    yield entries(held)
+                    held, rows = [], 0
+        if held:
+            yield entries(held)
 
     schema = ", ".join(f"{c} long" for c in ("key", "node", "n", "pos", *SKETCHES))
     return sets.select("node", "n", "prefix", "sketch").mapInArrow(run, schema)
