@@ -133,12 +133,18 @@ def invalid_reason_table(df: DataFrame, params: AggregationParams = AggregationP
     return invalid_reasons(df, params).orderBy(F.desc("count"), "invalid_reason")
 
 
+def rule_counts(params: AggregationParams, df: DataFrame) -> list[Column]:
+    """Aggregates of the rows that break each range rule, to be had from a pass over ``df`` that is made anyway."""
+    return [F.count_if(rule).alias(name) for name, rule in range_rules(df, params).items()]
+
+
 def dedup_data_id(df: DataFrame, order: list[str]) -> DataFrame:
     return keep_first(df, ["data_id"], order)
 
 
 def dedup_link_timestamp(df: DataFrame, order: list[str]) -> DataFrame:
-    return keep_first(df, ["name", "timestamp"], order)
+    """One row per link name and time. Rows whose time could not be read are told apart by its text, ``_unresolved``."""
+    return keep_first(df, ["name", "timestamp", *[c for c in ["_unresolved"] if c in df.columns]], order)
 
 
 def dedup_observations(df: DataFrame, order: list[str], link: str = "link_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.config import AggregationParams
@@ -33,6 +33,53 @@ def choose_timestamp_format(df: DataFrame, column: str, preferred: str) -> str |
     return chosen
 
 
+def layout_shares(df: DataFrame, column: str, preferred: str, by: str | None = None) -> DataFrame:
+    """``rows`` and the rows that each layout parses (``c0``, ``c1``, ...), for every value of ``by``, in one grouped pass."""
+    text = F.col(column)
+    counts = [
+        F.count_if(text.isNull() | temporal.parse_timestamp(text, fmt).isNotNull()).alias(f"c{i}")
+        for i, fmt in enumerate(_layouts(preferred))
+    ]
+    return df.groupBy(*([by] if by else [])).agg(F.count("*").alias("rows"), *counts)
+
+
+def _layouts(preferred: str) -> list[str]:
+    return list(dict.fromkeys([preferred, *temporal.TIMESTAMP_FORMATS]))
+
+
+def _leading(preferred: str) -> Column:
+    """Number of the layout that a row of :func:`layout_shares` puts first: the first above nine tenths, else the last above half."""
+    share = [F.col(f"c{i}") / F.col("rows") for i in range(len(_layouts(preferred)))]
+    clear = [F.when(s > 0.9, i) for i, s in enumerate(share)]
+    most = [F.when(s > 0.5, i) for i, s in enumerate(share)][::-1]
+    return F.coalesce(*clear, *most)
+
+
+def resolve_timestamps(
+    df: DataFrame, preferred: str, column: str = "timestamp", timezone: str | None = None, by: str | None = None
+) -> DataFrame:
+    """Text to wall-clock timestamp, row by row over a ranked list of layouts; ``_unresolved`` keeps text that none fits.
+
+    The layout that leads in the rows of the same ``by`` (a file, say; without it in all rows) is tried first, so it settles
+    text that several fit; then come all others and ISO text with ``T``, fractions or an offset, which is converted to
+    ``timezone``. Shares are counted in one grouped pass inside the plan.
+    """
+    shares = layout_shares(df, column, preferred, by)
+    if by:
+        leading = shares.select(F.col(by).alias("__by"), _leading(preferred).alias("__lead"))
+        known = df.join(leading, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+    else:
+        known = df.withColumn("__lead", shares.select(_leading(preferred).alias("lead")).scalar())
+    text = F.col(column)
+    first = None
+    for i, fmt in enumerate(_layouts(preferred)):
+        test, parsed = F.col("__lead") == i, temporal.parse_timestamp(text, fmt)
+        first = F.when(test, parsed) if first is None else first.when(test, parsed)
+    parsed = F.coalesce(first, temporal.parse_timestamp_any(text, _layouts(preferred)), temporal.parse_timestamp_free(text, timezone))
+    resolved = known.withColumn("__ts", parsed).withColumn("_unresolved", F.when(F.col("__ts").isNull(), F.nullif(F.trim(text), F.lit(""))))
+    return resolved.withColumn(column, F.col("__ts")).drop("__ts", "__lead")
+
+
 def parse_timestamps(df: DataFrame, fmt: str | None, column: str = "timestamp", timezone: str | None = None) -> DataFrame:
     """Text to wall-clock timestamp with one layout, or row by row over all layouts and ISO text.
 

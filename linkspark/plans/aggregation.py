@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.config import AggregationParams
@@ -16,22 +16,29 @@ ROLLUP_INPUT = [
 ]
 
 
-def prepare(df: DataFrame, params: AggregationParams, calendar: DataFrame | None = None, order=None) -> DataFrame:
+def prepare(
+    df: DataFrame, params: AggregationParams, calendar: DataFrame | None = None, order=None, seen: Observation | None = None
+) -> DataFrame:
     """Cleaned observations with all temporal attributes.
 
-    The timestamp layout is chosen once over the input when it is text, and times are placed in the zone of the run;
-    everything else is lazy.
+    Text timestamps are read row by row, the layout that leads in the file (``_file``) or the input first, and placed in the
+    zone of the run. Rows whose text no layout fits stay, with a NULL timestamp and the text in ``_unresolved``. Everything is
+    lazy. ``seen`` gets counts of the rows before they are deduplicated, when the result is written.
     """
     if dict(df.dtypes).get("timestamp") == "string":
         df = parsed(df, params)
+    if seen is not None:
+        if "_unresolved" not in df.columns:
+            df = df.withColumn("_unresolved", F.lit(None).cast("string"))
+        df = df.observe(seen, *_ingest_figures(), *cleaning.rule_counts(params, df))
     order = order or [c for c in ("_row", "data_id") if c in df.columns][:1]
     return df.transform(cleaning.clean, params, order).transform(temporal.enhance, params, calendar)
 
 
 def parsed(df: DataFrame, params: AggregationParams) -> DataFrame:
-    """Text timestamps as local times of ``params.timezone``."""
-    fmt = temporal.choose_timestamp_format(df, "timestamp", params.timestamp_format)
-    out = temporal.parse_timestamps(df, fmt, timezone=params.timezone)
+    """Text timestamps as local times of ``params.timezone``; ``_unresolved`` keeps the text of those that cannot be read."""
+    by = "_file" if "_file" in df.columns else None
+    out = temporal.resolve_timestamps(df, params.timestamp_format, timezone=params.timezone, by=by)
     return out.withColumn("timestamp", localize(F.col("timestamp"), params.timezone))
 
 
@@ -39,9 +46,11 @@ def ingest_counts(raw: DataFrame, params: AggregationParams) -> DataFrame:
     """One row: rows read, and rows whose timestamp is there but could not be parsed."""
     if dict(raw.dtypes).get("timestamp") != "string":
         return raw.agg(F.count(F.lit(1)).alias("rows_read"), F.lit(0).cast("bigint").alias("unparsed_timestamps"))
-    both = parsed(raw.withColumn("_text", F.col("timestamp")), params)
-    lost = F.count_if(F.col("_text").isNotNull() & F.col("timestamp").isNull())
-    return both.agg(F.count(F.lit(1)).alias("rows_read"), lost.alias("unparsed_timestamps"))
+    return parsed(raw, params).agg(*_ingest_figures())
+
+
+def _ingest_figures() -> list:
+    return [F.count(F.lit(1)).alias("rows_read"), F.count("_unresolved").alias("unparsed_timestamps")]
 
 
 def rollups(df: DataFrame, params: AggregationParams) -> tuple[DataFrame, DataFrame]:
@@ -70,9 +79,12 @@ def run(
 
     The typed rows, the cleaned rows (rollup columns only) and the hourly table are written and read back: the text
     files are read once to find their format and once to be parsed, rows are deduplicated once, and every report starts from
-    the smallest stored table.
+    the smallest stored table. Counts of the input and of broken rules are observed in the write of the cleaned rows. A
+    task that is run again after an executor was lost may be observed twice; the tables themselves are not touched by that.
+    ``performance`` has the seconds and the rows of every output. Rows whose timestamp no layout fits are in ``unresolved``.
     """
     params.check()
+    log = sinks.RunLog(spark)
     typed = csv.read_observations(spark, input_path)
     typed_path = sinks.write_parquet(typed, f"{output_dir}/typed")
     raw = spark.read.parquet(typed_path)
@@ -80,34 +92,61 @@ def run(
     if custom_holidays:
         calendars.append(holidays.read_custom(spark, custom_holidays))
     calendar = temporal.holiday_calendar(*calendars) if calendars else None
-    cleaned = filters.select_observations(prepare(raw, params, calendar), params)
+    seen = Observation("input")
+    cleaned = filters.select_observations(prepare(raw, params, calendar, seen=seen), params)
 
     out = {name: f"{output_dir}/{name}" for name in (
         "observations", "hourly", "hourly_csv", "weekly_csv", "quality_by_link", "invalid_reasons", "run_summary",
         "valid_hours_by_daytype", "run_config", "raw_preview", "hourly_preview", "weekly_preview", "hourly_check", "ingest",
+        "unresolved", "performance",
     )}
-    sinks.write_parquet(cleaned.select(*[c for c in ROLLUP_INPUT if c in cleaned.columns]), out["observations"])
+    with log.step("observations"):
+        sinks.write_parquet(cleaned.select(*[c for c in ROLLUP_INPUT if c in cleaned.columns]), out["observations"])
+    counts = seen.get
+    log.rows("observations", counts["rows_read"])
     prepared = spark.read.parquet(out["observations"])
     hourly = rollup.hourly_aggregation(prepared, params.min_valid_per_hour)
-    sinks.write_parquet(hourly, out["hourly"], ["date"])
+    with log.step("hourly"):
+        sinks.write_parquet(hourly, out["hourly"], ["date"])
     stored = spark.read.parquet(out["hourly"])
-    weekly = _weekly(prepared, stored, params)
-    sinks.write_hourly_csv(stored, out["hourly_csv"])
-    sinks.write_weekly_csv(weekly, out["weekly_csv"])
-    sinks.write_csv(rollup.quality_by_link(prepared, stored), out["quality_by_link"], ["link_id"])
-    sinks.write_csv(cleaning.invalid_reason_table(raw, params), out["invalid_reasons"])
-    rollup.run_summary(prepared, stored, weekly).write.mode("overwrite").json(out["run_summary"])
-    sinks.write_csv(rollup.hourly_contract(stored), out["hourly_check"], ["rule"])
+    with log.step("weekly"):
+        weekly_path = sinks.write_parquet(_weekly(prepared, stored, params), f"{output_dir}/weekly")
+    weekly = spark.read.parquet(weekly_path)
+    if params.write_parquet:
+        out["weekly"] = weekly_path
+    if cleaning.validity_method(raw.columns) == "numeric_range_rules":
+        rules = list(cleaning.range_rules(raw, params))
+        reasons = spark.createDataFrame([(r, counts[r]) for r in rules], "invalid_reason string, count bigint")
+        reasons = reasons.orderBy(F.desc("count"), "invalid_reason")
+    else:
+        reasons = cleaning.invalid_reason_table(raw, params)
     absent = rollup.check_hourly_columns(stored.columns)
-    ingest_counts(raw, params).withColumn("hourly_columns", F.lit(", ".join(absent) or "complete")).write.mode("overwrite").json(out["ingest"])
-    sinks.write_csv(rollup.preview(raw.drop("_row"), ["data_id"]), out["raw_preview"])
-    sinks.write_csv(rollup.valid_hours_by_daytype(stored), out["valid_hours_by_daytype"], ["daytype"])
-    sinks.write_csv(rollup.preview(stored, ["link_id", "date", "hour_of_day"]), out["hourly_preview"])
+    figures = [(counts["rows_read"], counts["unparsed_timestamps"], ", ".join(absent) or "complete")]
+    ingest = spark.createDataFrame(figures, "rows_read bigint, unparsed_timestamps bigint, hourly_columns string")
+    unresolved = spark.createDataFrame([], "name string, timestamp string")
+    if counts["unparsed_timestamps"]:
+        lost = parsed(raw.select(*[c for c in ("name", "timestamp", "_file") if c in raw.columns]), params).where("_unresolved IS NOT NULL")
+        unresolved = lost.select("name", F.col("_unresolved").alias("timestamp"))
     group = params.weekly_grouping
-    sinks.write_csv(rollup.preview(weekly, ["link_id", group, "hour_of_day"]), out["weekly_preview"])
-    if params.write_parquet:
-        out["weekly"] = sinks.write_parquet(weekly, f"{output_dir}/weekly")
+    reports = {
+        "hourly_csv": lambda path: sinks.write_hourly_csv(stored, path),
+        "weekly_csv": lambda path: sinks.write_weekly_csv(weekly, path),
+        "quality_by_link": lambda path: sinks.write_csv(rollup.quality_by_link(prepared, stored), path, ["link_id"]),
+        "invalid_reasons": lambda path: sinks.write_csv(reasons, path),
+        "run_summary": lambda path: rollup.run_summary(prepared, stored, weekly).write.mode("overwrite").json(path),
+        "hourly_check": lambda path: sinks.write_csv(rollup.hourly_contract(stored), path, ["rule"]),
+        "ingest": lambda path: ingest.write.mode("overwrite").json(path),
+        "unresolved": lambda path: sinks.write_csv(unresolved, path),
+        "raw_preview": lambda path: sinks.write_csv(rollup.preview(raw.drop("_row"), ["data_id"]), path),
+        "valid_hours_by_daytype": lambda path: sinks.write_csv(rollup.valid_hours_by_daytype(stored), path, ["daytype"]),
+        "hourly_preview": lambda path: sinks.write_csv(rollup.preview(stored, ["link_id", "date", "hour_of_day"]), path),
+        "weekly_preview": lambda path: sinks.write_csv(rollup.preview(weekly, ["link_id", group, "hour_of_day"]), path),
+    }
+    for name, write in reports.items():
+        with log.step(name):
+            write(out[name])
     sinks.write_run_config(spark, params, out["run_config"], run_id=run_id, input=input_path)
+    log.write(out["performance"], run_id)
     return out
 
 

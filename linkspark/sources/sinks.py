@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from contextlib import contextmanager
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
@@ -121,3 +123,30 @@ def write_run_config(spark, params, path: str, **facts) -> str:
     text = json.dumps({**body, "_metadata": facts}, sort_keys=True, ensure_ascii=False)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
+
+
+class RunLog:
+    """Seconds and rows of the steps of a run, in the order in which they ended."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.steps: dict[str, list] = {}
+
+    @contextmanager
+    def step(self, name: str):
+        begin = time.perf_counter()
+        yield
+        self.steps[name] = [round(time.perf_counter() - begin, 3), None]
+
+    def rows(self, name: str, count: int) -> None:
+        self.steps[name][1] = count
+
+    def table(self, run_id: str = "run") -> DataFrame:
+        """``run_id, position, step, seconds, rows, rows_per_sec`` and a last step ``total``."""
+        steps = [(name, *values) for name, values in self.steps.items()]
+        steps.append(("total", round(sum(x[1] for x in steps), 3), next((x[2] for x in steps if x[2] is not None), None)))
+        rows = [(run_id, i, *x, round(x[2] / x[1], 1) if x[2] is not None and x[1] else None) for i, x in enumerate(steps, 1)]
+        return self.spark.createDataFrame(rows, "run_id string, position int, step string, seconds double, rows bigint, rows_per_sec double")
+
+    def write(self, path: str, run_id: str = "run") -> str:
+        return write_csv(self.table(run_id), path, ["position"])

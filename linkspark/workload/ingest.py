@@ -77,6 +77,32 @@ def parse_ts_offset(v):
     return temporal.parse_timestamps(raw, fmt, timezone="UTC")
 
 
+@query("parse_ts_mixed", "obs", """SELECT data_id, "timestamp", CAST(NULL AS VARCHAR) AS unresolved FROM obs WHERE data_id % 50 <> 7
+           UNION ALL SELECT data_id, NULL, 'no time ' || data_id FROM obs WHERE data_id % 50 = 7""")
+def parse_ts_mixed(v):
+    # most rows in one layout, others in ISO text, and some of one link in none; the deduplication keeps every row
+    lost, key = F.col("data_id") % 50 == 7, F.col("data_id").cast("string")
+    iso = F.when(F.col("data_id") % 5 < 2, "yyyy-MM-dd'T'HH:mm:ss").otherwise("yyyy-MM-dd HH:mm:ss")
+    text = F.when(lost, F.concat(F.lit("no time "), key)).otherwise(F.date_format("timestamp", iso))
+    raw = v.obs.select("data_id", F.when(lost, "one link").otherwise(key).alias("name"), text.alias("timestamp"))
+    rows = temporal.resolve_timestamps(raw, "yyyy-MM-dd HH:mm:ss", timezone="UTC")
+    return cleaning.dedup_link_timestamp(rows, ["data_id"]).select("data_id", "timestamp", F.col("_unresolved").alias("unresolved"))
+
+
+@query(
+    "parse_ts_files",
+    "obs",
+    """SELECT data_id, "timestamp" FROM obs""",
+)
+def parse_ts_files(v):
+    # files of different layouts: what both layouts can read is settled by the file
+    file = F.when(F.col("data_id") % 2 == 0, "a").otherwise("b")
+    month_first = F.date_format("timestamp", "MM/dd/yyyy HH:mm:ss")
+    text = F.when(file == "a", month_first).otherwise(F.date_format("timestamp", "dd/MM/yyyy HH:mm:ss"))
+    raw = v.obs.select("data_id", file.alias("_file"), text.alias("timestamp"))
+    return temporal.resolve_timestamps(raw, "yyyy-MM-dd HH:mm:ss", by="_file").select("data_id", "timestamp")
+
+
 @query(
     "f_links_long",
     "enh",

@@ -42,6 +42,32 @@ def test_aggregation_run(spark, folder):
     text = "".join(open(p).read() for p in sorted(glob.glob(f"{out['hourly_csv']}/*.csv")))
     assert "s_1-2,2025-07-01,0,weekday,4,3,true,0,101.000000,1.000000,500.000000,40.000000" in text
     assert spark.read.parquet(out["weekly"]).count() == 24
+    log = spark.read.option("header", True).csv(out["performance"]).orderBy(F.col("position").cast("int")).collect()
+    assert [r.step for r in log][:3] == ["observations", "hourly", "weekly"] and log[-1].step == "total"
+    assert log[0].rows == "97" and float(log[-1].seconds) > 0
+    ingest = spark.read.json(out["ingest"]).first()
+    assert (ingest.rows_read, ingest.unparsed_timestamps) == (97, 0)
+
+
+def test_mixed_timestamps_are_kept(spark, folder):
+    # two layouts of one link, and text that is no time
+    start = datetime(2025, 7, 1)
+    times = [start + timedelta(minutes=i) for i in range(200)]
+    text = [f"{t:%Y-%m-%d %H:%M:%S}" if i < 120 else t.isoformat() for i, t in enumerate(times)] + ["noon", "soon", "soon"]
+    rows = [(i, "s_1-2", t, 100.0 if i % 2 else -5.0, 500.0, 40.0) for i, t in enumerate(text)]
+    raw = spark.createDataFrame(rows, "data_id long, name string, timestamp string, duration double, distance double, speed double")
+    params = AggregationParams(timestamp_format="yyyy-MM-dd HH:mm:ss", timezone="UTC", remove_link_timestamp_duplicates=True)
+    done = aggregation.prepare(raw, params)
+    assert done.where("timestamp IS NOT NULL").count() == 200
+    assert sorted(r._unresolved for r in done.where("timestamp IS NULL").collect()) == ["noon", "soon"]
+    raw.selectExpr("data_id AS DataID", "name AS Name", "timestamp AS Timestamp", "duration AS `Duration (seconds)`", "distance AS `Distance (meters)`", "speed AS `Speed (km/h)`", "1 AS SegmentID", "1 AS RouteAlternative", "'x' AS RequestedTime", "'x' AS DayInWeek", "'x' AS DayType", "'u' AS Url", "'p' AS Polyline") \
+        .coalesce(1).write.option("header", True).csv(f"{folder}/raw")
+    out = aggregation.run(spark, f"{folder}/raw", f"{folder}/out", params)
+    ingest = spark.read.json(out["ingest"]).first()
+    assert (ingest.rows_read, ingest.unparsed_timestamps) == (203, 3)
+    reasons = {r.invalid_reason: int(r["count"]) for r in spark.read.option("header", True).csv(out["invalid_reasons"]).collect()}
+    assert reasons["duration_out_of_range"] == 102 and reasons["speed_out_of_range"] == 0
+    assert spark.read.option("header", True).csv(out["unresolved"]).count() == 3
 
 
 def test_control_run(spark, folder):
