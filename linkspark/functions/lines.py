@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
@@ -42,7 +43,12 @@ def coordinate_text(lat: Column, lon: Column) -> Column:
 
     @arrow_udf("string")
     def text(a: pa.Array, b: pa.Array) -> pa.Array:
-        pairs = zip(a.to_pylist(), b.to_pylist())
-        return pa.array([None if p is None or q is None else f"{p:.15f},{q:.15f}" for p, q in pairs], pa.string())
+        known = pc.and_(a.is_valid(), b.is_valid())
+        p, q = (c.filter(known).to_numpy(zero_copy_only=False) for c in (a, b))
+        # one format for the whole batch
+        parts = ("%.15f,%.15f\n" * len(p) % tuple(np.column_stack([p, q]).ravel().tolist())).split("\n")[:-1]
+        out = np.full(len(a), None, object)
+        out[known.to_numpy(zero_copy_only=False)] = parts
+        return pa.array(out, pa.string())
 
     return text(lat, lon)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from linkspark.config import CompletenessParams, ValidationParams
-from linkspark.functions import bearings, geometry
+from linkspark.functions import bearings, geometry, projection
 from linkspark.operators import control, spatial
 from linkspark.workload.encoding import encode
 from linkspark.workload.registry import query
@@ -586,7 +587,46 @@ def project_web(v):
     return spatial.explode_vertices(spatial.project(v.geo_routes.select("route_id", "line"), "EPSG:3857"))
 
 
-@query("project_vertices")
+def _grid_sql() -> str:
+    """SQL for metric coordinates in EPSG:2039: datum shift by seven parameters, then Transverse Mercator by the Krueger series."""
+    grid = projection.CRS["EPSG:2039"]
+    dx, dy, dz, rx, ry, rz, ds = grid.to_wgs84
+    (a1, i1), (a2, i2) = projection.WGS84, grid.ellipsoid
+    e1, e2, n = (2 - 1 / i1) / i1, (2 - 1 / i2) / i2, 1 / (2 * i2 - 1)
+    radius = f"({a2!r} / (1 + {n!r}) * (1 + {n!r}^2 / 4 + {n!r}^4 / 64) * {grid.k_0!r})"
+    alphas = [
+        f"({n!r} / 2 - 2 * {n!r}^2 / 3 + 5 * {n!r}^3 / 16 + 41 * {n!r}^4 / 180)", f"(13 * {n!r}^2 / 48 - 3 * {n!r}^3 / 5 + 557 * {n!r}^4 / 1440)",
+        f"(61 * {n!r}^3 / 240 - 103 * {n!r}^4 / 140)", f"(49561 * {n!r}^4 / 161280)",
+    ]
+    turn = [f"radians({r!r} / 3600)" for r in (rx, ry, rz)]
+    phi = "atan2(z, r * (1 - {e}))".format(e=repr(e2))
+    steps = "".join(
+        f", p{k} AS (SELECT *, atan2(z + {e2!r} * {a2!r} / sqrt(1 - {e2!r} * sin(f{k - 1})^2) * sin(f{k - 1}), r) AS f{k} FROM p{k - 1})" for k in range(1, 6)
+    )
+    conformal = lambda lat: f"(tan({lat}) * cosh(x) - sqrt(1 + tan({lat})^2) * sinh(x))"
+    north = " + ".join(f"{al} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, al in enumerate(alphas, 1))
+    east = " + ".join(f"{al} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, al in enumerate(alphas, 1))
+    arc = " + ".join(f"{al} * sin({2 * j} * xi0)" for j, al in enumerate(alphas, 1))
+    root = math.sqrt(e2)
+    lat0, lon0 = f"radians({grid.lat_0!r})", f"radians({grid.lon_0!r})"
+    return f"""
+    SELECT route_id, seq, round({grid.x_0!r} + {radius} * (eta + {east}), 3) AS x, round({grid.y_0!r} + {radius} * (xi + {north} - xi0 - ({arc})), 3) AS y
+    FROM (
+      WITH g AS (SELECT route_id, seq, radians(34.5 + (k % 100) * 0.01 + seq * 0.002) AS lam,
+                        radians(31.0 + (k // 100 % 100) * 0.01 + ((k * seq) % 3) * 0.0005 + v * 0.00002) AS lat FROM route_vertices),
+      c AS (SELECT *, ({a1!r} / sqrt(1 - {e1!r} * sin(lat)^2) * cos(lat) * cos(lam) - {dx!r}) / (1 + {ds!r} * 1e-6) AS x0,
+                   ({a1!r} / sqrt(1 - {e1!r} * sin(lat)^2) * cos(lat) * sin(lam) - {dy!r}) / (1 + {ds!r} * 1e-6) AS y0,
+                   ({a1!r} / sqrt(1 - {e1!r} * sin(lat)^2) * (1 - {e1!r}) * sin(lat) - {dz!r}) / (1 + {ds!r} * 1e-6) AS z0 FROM g),
+      t AS (SELECT route_id, seq, x0 + {turn[2]} * y0 - {turn[1]} * z0 AS xx, y0 - {turn[2]} * x0 + {turn[0]} * z0 AS yy, z0 + {turn[1]} * x0 - {turn[0]} * y0 AS z FROM c),
+      p AS (SELECT route_id, seq, z, sqrt(xx^2 + yy^2) AS r, atan2(yy, xx) AS lon FROM t),
+      p0 AS (SELECT *, {phi} AS f0 FROM p){steps},
+      s AS (SELECT *, {root!r} * atanh({root!r} * sin(f5)) AS x FROM p5),
+      s0 AS (SELECT *, {conformal("f5")} AS tau FROM s),
+      q AS (SELECT *, {root!r} * atanh({root!r} * sin({lat0})) AS x FROM (SELECT * EXCLUDE (x) FROM s0))
+      SELECT *, atan2(tau, cos(lon - {lon0})) AS xi, atanh(sin(lon - {lon0}) / sqrt(1 + tau^2)) AS eta, atan({conformal(lat0)}) AS xi0 FROM q)"""
+
+
+@query("project_vertices", "route_vertices", _grid_sql(), digits=3)
 def project_vertices(v):
     metric = spatial.project(v.geo_routes.select("route_id", "line"), "EPSG:2039")
     return spatial.explode_vertices(metric)

@@ -189,3 +189,22 @@ def test_coverage_of_long_lines_needs_bounded_memory():
     tracemalloc.stop()
     assert np.allclose(share, 0.5, atol=1e-3)
     assert peak < 300e6
+
+
+def test_antipodal_geodesics(spark):
+    # published cases, their mirrored forms, and points to whose antipodes every method must find the way
+    cases = [
+        (0.0, 0.0, 179.5, 0.5, 25.6718728683), (0.0, -30.0, 179.8, 29.9, 161.8905247363),
+        (0.0, 0.0, 179.5, -0.5, 180 - 25.6718728683), (0.0, 0.0, -179.5, 0.5, 360 - 25.6718728683),
+        (0.0, 0.0, 179.7, 0.5, 15.5568827857),
+        (170.0, -30.0, -10.2, 29.9, 161.8905247363),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a double, b double, c double, d double, want double")
+    got = rows.select("i", "want", bearings.geodesic_azimuths(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("z")).collect()
+    for r in got:
+        assert r.z.forward == pytest.approx(r.want, abs=1e-6)
+    # the way back from the second point is the first point's answer seen from there
+    turned = rows.select("i", bearings.geodesic_azimuths(F.col("c"), F.col("d"), F.col("a"), F.col("b")).alias("z")).collect()
+    back = {r.i: r.z for r in turned}
+    for r in got:
+        assert back[r.i].forward == pytest.approx(r.z.back, abs=1e-6) and back[r.i].back == pytest.approx(r.z.forward, abs=1e-6)
