@@ -167,13 +167,13 @@ def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> Da
                 most = min(n, d + SUBSET)
                 rarest = np.sort(np.partition(order, most - 1)[:most])
                 scans = float(excess[cell][np.argpartition(order, d)[: d + 1]].sum())
-                out.append((doc, n, scans, parity(s), sketch(s).tobytes(), rarest.view(np.int64)))
+                out.append((doc, n, scans, parity(s), *sketch(s).tolist(), rarest.view(np.int64)))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), *[pa.int64()] * len(SKETCHES), pa.list_(pa.int64())]
                 arrays = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "scans", "parity", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "scans", "parity", *SKETCHES, "prefix"])
 
-    schema = "doc_id long, n long, scans double, parity binary, sketch binary, prefix array<long>"
+    schema = f"doc_id long, n long, scans double, parity binary, {', '.join(f'{c} long' for c in SKETCHES)}, prefix array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -200,23 +200,21 @@ def size_class(n: int) -> int:
 def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
     """``key``, ``node`` and ``n``: a subset or single shingle, together with a class of sizes.
 
-    ``pos`` is the place of the (first) shingle in the set, the columns ``SKETCHES`` are its parities. With ``wanted``, a
-    filter, only keys that pass it.
+    ``pos`` is the place of the (first) shingle in the set. With ``wanted``, a filter, only keys that pass it.
     """
     sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def entries(held: list[tuple]) -> pa.RecordBatch:
-        keys, nodes, sizes, places, marks = zip(*held, strict=True)
+        keys, nodes, sizes, places = zip(*held, strict=True)
         times = [len(k) for k in keys]
         columns = [np.concatenate(keys).view(np.int64), np.repeat(nodes, times), np.repeat(sizes, times), np.concatenate(places)]
-        columns += [np.repeat(c, times) for c in np.stack(marks).T]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "pos", *SKETCHES])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "pos"])
 
     def run(batches):
         wanted = sent.value
         held, rows = [], 0
         for batch in batches:
-            for node, n, prefix, bits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for node, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 p, d = np.array(prefix, np.int64).view(np.uint64), missing(n, percent)
                 largest = n * 100 // percent
                 found, at = [], []
@@ -231,7 +229,7 @@ def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray
                 for c in range(size_class(n), size_class(largest) + 1):
                     key = words.mix(found + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64)))
                     keep = slice(None) if wanted is None else in_filter(wanted, key)
-                    held.append((key[keep], node, n, at[keep].astype(np.int64), np.frombuffer(bits, np.int64)))
+                    held.append((key[keep], node, n, at[keep].astype(np.int64)))
                     rows += len(held[-1][0])
                 # a set may have hundreds of entries: batches are cut by these, not by sets
                 if rows >= ENTRIES:
@@ -240,8 +238,7 @@ def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray
         if held:
             yield entries(held)
 
-    schema = ", ".join(f"{c} long" for c in ("key", "node", "n", "pos", *SKETCHES))
-    return sets.select("node", "n", "prefix", "sketch").mapInArrow(run, schema)
+    return sets.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n long, pos long")
 
 
 def may_be_similar(percent: int) -> Column:
@@ -339,7 +336,8 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     placed = stored(lists.join(joined, "node", "left").drop("pivot").withColumn("comp", F.coalesce("component", "node")).drop("component"))
     shares = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
     main = shares.agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    mixed = stored(placed.join(main, "key"))
+    # parities only for entries of lists that still hold something to compare
+    mixed = stored(placed.join(main, "key").join(sets.select("node", "n", *SKETCHES), ["node", "n"]))
     a, b = mixed.where("comp != main").alias("a"), mixed.alias("b")
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & may_be_similar(percent))
