@@ -120,6 +120,13 @@ def ring_edges(points: list[tuple[float, float]]) -> Column:
     return F.array(*edges)
 
 
+def edges_of(ring: Column) -> Column:
+    """Edges of a ring column (vertices), closed where its last vertex is not its first."""
+    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
+    closed = (first["x"] == last["x"]) & (first["y"] == last["y"])
+    return segments(F.when(closed, ring).otherwise(F.concat(ring, F.array(first))))
+
+
 def line_intersects_ring(line: Column, edges: Column) -> Column:
     """True when the line touches, crosses or lies inside the polygon with these edges."""
     first = F.element_at(line, 1)

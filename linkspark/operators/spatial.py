@@ -102,6 +102,44 @@ def select_polygon(lines: DataFrame, ring: list[tuple[float, float]]) -> DataFra
     return lines.where(near & geometry.line_intersects_ring(F.col("line"), geometry.ring_edges(ring)))
 
 
+def _covered(df: DataFrame, shape: str, cell: Column) -> DataFrame:
+    """``df`` once for every grid cell (``__cx``, ``__cy``) that the extent of ``shape`` touches, with that extent."""
+    x_lo, x_hi = _extent(F.col(shape), "x")
+    y_lo, y_hi = _extent(F.col(shape), "y")
+    placed = df.withColumns({"__x1": x_lo, "__x2": x_hi, "__y1": y_lo, "__y2": y_hi}).withColumn("__cell", cell)
+    across = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("__cell")), F.floor(F.col(b) / F.col("__cell"))))
+    known = placed.where("__x1 IS NOT NULL AND __y1 IS NOT NULL")
+    return known.withColumn("__cx", across("__x1", "__x2")).withColumn("__cy", across("__y1", "__y2")).drop("__cell")
+
+
+def select_zones(lines: DataFrame, zones: DataFrame, cell: float | None = None) -> DataFrame:
+    """``zone_id`` and the columns of ``lines`` for every link that touches, crosses or lies inside a zone (``zone_id``, ``ring``).
+
+    Links and zones are dealt over the cells of a grid by their extents and meet in equal cells only; of several cells
+    that a pair has in common one counts, the first of the overlap of their extents, so no pair is found twice. The exact
+    test is left for pairs whose extents overlap. ``cell`` is the side of a cell; by default it is the extent that nine
+    of ten zones stay below. Rings need not be closed; lines and rings without vertices meet nothing; several zones of
+    one id each count.
+    """
+    if cell is None:
+        x_lo, x_hi = _extent(F.col("ring"), "x")
+        y_lo, y_hi = _extent(F.col("ring"), "y")
+        usual = zones.agg(F.percentile_approx(F.greatest(x_hi - x_lo, y_hi - y_lo), 0.9).alias("c")).scalar()
+        side = F.greatest(F.coalesce(usual, F.lit(1.0)), F.lit(1e-9))
+    else:
+        side = F.lit(float(cell))
+    box = ["__x1", "__x2", "__y1", "__y2"]
+    a = _covered(lines, "line", side)
+    b = _covered(zones.select("zone_id", "ring"), "ring", side).withColumnsRenamed({c: f"{c}z" for c in box})
+    b = b.withColumn("__side", side)
+    met = a.join(b, ["__cx", "__cy"])
+    left, low = F.greatest("__x1", "__x1z"), F.greatest("__y1", "__y1z")
+    overlap = (left <= F.least("__x2", "__x2z")) & (low <= F.least("__y2", "__y2z"))
+    once = (F.floor(left / F.col("__side")) == F.col("__cx")) & (F.floor(low / F.col("__side")) == F.col("__cy"))
+    exact = geometry.line_intersects_ring(F.col("line"), geometry.edges_of(F.col("ring")))
+    return met.where(overlap & once).where(exact).select("zone_id", *lines.columns)
+
+
 def select_box(lines: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:
     """Links that intersect a rectangle."""
     return select_polygon(lines, [(min_x, min_y), (max_x, min_y), (max_x, max_y), (min_x, max_y)])

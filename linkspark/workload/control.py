@@ -487,6 +487,27 @@ def select_lasso(v):
     return spatial.select_polygon(v.lines, LASSO).select("link_id")
 
 
+@query(
+    "select_zones",
+    "link_segments",
+    """SELECT DISTINCT zone_id, link_id FROM link_segments
+       JOIN (SELECT n_nationkey AS zone_id, n_nationkey * 700.0 AS a, n_nationkey * 700.0 + 200 + n_regionkey * 900.0 AS b,
+                    n_regionkey * 12.0 - 5 AS c, n_regionkey * 12.0 + 30 AS d FROM nation)
+       ON greatest(CASE WHEN x2 <> x1 THEN least((a - x1) / (x2 - x1), (b - x1) / (x2 - x1)) ELSE CASE WHEN x1 BETWEEN a AND b THEN 0 ELSE 2 END END,
+                   CASE WHEN y2 <> y1 THEN least((c - y1) / (y2 - y1), (d - y1) / (y2 - y1)) ELSE CASE WHEN y1 BETWEEN c AND d THEN 0 ELSE 2 END END, 0)
+       <= least(CASE WHEN x2 <> x1 THEN greatest((a - x1) / (x2 - x1), (b - x1) / (x2 - x1)) ELSE 1 END,
+                CASE WHEN y2 <> y1 THEN greatest((c - y1) / (y2 - y1), (d - y1) / (y2 - y1)) ELSE 1 END, 1)""",
+)
+def select_zones(v):
+    # a zone for every nation: rectangles of different sizes that overlap
+    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    a, c = key * 700.0, region * 12.0 - 5
+    corners = [(a, c), (a + 200 + region * 900.0, c), (a + 200 + region * 900.0, region * 12.0 + 30), (a, region * 12.0 + 30)]
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+    zones = v.table("nation").select(key.cast("bigint").alias("zone_id"), ring.alias("ring"))
+    return spatial.select_zones(v.lines, zones).select("zone_id", "link_id")
+
+
 @query(
     "octants",
     "link_vertices",

@@ -208,3 +208,61 @@ def test_antipodal_geodesics(spark):
     back = {r.i: r.z for r in turned}
     for r in got:
         assert back[r.i].forward == pytest.approx(r.z.back, abs=1e-6) and back[r.i].back == pytest.approx(r.z.forward, abs=1e-6)
+
+
+def test_grid_finds_the_nearest_segment(monkeypatch):
+    from linkspark.functions import measure
+
+    rng = np.random.default_rng(4)
+    counts = np.array([70, 200, 0, 1, 500])
+    x = np.concatenate([np.cumsum(rng.normal(size=c + 1)) * s for c, s in zip(counts, (1, 1000, 1, 1, 0.01)) if c])
+    y = np.concatenate([np.cumsum(rng.normal(size=c + 1)) * s for c, s in zip(counts, (1, 1, 1, 1, 0.01)) if c])
+    segments, per_row = measure._segments(x, y, counts[counts > 0] + 1)
+    full = np.insert(per_row, 2, 0)
+    row = rng.integers(0, 5, 3000)
+    px, py = rng.normal(size=3000) * 300, rng.normal(size=3000) * 300
+    plain = measure._nearest_of_all(px, py, row, segments, full)
+    assert measure.nearest(px, py, row, segments, full) == pytest.approx(plain, rel=1e-9, abs=1e-9)
+    monkeypatch.setattr(measure, "SLICE", 50)
+    assert measure.nearest(px, py, row, segments, full) == pytest.approx(plain, rel=1e-9, abs=1e-9)
+    # segments that are all one point
+    still = tuple(np.zeros(100) for _ in range(4))
+    assert measure.nearest(np.array([3.0]), np.array([4.0]), np.array([0]), still, np.array([100])) == pytest.approx([5.0])
+
+
+def test_a_very_long_line_is_measured_in_seconds():
+    import time
+
+    import pyarrow as pa
+    from linkspark.functions import measure
+
+    n = 100_000  # 1,000 km with a vertex every 10 m
+    t = np.arange(n) * 10.0
+    line = lambda dy: pa.array([[{"x": a, "y": b} for a, b in zip(t.tolist(), (np.sin(t / 5000) * 2000 + dy).tolist())]])
+    a, b = line(0.0), line(3.0)
+    start = time.perf_counter()
+    share = measure.coverage_batch(a, b, 1.0)
+    far = measure.hausdorff_batch(a, b)
+    assert time.perf_counter() - start < 60
+    assert share[0] == 0.0 and 2.0 < far[0] <= 3.0
+
+
+def test_zones_meet_links_once(spark):
+    rng = np.random.default_rng(6)
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    lines = [(i, [point(x, y), point(x + rng.normal() * 5, y + rng.normal() * 5), point(x + 8, y)]) for i, (x, y) in enumerate(rng.uniform(-50, 50, (80, 2)))]
+    lines += [(900, []), (901, None)]
+    zones = [(z, [point(x, y), point(x + w, y), point(x + w / 2, y + w)]) for z, (x, y, w) in enumerate(zip(*rng.uniform(-50, 50, (2, 25)), rng.uniform(1, 60, 25)))]
+    zones += [(99, []), (3, zones[3][1])]
+    shape = "array<struct<x: double, y: double>>"
+    a = spark.createDataFrame(lines, f"link_id long, line {shape}")
+    b = spark.createDataFrame(zones, f"zone_id long, ring {shape}")
+    want = []
+    for z, ring in zones:
+        if ring:
+            found = spatial.select_polygon(a.where("size(line) > 0"), [(p["x"], p["y"]) for p in ring]).select("link_id").collect()
+            want += [(z, r.link_id) for r in found]
+    for cell in (None, 3.0, 1000.0):
+        got = spatial.select_zones(a, b, cell)
+        assert sorted((r.zone_id, r.link_id) for r in got.collect()) == sorted(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and len(want) > 30
