@@ -491,7 +491,7 @@ def select_lasso(v):
     "select_zones",
     "link_segments",
     """SELECT DISTINCT zone_id, link_id FROM link_segments
-       JOIN (SELECT n_nationkey AS zone_id, n_nationkey * 700.0 AS a, n_nationkey * 700.0 + 200 + n_regionkey * 900.0 AS b,
+       JOIN (SELECT CAST(n_nationkey AS BIGINT) AS zone_id, n_nationkey * 700.0 AS a, n_nationkey * 700.0 + 200 + n_regionkey * 900.0 AS b,
                     n_regionkey * 12.0 - 5 AS c, n_regionkey * 12.0 + 30 AS d FROM nation)
        ON greatest(CASE WHEN x2 <> x1 THEN least((a - x1) / (x2 - x1), (b - x1) / (x2 - x1)) ELSE CASE WHEN x1 BETWEEN a AND b THEN 0 ELSE 2 END END,
                    CASE WHEN y2 <> y1 THEN least((c - y1) / (y2 - y1), (d - y1) / (y2 - y1)) ELSE CASE WHEN y1 BETWEEN c AND d THEN 0 ELSE 2 END END, 0)
