@@ -4,7 +4,8 @@ Shingles have a global order, rare ones first. Two sets of the wanted similarity
 shingles within a prefix of each, ``c`` longer than the number of shingles that may be missing. Light (small) sets
 enumerate the subsets of ``SUBSET`` shingles of such a prefix and meet where they have a subset in common. Heavy
 (large) sets scan the inverted lists of the single shingles of their prefix, and light sets of nearly their size
-stand in these lists too. The boundary is the size with the least cost, counted over all sets.
+stand in these lists too. The boundary is the size with the least cost, counted over all sets. Shingles that only one prefix
+has are left out of both.
 
 No list is turned into all its pairs. Equal sets are one class from the start. In each list the smallest id is the pivot; every
 class is compared with the pivot that it meets most often, and the links found give first components. What is left
@@ -197,12 +198,19 @@ def size_class(n: int) -> int:
     return int(math.log(n) / -math.log(RATIO) + 1e-9)
 
 
-def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """``s``: shingles that the prefixes of two sets have at least; no other can tell that sets are similar."""
+    single = sets.select("node", F.explode("prefix").alias("s"))
+    return single.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("s")
+
+
+def postings(sets: DataFrame, most_light: int, percent: int, shared: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
     """``key``, ``node`` and ``n``: a subset or single shingle, together with a class of sizes.
 
-    ``pos`` is the place of the (first) shingle in the set. With ``wanted``, a filter, only keys that pass it.
+    ``pos`` is the place of the (first) shingle in the set. Only shingles that pass the filter ``shared``, and with ``wanted``
+    only keys that pass that one.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(wanted)
+    sent = sets.sparkSession.sparkContext.broadcast((shared, wanted))
 
     def entries(held: list[tuple]) -> pa.RecordBatch:
         keys, nodes, sizes, places = zip(*held, strict=True)
@@ -211,20 +219,23 @@ def postings(sets: DataFrame, most_light: int, percent: int, wanted: np.ndarray
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "pos"])
 
     def run(batches):
-        wanted = sent.value
+        shared, wanted = sent.value
         held, rows = [], 0
         for batch in batches:
             for node, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 p, d = np.array(prefix, np.int64).view(np.uint64), missing(n, percent)
                 largest = n * 100 // percent
+                place = np.flatnonzero(in_filter(shared, p))
+                p = p[place]
                 found, at = [], []
                 if n <= most_light:
                     i, j = np.triu_indices(len(p), 1)
                     found.append(words.mix(words.mix(p[i]) + p[j]))
-                    at.append(i)
+                    at.append(place[i])
                 if largest > most_light:
-                    found.append(words.mix(p[: d + 1] + np.uint64(0x5851F42D4C957F2D)))
-                    at.append(np.arange(len(found[-1])))
+                    first = int(np.searchsorted(place, d + 1))
+                    found.append(words.mix(p[:first] + np.uint64(0x5851F42D4C957F2D)))
+                    at.append(place[:first])
                 found, at = np.concatenate(found), np.concatenate(at)
                 for c in range(size_class(n), size_class(largest) + 1):
                     key = words.mix(found + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -323,9 +334,10 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     found = prefixes(docs, table, width, percent).withColumnRenamed("doc_id", "node")
     sets = stored(found.join(heads, ["node", "n"]).dropDuplicates(["node", "n", "prefix"]))
     most_light = boundary(sets, percent)
-    heads = postings(sets, most_light, percent).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
+    shared = fixed_filter(shared_shingles(sets), "s")
+    heads = postings(sets, most_light, percent, shared).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
     pivots = stored(heads.where("pivot < _last").drop("_last"))
-    lists = stored(postings(sets, most_light, percent, fixed_filter(pivots, "key")).join(pivots, "key"))
+    lists = stored(postings(sets, most_light, percent, shared, fixed_filter(pivots, "key")).join(pivots, "key"))
 
     met = lists.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"))
     first = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("node").alias("b"))
