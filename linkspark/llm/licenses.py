@@ -3,7 +3,8 @@
 The units compared are the lines of a text, its blocks between blank lines, and the whole text. Letters are put in
 lower case and everything but ASCII letters, digits and line ends becomes a space. Two bounds, both exact, leave few
 comparisons: a coefficient of ``LEAST`` bounds how far the numbers of bigrams can differ, and it means that
-so many of a template's bigrams are shared that at least one of its key words is. Only built-in SQL functions are used.
+so many of a template's bigrams are shared that at least one of a short template's key bigrams, or of a long one's key words,
+is. Only built-in SQL functions are used.
 """
 
 from __future__ import annotations
@@ -115,6 +116,30 @@ def key_words(bigrams: set[str]) -> list[str]:
     return out
 
 
+def key_pairs(bigrams: set[str]) -> list[str]:
+    """The same with whole bigrams: any that are more than a text may lack, those of the least common looking words."""
+    spare = len(bigrams) * (1 - LEAST / (2 - LEAST))
+    plainness = lambda b: (sum(w in COMMON or len(w) < 3 for w in b.split()), -len(b), b)
+    return sorted(bigrams, key=plainness)[: int(spare + 1e-9) + 1]
+
+
+def any_of(keys: set[str]) -> str:
+    """Pattern of the keys as whole words, branching letter by letter: a regular expression tries its alternatives in turn."""
+
+    def branch(some: list[str]) -> str:
+        by_letter: dict[str, list[str]] = {}
+        for k in some:
+            by_letter.setdefault(k[:1], []).append(k[1:])
+        ends = by_letter.pop("", None) is not None
+        parts = [letter + branch(rest) for letter, rest in sorted(by_letter.items())]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
+        return body + "?" if ends else body
+
+    return rf"\b{branch(sorted(keys))}\b"
+
+
 def bounds(n: int) -> tuple[int, int]:
     """Least and most bigrams of a text that can match a template of ``n``."""
     low = next(k for k in range(1, n + 1) if 2 * min(k, n) >= LEAST * (k + n) - 1e-9)
@@ -125,22 +150,26 @@ def bounds(n: int) -> tuple[int, int]:
 def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES) -> Column:
     """Array of ``(score, license)``, the best template of every unit that matches one; a null text has none."""
     sets = [(name, sorted(bigrams_of(words_of(t)))) for name, t in templates]
-    key_of = lambda some: r"\b(" + "|".join(sorted({w for b in some for w in key_words(set(b))})) + r")\b"
+    key_of = lambda some, keys: any_of({w for b in some for w in keys(set(b))})
     long = [b for _, b in sets if len(b) >= LONG]
     # a unit with so many bigrams has more words than that, each of a character and a space at least
     room = 2 * min((bounds(len(b))[0] for b in long), default=0)
-    has_key = lambda u: u.rlike(key_of([b for _, b in sets if len(b) < LONG]))
-    may_match = (lambda u: has_key(u) | ((F.length(u) > room) & u.rlike(key_of(long)))) if long else has_key
+    has_key = lambda u: u.rlike(key_of([b for _, b in sets if len(b) < LONG], key_pairs))
+    has_long = lambda u: (F.length(u) > room) & u.rlike(key_of(long, key_words)) if long else F.lit(False)
     longest = max(bounds(len(b))[1] for _, b in sets)
     shortest = min(bounds(len(b))[0] for _, b in sets)
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.regexp_replace(lower, r"[^a-z0-9\n]+", " ")
-    joined = lambda x: F.trim(F.translate(x, "\n", " "))
+    # only ASCII is left when letters are put in lower case, so no other letter becomes one of them
+    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9\n]+", " "))
+    joined = lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))
     units = F.concat(F.split(plain, "\n"), F.split(plain, r"\n *\n"), F.array(plain))
-    units = F.array_distinct(F.transform(F.filter(units, may_match), joined))
-    word_lists = F.transform(units, lambda u: F.split(u, " +"))
-    # a word may repeat, so the number of words bounds the number of bigrams from above only
-    word_lists = F.filter(word_lists, lambda w: F.size(w) > shortest)
+    units = F.array_distinct(F.transform(units, joined))
+    # what a unit can match by its key words: bigrams of a short template, of a long one, or none
+    most = max((bounds(len(b))[1] for _, b in sets if len(b) < LONG), default=0)
+    limit = lambda u: F.when(has_long(u), longest).when(has_key(u), most).otherwise(0)
+    units = F.filter(F.transform(units, lambda u: F.struct(F.split(u, " +").alias("words"), limit(u).alias("most"))), lambda u: u["most"] > 0)
+    # a word may repeat, so the number of words bounds the number of bigrams from above only, that of different words from below
+    units = F.filter(units, lambda u: (F.size(u["words"]) > shortest) & (F.size(F.array_distinct(u["words"])) <= u["most"] + 1))
+    word_lists = F.transform(units, lambda u: u["words"])
     pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
     bigrams = F.filter(F.transform(word_lists, pairs), lambda b: F.size(b).between(shortest, longest))
     known = F.array(*[
