@@ -22,7 +22,7 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 #: Share of a group's rows that the estimate rests on, steps at most, and the change of the determinant's logarithm
 #: below which a group is settled.
-CORE, STEPS, SETTLED = 0.75, 8, 0.01
+CORE, STEPS, SETTLED = 0.75, 8, 1e-3
 #: Rows that a language and source needs for an estimate of its own.
 LEAST_ROWS = 200
 #: Words of usual prose that are added to every text, so that shares of short texts stay near it.
@@ -147,8 +147,7 @@ def fit(rows: DataFrame) -> DataFrame:
         if not state.take(1):
             break
     state = state if settled is None else settled.union(state)
-    # consistency: the median of the squared distances is that of a normal vector; rows within its usual range are
-    # weighed once more
+    # consistency: the median of the squared distances is that of a normal vector
     placed = rows.join(state, "group").withColumn("_d", distance())
     scale = placed.groupBy("group").agg((F.percentile_approx("_d", 0.5, 1000) / NORMAL_MEDIAN).alias("_scale"))
     return stored(state.join(scale, "group").select("group", "mean", "precision", F.greatest("_scale", F.lit(1.0)).alias("_scale")))

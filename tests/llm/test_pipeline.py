@@ -50,3 +50,11 @@ def test_empty_table_and_null_rows(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0)], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).collect()
+
+
+def test_same_ids_and_no_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["b"]), (2, text["c"]), (None, text["c"]), (None, text["d"]), (None, text["d"]), (3, text["d"] + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((str(r.doc_id), r.text[0]) for r in corpus_pipeline.deduplicated(spark, docs, SF).collect())
+    assert kept == [("1", "a"), ("1", "b"), ("2", "c"), ("3", "d")]
