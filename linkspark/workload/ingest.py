@@ -82,8 +82,8 @@ def parse_ts_offset(v):
 def parse_ts_mixed(v):
     # most rows in one layout, others in ISO text, and some of one link in none; the deduplication keeps every row
     lost, key = F.col("data_id") % 50 == 7, F.col("data_id").cast("string")
-    iso = F.when(F.col("data_id") % 5 < 2, "yyyy-MM-dd'T'HH:mm:ss").otherwise("yyyy-MM-dd HH:mm:ss")
-    text = F.when(lost, F.concat(F.lit("no time "), key)).otherwise(F.date_format("timestamp", iso))
+    iso, plain = (F.date_format("timestamp", fmt) for fmt in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss"))
+    text = F.when(lost, F.concat(F.lit("no time "), key)).when(F.col("data_id") % 5 < 2, iso).otherwise(plain)
     raw = v.obs.select("data_id", F.when(lost, "one link").otherwise(key).alias("name"), text.alias("timestamp"))
     rows = temporal.resolve_timestamps(raw, "yyyy-MM-dd HH:mm:ss", timezone="UTC")
     return cleaning.dedup_link_timestamp(rows, ["data_id"]).select("data_id", "timestamp", F.col("_unresolved").alias("unresolved"))
