@@ -36,7 +36,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     plain = plain_names(docs, COLUMNS)
     others = [c for c in plain.columns if c not in ("doc_id", "text")]
     repeated = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again"))
-    known = plain.join(repeated, F.col("doc_id") == F.col("_again"), "left")
+    # usually a tiny table, and Spark knows that once it is stored, so the texts are not shuffled for it
+    known = plain.join(stored(repeated), F.col("doc_id") == F.col("_again"), "left")
     unclear = F.col("doc_id").isNull() | F.col("_again").isNotNull()
     # beyond all ids that are in use, so a row with an id of its own comes first
     own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), F.lit(1 << 61))
