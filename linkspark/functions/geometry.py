@@ -142,9 +142,19 @@ def last_point(line: Column) -> Column:
     return F.element_at(line, -1)
 
 
+def number_text(x: Column) -> Column:
+    """Text of a double with plain decimals and one of them at least; below 1e-4 and from 1e16 on it has an exponent.
+
+    The cast to text writes an exponent from 1e7 on and below 1e-3.
+    """
+    plain = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    written = (F.abs(x) >= 1e7) & (F.abs(x) < 1e16) | (F.abs(x) >= 1e-4) & (F.abs(x) < 1e-3)
+    return F.when(written, plain).otherwise(x.cast("string"))
+
+
 def to_wkt(line: Column) -> Column:
     """``LINESTRING (x y, ...)``."""
-    points = F.transform(line, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+    points = F.transform(line, lambda p: F.concat_ws(" ", number_text(p["x"]), number_text(p["y"])))
     return F.concat(F.lit("LINESTRING ("), F.array_join(points, ", "), F.lit(")"))
 
 

@@ -177,6 +177,12 @@ def test_wkt(spark):
     assert [(p.x, p.y) for p in out[0].l] == [(1.0, 2.0), (3.5, -4.0)] and out[1].l is None and out[2].l is None
 
 
+def test_wkt_of_large_and_small_coordinates_has_plain_decimals(spark):
+    df = spark.createDataFrame([([(15000000.0, -12345678.25), (0.00025, 0.0)],), ([(9999999.5, 1e16), (1e-5, -0.5)],)], f"l {LINE}")
+    out = [r.w for r in df.select(geometry.to_wkt(F.col("l")).alias("w")).collect()]
+    assert out == ["LINESTRING (15000000.0 -12345678.25, 0.00025 0.0)", "LINESTRING (9999999.5 1.0E16, 1.0E-5 -0.5)"]
+
+
 def test_coverage_of_long_lines_needs_bounded_memory():
     import tracemalloc
 
