@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark import schema
-from linkspark.functions.geometry import to_wkt
+from linkspark.functions.geometry import number_text, to_wkt
 
 BOM = "﻿"
 
@@ -83,15 +83,17 @@ def short_names(report: DataFrame) -> DataFrame:
 
 
 def geojson_features(df: DataFrame, line: str = "line") -> DataFrame:
-    """One GeoJSON feature text per row."""
-    properties = F.struct(*[F.col(c) for c in df.columns if c != line])
-    coordinates = F.transform(line, lambda p: F.array(p["x"], p["y"]))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        properties.alias("properties"),
-        F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"),
-    )
-    return df.select(F.to_json(feature).alias("value"))
+    """One GeoJSON feature text per row; coordinates have plain decimals, a NULL line leaves them out."""
+    properties = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != line]))
+
+    def number(x: Column) -> Column:
+        finite = F.abs(x) < float("inf")
+        return F.when(x.isNull(), "null").when(finite, number_text(x)).otherwise(F.concat(F.lit('"'), x.cast("string"), F.lit('"')))
+
+    points = F.transform(line, lambda p: F.concat(F.lit("["), number(p["x"]), F.lit(","), number(p["y"]), F.lit("]")))
+    coordinates = F.coalesce(F.concat(F.lit(',"coordinates":['), F.array_join(points, ","), F.lit("]")), F.lit(""))
+    opened = [F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":{"type":"LineString"')]
+    return df.select(F.concat(*opened, coordinates, F.lit("}}")).alias("value"))
 
 
 def write_geojson_lines(df: DataFrame, path: str, line: str = "line") -> str:

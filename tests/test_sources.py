@@ -64,6 +64,16 @@ def test_date_range_ignores_far_years(spark):
     assert csv.date_range(df).first().start_date == date(1970, 1, 1)
 
 
+def test_geojson_features_have_plain_decimals(spark):
+    rows = [("a", [(15000000.0, 0.00025), (None, float("inf"))]), (None, [(1.5, -2.0)]), ("c", None)]
+    df = spark.createDataFrame(rows, "Id string, line array<struct<x: double, y: double>>")
+    assert [r.value for r in sinks.geojson_features(df).collect()] == [
+        '{"type":"Feature","properties":{"Id":"a"},"geometry":{"type":"LineString","coordinates":[[15000000.0,0.00025],[null,"Infinity"]]}}',
+        '{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":[[1.5,-2.0]]}}',
+        '{"type":"Feature","properties":{"Id":"c"},"geometry":{"type":"LineString"}}',
+    ]
+
+
 def test_network_formats(spark, folder):
     write(
         f"{folder}/net.csv",
