@@ -67,6 +67,13 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, lis
         yield first, out
 
 
+def sets_of(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """The set of each text; those of one text are made once."""
+    coded = texts.fill_null("").dictionary_encode()
+    sets = [s for _, some in shingle_sets(coded.dictionary, width) for s in some]
+    return [sets[i] for i in coded.indices.to_pylist()]
+
+
 def parity(s: np.ndarray) -> bytes:
     """Parities of the numbers of shingles in a power of two of cells, about half as many as shingles.
 
@@ -283,7 +290,8 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``u``, ``v`` among the pairs ``a``, ``b``: the exact similarity of the whole sets.
 
-    A filter of fixed size keeps the sets of most documents that are in no pair from being shuffled.
+    A filter of fixed size keeps the texts of most documents that are in no pair from being shuffled. The texts meet, and
+    their sets are made where they do.
     """
     pairs = stored(pairs)
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
@@ -299,18 +307,23 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         for batch in batches:
             spots = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = (needed[spots >> 5] >> (spots & 31)) & 1 == 1
-            some = batch.filter(pa.array(keep))
-            for first, sets in shingle_sets(some.column(2), width):
-                arrays = [some.column(0).slice(first, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "set"])
+            yield batch.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    def compare(batches):
+        for batch in batches:
+            a, b = (sets_of(batch.column(i), width) for i in (2, 3))
+            keep = []
+            for x, y in zip(a, b, strict=True):
+                c = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(c > 0 and 100 * c >= percent * (len(x) + len(y) - c))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), spot(F.col("doc_id").cast("long")).alias("s"), "text")
-    sets = stored(known.mapInArrow(run, "node long, set array<long>"))
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    linked = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return linked.where(100 * F.col("c") >= percent * (F.col("sum") - F.col("c"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # texts take half the room of their sets, as hashes do not compress
+    texts = stored(known.mapInArrow(run, "node long, text string"))
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long")
 
 
 SKETCHES = [f"p{i}" for i in range(SKETCH // 64)]

@@ -87,3 +87,25 @@ def test_small_sets_meet_larger_ones(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert got[2] == (10, 1)
+
+
+def test_what_a_verification_stores_is_smaller_than_its_texts(spark, monkeypatch):
+    import glob
+    import os
+
+    random = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(random.choice(words, 3000)) for _ in range(20)]
+    docs = spark.createDataFrame([(2 * i + k, t + " end" * k) for i, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string").coalesce(2)
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(20)] + [(0, 2)], "a long, b long")
+    tables, stored = [], jaccard.stored
+
+    def watched(df):
+        tables.append(stored(df))
+        return tables[-1]
+
+    monkeypatch.setattr(jaccard, "stored", watched)
+    links = jaccard.verified(pairs, docs, 3, 90).collect()
+    assert sorted((r.u, r.v) for r in links) == [(2 * i, 2 * i + 1) for i in range(20)]
+    size = sum(os.path.getsize(f) for t in tables for part in t.inputFiles() for f in glob.glob(part.removeprefix("file:")))
+    assert size < sum(len(t) for t in texts) * 2
