@@ -25,6 +25,8 @@ THRESHOLD = 0.85
 #: Windows grow until this share of a shard's vectors is verified, and this many at least.
 VERIFIED, LEAST = 0.12, 400
 GROWTH = 1.1
+#: Vectors of a shard that tell with which window its queries begin.
+TRIED = 16
 
 
 def projections(parts: int) -> np.ndarray:
@@ -45,6 +47,9 @@ class Index:
         self.order = np.ascontiguousarray(np.argsort(placed, axis=0).T.astype(np.int32))
         self.sorted = np.ascontiguousarray(np.sort(placed, axis=0).T)
         self.width = self.usual_width()
+        tried = vectors[:: max(1, len(vectors) // TRIED)][:TRIED]
+        # the least that any of them needs: a smaller window is nearly always counted in vain
+        self.width = min(self.window(v)[0] for v in tried)
 
     def usual_width(self) -> float:
         """Half window at which the projections of two vectors collide somewhat less often than ``THRESHOLD``."""
@@ -58,8 +63,8 @@ class Index:
             out += [order[:low], order[high:]]
         return np.bincount(np.concatenate(out), minlength=len(self.vectors))
 
-    def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and inner products of the verified vectors."""
+    def window(self, query: np.ndarray) -> tuple[float, np.ndarray]:
+        """Half the window at which enough vectors collide, and the places of these."""
         n, arrays = len(self.vectors), len(self.sorted)
         wanted = min(n, max(LEAST, int(VERIFIED * n)))
         place = (query * (self.norm / np.sqrt((query * query).sum()))) @ self.base[:-1]
@@ -67,8 +72,12 @@ class Index:
         while True:
             found = np.flatnonzero(self.misses(place, half) <= (1 - THRESHOLD) * arrays)
             if len(found) >= wanted:
-                break
+                return half, found
             half *= GROWTH
+
+    def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and inner products of the verified vectors."""
+        _, found = self.window(query)
         return found, (self.vectors[found] * query).sum(axis=1)
 
 
@@ -99,7 +108,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        queries, vectors, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(index) and len(asked):
             ids = index["vec_id"].to_numpy()
             shard = Index(np.stack(index["v"].to_numpy()), norm)
@@ -108,9 +117,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                 other = ids[found] != query
                 found, score = ids[found[other]], score[other]
                 best = np.lexsort((found, -score))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": found[best], "score": score[best]}))
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return pd.concat(out) if out else empty
+                queries.append(np.full(len(best), query))
+                vectors.append(found[best])
+                scores.append(score[best])
+        return pd.DataFrame({"query_id": np.concatenate(queries), "vec_id": np.concatenate(vectors), "score": np.concatenate(scores)})
 
     key = ["parts", "shard", "block"]
     found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")

@@ -41,3 +41,16 @@ def test_ties_odd_vectors_and_norms(spark):
         (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 3, 0.5), (20, 4, -20, -1.0),
     ]
     assert neighbours.nearest(table.limit(0)).count() == 0
+
+
+def test_few_windows_are_counted_in_vain(monkeypatch):
+    random = np.random.default_rng(7)
+    vectors = random.normal(size=(4000, 64))
+    counted, misses = [], neighbours.Index.misses
+    monkeypatch.setattr(neighbours.Index, "misses", lambda self, place, half: counted.append(half) or misses(self, place, half))
+    shard = neighbours.Index(vectors, float(np.sqrt((vectors * vectors).sum(axis=1).max())))
+    counted.clear()
+    for v in vectors[::40]:
+        found, _ = shard.search(v)
+        assert len(found) >= max(neighbours.LEAST, int(neighbours.VERIFIED * len(vectors)))
+    assert len(counted) <= 150
