@@ -15,6 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.functions.geometry import let
 from linkspark.llm.license_texts import WHOLE
 
 #: Least Dice coefficient of a match.
@@ -161,7 +162,8 @@ def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES) -> Colum
     # only ASCII is left when letters are put in lower case, so no other letter becomes one of them
     plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9\n]+", " "))
     joined = lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))
-    units = F.concat(F.split(plain, "\n"), F.split(plain, r"\n *\n"), F.array(plain))
+    # a lambda evaluates its argument once; written out three times, the text would be changed for each
+    units = let(plain, lambda p: F.concat(F.split(p, "\n"), F.split(p, r"\n *\n"), F.array(p)))
     units = F.array_distinct(F.transform(units, joined))
     # what a unit can match by its key words: bigrams of a short template, of a long one, or none
     most = max((bounds(len(b))[1] for _, b in sets if len(b) < LONG), default=0)

@@ -39,3 +39,9 @@ def test_odd_texts(spark):
         [(1, 0, None), (2, 0, None), (3, 1, "MIT"), (3, 1, "MIT"), (4, 1, "MIT"), (None, 1, "MIT"), (5, 0, None), (6, 0, None)], key=str
     )
     assert licenses.scan(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_each_text_is_changed_once(spark):
+    df = spark.createDataFrame([("Released under the MIT License.",)], "text string")
+    plan = df.select(licenses.matches(F.col("text")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z0-9\\n]+") + plan.count("[^A-Za-z0-9\n]+") == 1
