@@ -14,11 +14,11 @@ from pyspark.sql.functions import arrow_udf
 
 from linkspark.functions.lines import starts_of, to_numpy
 
-SLICE = 2_000_000
+SLICE = 200_000
 #: Segments of a line above which points search a grid in place of all segments.
 INDEXED = 64
-#: Sample points of a reference line held at once.
-COVERAGE_SAMPLES = 200_000
+#: Sample points of a reference line held at once, or as many as the routes of the batch have segments.
+COVERAGE_SAMPLES = 20_000
 STRICT_M = 1e-6
 
 
@@ -178,8 +178,10 @@ def coverage_batch(route: pa.Array, reference: pa.Array, spacing: float) -> np.n
     route_segments = _segments(lx, ly, ln)
     total, strict, loose = (np.zeros(len(rn)) for _ in range(3))
     # a slice may begin or end inside a segment, so neither many lines nor one long line fills the memory
-    for begin in range(0, int(ends[-1]) if len(ends) else 0, COVERAGE_SAMPLES):
-        sample = np.arange(begin, min(begin + COVERAGE_SAMPLES, int(ends[-1])))
+    # a grid of many segments is laid for as many samples
+    most = max(COVERAGE_SAMPLES, len(route_segments[0][0]))
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, most):
+        sample = np.arange(begin, min(begin + most, int(ends[-1])))
         segment = np.searchsorted(ends, sample, side="right")
         part = (sample - (ends - steps)[segment] + 0.5) / steps[segment]
         px = x1[segment] + (x2 - x1)[segment] * part

@@ -183,6 +183,20 @@ def test_wkt_of_large_and_small_coordinates_has_plain_decimals(spark):
     assert out == ["LINESTRING (15000000.0 -12345678.25, 0.00025 0.0)", "LINESTRING (9999999.5 1.0E16, 1.0E-5 -0.5)"]
 
 
+def test_a_full_batch_of_short_lines_needs_little_memory():
+    import tracemalloc
+
+    lines = [[(200.0 * i, 50.0 * (i * k % 3)) for i in range(5)] for k in range(10_000)]
+    route, reference = batch([[(x, y + 2) for x, y in line] for line in lines]), batch(lines)
+    tracemalloc.start()
+    share = measure.coverage_batch(route, reference, 5.0)
+    distance = measure.hausdorff_batch(route, reference)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (share == 1).all() and (distance <= 2).all()
+    assert most < 64 << 20
+
+
 def test_coverage_of_long_lines_needs_bounded_memory():
     import tracemalloc
 
