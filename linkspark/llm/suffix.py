@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import words
@@ -137,11 +137,11 @@ def summaries(docs: DataFrame) -> DataFrame:
             for first, data, offsets in rows_of(batch):
                 n = len(offsets) - 1
                 keys = digest_pairs(data, offsets[:-1], offsets[1:])
-                sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                sha = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 columns = [batch.column(0).slice(first, n), pa.array(np.diff(offsets)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sha)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "t1", "t2", "sha"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, t1 long, t2 long, sha string")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, t1 long, t2 long, sha binary")
 
 
 def fixed_filter(values: DataFrame, column: str) -> np.ndarray:
@@ -424,7 +424,7 @@ def removed(docs: DataFrame) -> DataFrame:
     A null text is empty. A row without id loses nothing and counts for no other. Rows with one id do not count for
     each other. What is kept is a digest here; :func:`kept_bytes` has the bytes.
     """
-    return _finished(docs, lambda data: hashlib.sha256(data).hexdigest(), "kept_sha256 string", "sha", hashlib.sha256(b"").hexdigest())
+    return _finished(docs, lambda data: hashlib.sha256(data).hexdigest(), "kept_sha256 string", F.lower(F.hex("sha")), hashlib.sha256(b"").hexdigest())
 
 
 def kept_bytes(docs: DataFrame) -> DataFrame:
@@ -437,8 +437,9 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where(F.col("doc_id").isNotNull())
     summary = stored(summaries(docs))
-    heads = summary.groupBy("t1", "t2", "n_bytes").agg(F.min("doc_id").alias("head"))
-    rows = stored(summary.join(heads, ["t1", "t2", "n_bytes"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)))
+    # only texts that several rows have; all others are in the summary alone
+    heads = stored(summary.groupBy("t1", "t2", "n_bytes").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").drop("last"))
+    rows = summary.join(heads, ["t1", "t2", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
     every = stored(blocks(known))
     first = every.groupBy("s", "s2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("s", "s2", "owner")
     lost = every.join(first, ["s", "s2"]).where("doc_id > owner").select("doc_id", "t1", "low", F.lit(0).cast("long").alias("mask"), F.col("strings").alias("run"))
@@ -459,7 +460,7 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, stored(lists)
 
 
-def _finished(docs: DataFrame, digest, kind: str, whole: str | None, nothing: str | bytes) -> DataFrame:
+def _finished(docs: DataFrame, digest, kind: str, whole: Column | None, nothing: str | bytes) -> DataFrame:
     rows, lists = marked(docs)
     sent = docs.sparkSession.sparkContext.broadcast(fixed_filter(lists, "t1"))
     name, text_kind = kind.split()[0], kind.endswith("string")
@@ -491,5 +492,5 @@ def _finished(docs: DataFrame, digest, kind: str, whole: str | None, nothing: st
         "doc_id", "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(F.col("copy"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce(name, whole) if whole else F.col(name)).alias(name),
+        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.col(name) if whole is None else F.coalesce(F.col(name), whole)).alias(name),
     )

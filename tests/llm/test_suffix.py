@@ -75,3 +75,13 @@ def test_suffix_array_and_prefixes():
             n = min(len(a), len(b), 64)
             same = int(np.argmin(np.append(a[:n] == b[:n], False)))
             assert found[place] == same, place
+
+
+def test_digests_of_whole_texts_are_stored_as_bytes(spark):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.sha for r in suffix.summaries(docs).collect()}
+    assert {k: bytes(v) for k, v in rows.items()} == {1: hashlib.sha256(b"a text").digest(), 2: hashlib.sha256(b"").digest()}
+    got = {r.doc_id: r.kept_sha256 for r in suffix.removed(docs).collect()}
+    assert got == {1: hashlib.sha256(b"a text").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
