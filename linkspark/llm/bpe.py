@@ -156,17 +156,24 @@ class Encoded(dict):
         return out
 
 
-_LOADED: dict[int, tuple[Vocabulary, Encoded]] = {}
+class Shared:
+    """A vocabulary file as it is sent to the workers, which build the vocabulary once.
 
+    What a worker builds and remembers lasts as long as the broadcast does there: it goes when the worker turns to other work.
+    """
+
+    def __init__(self, content: str):
+        self.content = content
+        self.built: tuple[Vocabulary, Encoded] | None = None
+
+    def __getstate__(self):
+        return {"content": self.content, "built": None}
 
-def loaded(content: str) -> tuple[Vocabulary, Encoded]:
-    """The vocabulary, built once in a worker."""
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED.clear()
-        vocabulary = Vocabulary(content)
-        _LOADED[key] = vocabulary, Encoded(vocabulary)
-    return _LOADED[key]
+    def loaded(self) -> tuple[Vocabulary, Encoded]:
+        if self.built is None:
+            vocabulary = Vocabulary(self.content)
+            self.built = vocabulary, Encoded(vocabulary)
+        return self.built
 
 
 def _content(path: str) -> str:
@@ -176,10 +183,10 @@ def _content(path: str) -> str:
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``ids``, the token ids of each whole text; null and empty texts have none."""
-    shared = docs.sparkSession.sparkContext.broadcast(_content(path))
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(_content(path)))
 
     def run(texts):
-        vocabulary, _ = loaded(shared.value)
+        vocabulary, _ = shared.value.loaded()
         return [(vocabulary.encode(t or ""),) for t in texts]
 
     return per_text(docs, keep, "ids array<int>", run, text)
@@ -191,10 +198,10 @@ def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") ->
     Null and empty texts have no tokens and the digests of the empty text. Repeated rows give repeated rows.
     The vocabulary file is read on the driver and sent to the workers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_content(path))
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(_content(path)))
 
     def run(texts):
-        vocabulary, memory = loaded(shared.value)
+        vocabulary, memory = shared.value.loaded()
         out = []
         for t in texts:
             found = [memory[w] for w in vocabulary.words(t or "")]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from linkspark.llm import words
 from linkspark.llm.graphs import components
 from linkspark.llm.suffix import fixed_filter, in_filter
-from linkspark.llm.tables import stored, text_slices
+from linkspark.llm.tables import collected, stored, text_slices
 
 WIDTH, PERCENT = 3, 90
 #: Shingles of an enumerated subset.
@@ -147,7 +147,7 @@ def frequencies(summary: DataFrame) -> np.ndarray:
     once = some.groupBy("part", F.pmod("_p", F.lit(64)).alias("_p")).applyInPandas(add, "part int, counts binary")
     table = np.zeros(CELLS, np.int64)
     per = CELLS // 64
-    for r in once.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+    for r in collected(once.groupBy("part").applyInPandas(add, "part int, counts binary")):
         table[r.part * per : (r.part + 1) * per] = np.frombuffer(bytes(r.counts), np.int64)
     return table
 
@@ -298,7 +298,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     bits = ends.select(spot("node").alias("s")).groupBy(F.expr("cast(s / 32 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("x"))
     needed = np.zeros(FILTER_BITS // 32, np.int64)
-    for r in bits.collect():
+    for r in collected(bits):
         needed[r.w] = r.x
     shared = docs.sparkSession.sparkContext.broadcast(needed)
 

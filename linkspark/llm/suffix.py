@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import words
-from linkspark.llm.tables import stored, text_slices
+from linkspark.llm.tables import collected, stored, text_slices
 
 LENGTH, GRAM = 50, 28
 #: Anchors of a block, on average.
@@ -155,7 +155,7 @@ def fixed_filter(values: DataFrame, column: str) -> np.ndarray:
 
     spots = values.select(spot.alias("s")).distinct().withColumn("part", F.shiftright("s", 16).cast("int"))
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in spots.groupBy("part").applyInPandas(pack, "part int, bits binary").collect():
+    for r in collected(spots.groupBy("part").applyInPandas(pack, "part int, bits binary")):
         out[r.part * 8192 : (r.part + 1) * 8192] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 

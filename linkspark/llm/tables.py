@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -45,6 +46,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/linkspark-llm-{uuid4().hex}"
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside release their shuffle files when they end."""
+    kept = spark.conf.get(_RELEASE_SETTING, None)
+    spark.conf.set(_RELEASE_SETTING, "true")
+    try:
+        yield
+    finally:
+        if kept is None:
+            spark.conf.unset(_RELEASE_SETTING)
+        else:
+            spark.conf.set(_RELEASE_SETTING, kept)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage and read it back: work is done once and survives lost executors.
 
@@ -53,18 +68,18 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_folder(spark)}/table"
-    kept = spark.conf.get(_RELEASE_SETTING, None)
-    spark.conf.set(_RELEASE_SETTING, "true")
-    try:
+    with releasing(spark):
         df.write.parquet(path)
-    finally:
-        if kept is None:
-            spark.conf.unset(_RELEASE_SETTING)
-        else:
-            spark.conf.set(_RELEASE_SETTING, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> list[Row]:
+    """The rows of a table of bounded size; the shuffle files that it took are released, as those of :func:`stored`."""
+    with releasing(df.sparkSession):
+        # a query of its own: the setting counts when a query is made
+        return df.select("*").collect()
+
+
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of consecutive rows with about ``most`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

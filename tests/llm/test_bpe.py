@@ -1,8 +1,10 @@
 """BPE encoding against the library that defines the format."""
 
+import gc
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -52,3 +54,18 @@ def test_frame(spark, library):
     ids = bpe.encode(docs, PATH, ["doc_id"]).where("doc_id = 1").first().ids
     assert ids == library.encode("Hello world", add_special_tokens=False).ids
     assert bpe.digests(docs.limit(0), PATH, ["doc_id"]).count() == 0
+
+
+def test_workers_keep_no_vocabulary(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert bpe.digests(docs, PATH, ["doc_id"]).count() == 64
+    assert len(bpe.encode(docs, PATH, ["doc_id"]).collect()) == 64
+
+    def held(batches):
+        for _ in batches:
+            pass
+        gc.collect()
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Vocabulary" for x in gc.get_objects())])], names=["n"])
+
+    # other work, on the same worker processes
+    assert {r.n for r in spark.range(64).repartition(8).mapInArrow(held, "n long").collect()} == {0}
