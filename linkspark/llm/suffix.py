@@ -37,6 +37,8 @@ SHARD, RANGE = 20_000, 500_000
 SPLIT = 5_000
 #: Bits of the filters that tell which anchors are shared and which texts lose bytes.
 FILTER_BITS = 1 << 26
+#: Anchors that a worker packs together, and those of a group, about.
+PART = 1 << 19
 #: String starts handled at once.
 CHUNK = 4 << 20
 
@@ -165,17 +167,65 @@ def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
 
 
-def anchor_blocks(docs: DataFrame) -> DataFrame:
-    """``h`` of every anchor and ``s`` of the block it lies in."""
+def least_and_greatest(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each ``h``, in ascending order: itself, its least and its greatest ``s``."""
+    order = np.argsort(h)
+    h, s = h[order], s[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    if not len(head):
+        return h, s, s
+    return h[head], np.minimum.reduceat(s, head), np.maximum.reduceat(s, head)
+
+
+def turned(h: np.ndarray, bits: int) -> np.ndarray:
+    """Turn 64-bit numbers left. Anchors are least hashes, of which only the low 24 bits are spread evenly."""
+    return h << np.uint64(bits) | h >> np.uint64(64 - bits)
+
+
+def anchor_blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """Anchors ``h``, turned, and blocks ``s`` they lie in, many in a row; ``part`` is a range of anchors.
+
+    Of the blocks that one anchor has in a portion of text only the least and the greatest go on.
+    """
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, least, greatest = least_and_greatest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        two = least != greatest
+        edges = -(-(np.arange(parts + 1, dtype=object) << 24) // parts)
+        edges = np.array(edges[:-1].astype(np.uint64)) << np.uint64(40)
+        rows = [([*np.searchsorted(x, edges), len(x)], x, y) for x, y in ((h, least), (h[two], greatest[two]))]
+        some = [i for i in range(parts) if rows[0][0][i] < rows[0][0][i + 1]]
+        hs, ss = ([b"".join(r[k][r[0][i] : r[0][i + 1]].tobytes() for r in rows) for i in some] for k in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(hs, pa.binary()), pa.array(ss, pa.binary())], names=["part", "h", "s"])
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for _, data, offsets in rows_of(batch):
                 text, start, strings, h = anchors(data, offsets)
                 _, s, block = blocks_of(text, start, strings, h, data)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s[block, 0])], names=["h", "s"])
+                held.append((turned(h, 40), s[block, 0]))
+                n += len(h)
+                if n >= PART:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return docs.mapInArrow(run, "part int, h binary, s binary")
+
+
+def shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
+    """``h``: anchors that lie in two different blocks at least. The number of groups grows with the bytes of text."""
+
+    def several(frame: pd.DataFrame) -> pd.DataFrame:
+        h, s = (np.frombuffer(b"".join(frame[x]), kind) for x, kind in (("h", np.uint64), ("s", np.int64)))
+        h, least, greatest = least_and_greatest(h, s)
+        return pd.DataFrame({"h": turned(h[least != greatest], 24).view(np.int64)})
 
-    return docs.mapInArrow(run, "h long, s long")
+    # strings of random text have two anchors in every LENGTH - GRAM + 2 bytes
+    parts = min(1 << 24, max(1, 2 * n_bytes // (LENGTH - GRAM + 2) // PART))
+    return anchor_blocks(docs, parts).groupBy("part").applyInPandas(several, "h long")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -443,7 +493,8 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = stored(blocks(known))
     first = every.groupBy("s", "s2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("s", "s2", "owner")
     lost = every.join(first, ["s", "s2"]).where("doc_id > owner").select("doc_id", "t1", "low", F.lit(0).cast("long").alias("mask"), F.col("strings").alias("run"))
-    shared = stored(anchor_blocks(known).groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("h"))
+    n_bytes = summary.agg(F.sum("n_bytes")).first()[0] or 0
+    shared = stored(shared_anchors(known, n_bytes))
     found = stored(shared_contexts(known, shared))
     classes = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")))
     several = classes.groupBy("h").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("h")

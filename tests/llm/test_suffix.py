@@ -85,3 +85,23 @@ def test_digests_of_whole_texts_are_stored_as_bytes(spark):
     assert {k: bytes(v) for k, v in rows.items()} == {1: hashlib.sha256(b"a text").digest(), 2: hashlib.sha256(b"").digest()}
     got = {r.doc_id: r.kept_sha256 for r in suffix.removed(docs).collect()}
     assert got == {1: hashlib.sha256(b"a text").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+@pytest.mark.parametrize("part", [1 << 19, 200])
+def test_shared_anchors_travel_packed(spark, monkeypatch, part):
+    monkeypatch.setattr(suffix, "PART", part)
+    texts = [t or "" for _, t in corpus()]
+    want, n = {}, 0
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        text, start, strings, h = suffix.anchors(data, np.array([0, len(data)]))
+        _, s, block = suffix.blocks_of(text, start, strings, h, data)
+        n += len(h)
+        for x, y in zip(h.view(np.int64).tolist(), s[block, 0].tolist(), strict=True):
+            want.setdefault(x, set()).add(y)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    n_bytes = sum(len(t.encode()) for t in texts)
+    got = [r.h for r in suffix.shared_anchors(docs, n_bytes).collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x, s in want.items() if len(s) > 1}
+    parts = 7 if part == 200 else 1
+    assert suffix.anchor_blocks(docs, parts).count() <= parts * (n // part + 1)
