@@ -24,6 +24,8 @@ from linkspark.llm.tables import stored
 
 #: Components of a packed candidate block, anchors of an anchor block.
 CELLS, ANCHORS = 1 << 18, 512
+#: Lanes that candidate blocks are dealt over, at least, if there are as many; anchor blocks of a group.
+LANES, GROUP = 24, 64
 #: Least side of a tile that is split further.
 LEAF = 16
 SCALE = 256
@@ -161,11 +163,24 @@ def _unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids, labels, vectors.astype(np.int64)
 
 
-def tiles(anchors: DataFrame, candidates: DataFrame, lanes: int) -> DataFrame:
-    """Every anchor block beside every candidate block. Blocks are dealt over lanes, and anchor blocks go to every lane."""
-    lane = F.pmod(F.xxhash64("first", "n", "ids"), F.lit(lanes))
-    a = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns], F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"))
-    return a.join(candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns], lane.alias("lane")), "lane")
+def tiles(anchors: DataFrame, candidates: DataFrame, lanes: int, groups: int = 1) -> DataFrame:
+    """Every anchor block beside every candidate block.
+
+    Candidate blocks are dealt over lanes, anchor blocks over groups, and each lane meets each group: anchor blocks go to every
+    lane, candidate blocks to every group. Both are shuffled, as copies for all lanes are many times the table
+    that Spark takes for small; the blocks of a group are held while those of the lane pass.
+    """
+    place = lambda n: F.pmod(F.xxhash64("first", "n", "ids"), F.lit(n))
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
+    a = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns], place(groups).alias("group"), every(lanes).alias("lane"))
+    c = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns], place(lanes).alias("lane"), every(groups).alias("group"))
+    return c.join(a.hint("merge"), ["lane", "group"])
+
+
+def grid(blocks: int, rows: int, anchors: int) -> tuple[int, int]:
+    """Lanes and groups for so many candidate blocks, candidates and anchors: lanes' copies of the anchors are as many rows as the candidates, about."""
+    lanes = min(blocks, max(LANES, rows // max(1, anchors)))
+    return max(1, lanes), max(1, -(-anchors // (ANCHORS * GROUP)))
 
 
 def _tile_rows(batches) -> Iterator[dict]:
@@ -231,16 +246,18 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 1
     """
     rows = usable(rows.select("vec_id", "embedding", "label", F.coalesce(anchor, F.lit(False)).alias("anchor")))
     candidates = stored(packed(rows))
-    lanes = candidates.count()
     once = rows.where("anchor").groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("row")).select("vec_id", "row.*")
     anchors = stored(once)
-    blocks = max(1, -(-anchors.count() // ANCHORS))
+    n_anchors = anchors.count()
+    blocks = max(1, -(-n_anchors // ANCHORS))
+    held = candidates.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    lanes, groups = grid(held.blocks, held.rows, n_anchors)
     first = stored(packed(anchors.repartition(blocks, "vec_id"), ANCHORS))
-    found = stored(best_positives(tiles(first, candidates, max(1, lanes)), positives))
+    found = stored(best_positives(tiles(first, candidates, lanes, groups), positives))
     listed = found.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("slot", "positive_score"))).alias("best"))
     known = anchors.join(listed, anchors["vec_id"] == listed["anchor_id"]).select("vec_id", "label", "vector", F.col("best.positive_score").alias("scores"))
     second = stored(packed(known.repartition(blocks, "vec_id"), ANCHORS, "scores"))
-    ranked = best_negatives(tiles(second, candidates, max(1, lanes)), negatives, low, high)
+    ranked = best_negatives(tiles(second, candidates, lanes, groups), negatives, low, high)
     return ranked.join(found, ["anchor_id", "slot"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
