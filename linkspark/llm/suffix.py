@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import words
-from linkspark.llm.tables import collected, stored, text_slices
+from linkspark.llm.tables import collected, dropped, stored, text_slices
 
 LENGTH, GRAM = 50, 28
 #: Anchors of a block, on average.
@@ -35,8 +35,9 @@ DEPTH = 64
 SHARD, RANGE = 20_000, 500_000
 #: Contexts of one anchor above which they are dealt over several shards.
 SPLIT = 5_000
-#: Bits of the filters that tell which anchors are shared and which texts lose bytes.
-FILTER_BITS = 1 << 26
+#: Least and largest number of bits of the filters that tell which anchors are shared and which texts lose bytes; the bits of a
+#: value that give its second place begin here.
+FILTER_BITS, MOST_FILTER_BITS, SECOND = 1 << 26, 1 << 29, 26
 #: Anchors that a worker packs together, and those of a group, about.
 PART = 1 << 19
 #: String starts handled at once.
@@ -146,24 +147,40 @@ def summaries(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, t1 long, t2 long, sha binary")
 
 
-def fixed_filter(values: DataFrame, column: str) -> np.ndarray:
-    """A bit for every value modulo ``FILTER_BITS``: never wrong about a value that is there."""
-    spot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+def filter_bits(n: int) -> int:
+    """Bits of a filter of ``n`` values: 8 to 16 for each, so that few other values pass, between fixed bounds."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (8 * n).bit_length()))
+
+
+def fixed_filter(values: DataFrame, column: str, n: int | None = None) -> np.ndarray:
+    """Two bits for every value in a table that grows with their number ``n``: never wrong about a value that is there."""
+    size = filter_bits(values.count() if n is None else n)
+    # both places of a value, by different bits of it
+    places = [F.col(column), F.shiftrightunsigned(column, SECOND)]
+    spots = values.select(F.explode(F.array(*[p.bitwiseAND(F.lit(size - 1)) for p in places])).alias("s"))
+    spots = spots.select(F.shiftright("s", 16).cast("int").alias("part"), F.col("s").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("s"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << 16, np.uint8)
-        bits[(frame["s"] & 0xFFFF).to_numpy()] = 1
+        bits[frame["s"].to_numpy()] = 1
         return pd.DataFrame({"part": frame["part"].head(1), "bits": [np.packbits(bits).tobytes()]})
 
-    spots = values.select(spot.alias("s")).distinct().withColumn("part", F.shiftright("s", 16).cast("int"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in collected(spots.groupBy("part").applyInPandas(pack, "part int, bits binary")):
         out[r.part * 8192 : (r.part + 1) * 8192] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
 def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    spot = (values.view(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    values = values.view(np.uint64)
+    keep = _set(bits, values)
+    some = np.flatnonzero(keep)
+    keep[some] = _set(bits, values[some] >> np.uint64(SECOND))
+    return keep
+
+
+def _set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    spot = (values & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -247,8 +264,8 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "s long, s2 long, doc_id long, t1 long, low long, strings long")
 
 
-def owner_keys(c: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return words.mix(c.view(np.uint64) + words.mix(doc_id.view(np.uint64)))
+def owner_keys(h: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return words.mix(h.view(np.uint64) + words.mix(doc_id.view(np.uint64)))
 
 
 def shared_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -281,10 +298,10 @@ def context_bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            c, owner = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(owner_keys(c, owner).view(np.int64))], names=["k"])
+            h, owner = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(owner_keys(h, owner).view(np.int64))], names=["k"])
 
-    sent = docs.sparkSession.sparkContext.broadcast(fixed_filter(classes.select("c", "owner").mapInArrow(keys, "k long"), "k"))
+    sent = docs.sparkSession.sparkContext.broadcast(fixed_filter(classes.select("h", "owner").mapInArrow(keys, "k long"), "k", classes.count()))
 
     def run(batches):
         bits = sent.value
@@ -292,10 +309,11 @@ def context_bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, data, offsets in rows_of(batch):
                 text, start, strings, h = anchors(data, offsets)
-                c = context_hashes(data, start, strings, h)
                 owner = ids[first + text].astype(np.int64)
-                keep = in_filter(bits, owner_keys(c, owner))
-                start, strings, h, c, owner = start[keep], strings[keep], h[keep], c[keep], owner[keep]
+                keep = in_filter(bits, owner_keys(h, owner))
+                start, strings, h, owner = start[keep], strings[keep], h[keep], owner[keep]
+                # few are left: only their bytes are hashed
+                c = context_hashes(data, start, strings, h)
                 content, end = data.tobytes(), start + strings + LENGTH - 1
                 parts = pa.array([content[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
                 arrays = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(owner), pa.array(strings), parts]
@@ -492,23 +510,32 @@ def marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = summary.join(heads, ["t1", "t2", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
     every = stored(blocks(known))
     first = every.groupBy("s", "s2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("s", "s2", "owner")
-    lost = every.join(first, ["s", "s2"]).where("doc_id > owner").select("doc_id", "t1", "low", F.lit(0).cast("long").alias("mask"), F.col("strings").alias("run"))
+    # each table goes as soon as the next ones are there, and the marks are made in steps: the disk holds one step's files at a time
+    lost = stored(every.join(first, ["s", "s2"]).where("doc_id > owner").select("doc_id", "t1", "low", F.lit(0).cast("long").alias("mask"), F.col("strings").alias("run")))
+    dropped(every)
     n_bytes = summary.agg(F.sum("n_bytes")).first()[0] or 0
     shared = stored(shared_anchors(known, n_bytes))
     found = stored(shared_contexts(known, shared))
+    dropped(shared)
     classes = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")))
     several = classes.groupBy("h").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("h")
     apart = stored(classes.join(several, "h").select("h", "c", "owner"))
     contexts = stored(context_bytes(known, apart))
-    masks = compared(contexts)
-    own = classes.join(masks, ["h", "c"], "left").where((F.col("owner") < F.col("last")) | F.col("mask").isNotNull())
+    dropped(apart)
+    masks = stored(compared(contexts))
+    dropped(contexts)
+    own = stored(classes.join(masks, ["h", "c"], "left").where((F.col("owner") < F.col("last")) | F.col("mask").isNotNull()).select("h", "c", "owner", "mask"))
+    dropped(classes, masks)
     whole = F.expr("shiftleft(1L, cast(strings as int)) - 1")
-    marks = found.select("h", "c", "doc_id", "t1", "low", "strings").join(own.select("h", "c", "owner", "mask"), ["h", "c"])
+    marks = found.select("h", "c", "doc_id", "t1", "low", "strings").join(own, ["h", "c"])
     marks = marks.withColumn("mask", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.coalesce("mask", F.lit(0).cast("long")))).where("mask != 0")
-    marks = marks.select("doc_id", "t1", "low", "mask", F.lit(0).cast("long").alias("run")).union(lost)
+    marks = stored(marks.select("doc_id", "t1", "low", "mask", F.lit(0).cast("long").alias("run")))
+    dropped(found, own)
     copies = rows.where("copy").select("doc_id", "t1").distinct()
-    lists = marks.join(copies, ["doc_id", "t1"], "left_anti").groupBy("doc_id", "t1").agg(F.collect_set(F.struct("low", "mask", "run")).alias("marks"))
-    return rows, stored(lists)
+    lists = marks.union(lost).join(copies, ["doc_id", "t1"], "left_anti").groupBy("doc_id", "t1").agg(F.collect_set(F.struct("low", "mask", "run")).alias("marks"))
+    lists = stored(lists)
+    dropped(marks, lost)
+    return rows, lists
 
 
 def _finished(docs: DataFrame, digest, kind: str, whole: Column | None, nothing: str | bytes) -> DataFrame:

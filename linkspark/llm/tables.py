@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -25,6 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folders of intermediate tables.
+_STORED = re.compile("/linkspark-llm-[^/]+/table$")
 #: Spark's own switch for releasing shuffle files at the end of a query.
 _RELEASE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -73,6 +76,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`stored` returned and that no later query reads; other tables are left alone.
+
+    Else all intermediate tables of a run stay on disk together until its session ends.
+    """
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if _STORED.search(path):
+                at = context._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def collected(df: DataFrame) -> list[Row]:
     """The rows of a table of bounded size; the shuffle files that it took are released, as those of :func:`stored`."""
     with releasing(df.sparkSession):
