@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.tables import stored
+from linkspark.llm.tables import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(moved.union(small.select("u", "m")).distinct())
+        last, now = now, stored(moved.union(small.select("u", "m")).distinct())
+        dropped(last)
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from linkspark.llm import words
 from linkspark.llm.graphs import components
 from linkspark.llm.suffix import fixed_filter, in_filter
-from linkspark.llm.tables import collected, stored, text_slices
+from linkspark.llm.tables import collected, dropped, stored, text_slices
 
 WIDTH, PERCENT = 3, 90
 #: Shingles of an enumerated subset.
 SUBSET = 2
-#: Cells of the table of approximate shingle frequencies, which fixes the order of shingles.
-CELLS = 1 << 18
+#: Cells of the table of approximate shingle frequencies, which fixes the order of shingles; it travels in so many parts. Two
+#: frequencies in a ratio of two are so many levels apart.
+CELLS, PARTS, LEVELS = 1 << 20, 64, 8
 #: Largest number of missing shingles for which subsets are enumerated at all.
 MOST_MISSING = 32
 #: Cost of scanning an entry of a list, in postings.
@@ -41,8 +42,8 @@ SCAN = 1.0
 RATIO = 0.75
 #: Entries of lists that a worker holds at once.
 ENTRIES = 1 << 16
-#: Cells of the parities that go with every entry of a list.
-SKETCH = 512
+#: Cells of the parities that go with every entry of a list: sets of twice as many shingles are still told apart.
+SKETCH = 2048
 #: Bits of the filter that tells which documents' sets a verification needs.
 FILTER_BITS = 1 << 22
 
@@ -75,11 +76,12 @@ def sets_of(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in a power of two of cells, about half as many as shingles.
+    """Parities of the numbers of shingles in a power of two of cells, about as many as shingles.
 
-    Every cell whose parity differs between two sets holds a shingle that only one of them has.
+    Every cell whose parity differs between two sets holds a shingle that only one of them has. With half the cells, sets
+    without a common shingle would differ in few enough to pass for similar ones at 80 percent.
     """
-    bits = 1 << max(6, int(len(s) // 2).bit_length() - 1)
+    bits = 1 << max(6, len(s).bit_length() - 1)
     odd = np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -107,14 +109,14 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id``, set size ``n`` and 128-bit set key of every text; rows with ``part`` hold frequencies of shingles."""
     schema = "doc_id long, n long, k1 long, k2 long, part int, counts binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    per = CELLS // 64
+    per = CELLS // PARTS
 
     def rows(ids, n, k1, k2, part, counts):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, n, k1, k2, part, counts), kinds, strict=True)], names=names)
 
     def run(batches):
-        table = np.zeros(CELLS, np.int64)
+        table = np.zeros(CELLS, np.int32)
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), width):
                 every = np.concatenate(sets)
@@ -128,7 +130,7 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
                     keys.append(words.mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64)).view(np.int64))
                 empty = [None] * len(sets)
                 yield rows(batch.column(0).slice(first, len(sets)).to_pylist(), n, *keys, empty, empty)
-        filled = [i for i in range(64) if table[i * per : (i + 1) * per].any()]
+        filled = [i for i in range(PARTS) if table[i * per : (i + 1) * per].any()]
         if filled:
             none = [None] * len(filled)
             yield rows(none, none, none, none, filled, [table[i * per : (i + 1) * per].tobytes() for i in filled])
@@ -139,15 +141,18 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
 def frequencies(summary: DataFrame) -> np.ndarray:
     """The frequency table, added up in two steps; its size is fixed."""
 
-    def add(frame):
-        total = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
-        return frame[["part"]].head(1).assign(counts=[total.tobytes()])
+    def add(kind):
+        def run(frame):
+            total = sum(np.frombuffer(x, kind).astype(np.int64) for x in frame["counts"])
+            return frame[["part"]].head(1).assign(counts=[total.tobytes()])
+
+        return run
 
     some = summary.where(F.col("part").isNotNull()).select("part", "counts", F.spark_partition_id().alias("_p"))
-    once = some.groupBy("part", F.pmod("_p", F.lit(64)).alias("_p")).applyInPandas(add, "part int, counts binary")
+    once = some.groupBy("part", F.pmod("_p", F.lit(64)).alias("_p")).applyInPandas(add(np.int32), "part int, counts binary")
     table = np.zeros(CELLS, np.int64)
-    per = CELLS // 64
-    for r in collected(once.groupBy("part").applyInPandas(add, "part int, counts binary")):
+    per = CELLS // PARTS
+    for r in collected(once.groupBy("part").applyInPandas(add(np.int64), "part int, counts binary")):
         table[r.part * per : (r.part + 1) * per] = np.frombuffer(bytes(r.counts), np.int64)
     return table
 
@@ -157,9 +162,9 @@ def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> Da
 
     The number that stands for a shingle sorts by frequency on a logarithmic scale, then by hash.
     """
-    level = np.floor(2 * np.log2(1 + table)).astype(np.uint64)
+    level = np.floor(LEVELS * np.log2(1 + table)).astype(np.uint16)
     load = table.mean()
-    shared = docs.sparkSession.sparkContext.broadcast((level, np.maximum(0, table - 2 * load - 4).astype(np.float64)))
+    shared = docs.sparkSession.sparkContext.broadcast((level, np.maximum(0, table - 2 * load - 4).astype(np.float32)))
 
     def run(batches):
         level, excess = shared.value
@@ -171,7 +176,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> Da
                 if n * 100 // percent == n and d < 1 or doc is None:
                     continue
                 cell = (s & np.uint64(CELLS - 1)).astype(np.int64)
-                order = (level[cell] << np.uint64(57)) | (s >> np.uint64(7))
+                order = (level[cell].astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
                 most = min(n, d + SUBSET)
                 rarest = np.sort(np.partition(order, most - 1)[:most])
                 scans = float(excess[cell][np.argpartition(order, d)[: d + 1]].sum())
@@ -271,6 +276,20 @@ def may_be_similar(percent: int) -> Column:
     return close & ((100 + percent) * rest >= percent * (na + nb)) & (100 * (na + nb - differ) >= percent * (na + nb + differ))
 
 
+def told_apart(placed: DataFrame) -> DataFrame:
+    """``key`` of the lists that still hold something to compare, once where several have the same members.
+
+    Two sets that share a passage meet in a list for every shingle of it. Of lists with the same members the first one is
+    kept: its shingle comes first in the order for all of them, so their places leave most open there. Members are told
+    by their number and two sums of hashes, modulo two.
+    """
+    lists = placed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("m0"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("m1"),
+        F.sum("pos").alias("pos"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+    )
+    return lists.where("low < high").groupBy("c", "m0", "m1").agg(F.min(F.struct("pos", "key"))["key"].alias("key")).select("key")
+
+
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` whose parities leave open that they are similar; these bounds rule out most pairs."""
     small = sets.select("node", "n", "parity")
@@ -288,12 +307,11 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``u``, ``v`` among the pairs ``a``, ``b``: the exact similarity of the whole sets.
+    """Links ``u``, ``v`` among the stored pairs ``a``, ``b``, stored: the exact similarity of the whole sets.
 
     A filter of fixed size keeps the texts of most documents that are in no pair from being shuffled. The texts meet, and
     their sets are made where they do.
     """
-    pairs = stored(pairs)
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     bits = ends.select(spot("node").alias("s")).groupBy(F.expr("cast(s / 32 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("x"))
@@ -323,7 +341,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     texts = stored(known.mapInArrow(run, "node long, text string"))
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long")
+    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long"))
+    dropped(texts)
+    return links
 
 
 SKETCHES = [f"p{i}" for i in range(SKETCH // 64)]
@@ -347,29 +367,41 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     found = prefixes(docs, table, width, percent).withColumnRenamed("doc_id", "node")
     sets = stored(found.join(heads, ["node", "n"]).dropDuplicates(["node", "n", "prefix"]))
     most_light = boundary(sets, percent)
-    shared = fixed_filter(shared_shingles(sets), "s")
+    repeated = stored(shared_shingles(sets))
+    shared = fixed_filter(repeated, "s")
+    dropped(repeated)
     heads = postings(sets, most_light, percent, shared).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
     pivots = stored(heads.where("pivot < _last").drop("_last"))
     lists = stored(postings(sets, most_light, percent, shared, fixed_filter(pivots, "key")).join(pivots, "key"))
+    dropped(pivots)
 
     met = lists.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"))
     first = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("a"), F.col("node").alias("b"))
     first = stored(first)
-    links = stored(verified(possible(first, sets, percent), docs, width, percent))
+    pairs = stored(possible(first, sets, percent))
+    links = verified(pairs, docs, width, percent)
     joined = components(links)
 
     placed = stored(lists.join(joined, "node", "left").drop("pivot").withColumn("comp", F.coalesce("component", "node")).drop("component"))
-    shares = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-    main = shares.agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    dropped(lists, pairs)
+    few = stored(placed.join(told_apart(placed), "key"))
+    dropped(placed)
+    shares = few.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+    main = shares.agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
     # parities only for entries of lists that still hold something to compare
-    mixed = stored(placed.join(main, "key").join(sets.select("node", "n", *SKETCHES), ["node", "n"]))
+    mixed = stored(few.join(main, "key").join(sets.select("node", "n", *SKETCHES), ["node", "n"]))
+    dropped(few)
     a, b = mixed.where("comp != main").alias("a"), mixed.alias("b")
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & may_be_similar(percent))
     rest = rest.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.join(done, ["a", "b"], "left_anti")
-    every = components(links.union(verified(possible(rest, sets, percent), docs, width, percent)))
+    pairs = stored(possible(rest, sets, percent))
+    dropped(mixed, sets, first)
+    more = verified(pairs, docs, width, percent)
+    every = components(links.union(more))
+    dropped(pairs, links, more)
 
     named = rows.join(classes, ["k1", "k2", "n"], "left").join(every, "node", "left")
     return named.select(
